@@ -17,17 +17,13 @@ ignored, an empty table gives no rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import common
-
 SAMPLES, COORDINATES = 32, 1 << 13
 RANGES = 64
 MARKS = "\n\t\r.,;:!?()\"'"
-ROWS_A_BUCKET = 400
+ROWS_A_BUCKET = 100
 
 
 def variates(spark: SparkSession, samples: int = SAMPLES, coordinates: int = COORDINATES) -> DataFrame:
@@ -53,19 +49,23 @@ def id_bucket(docs: DataFrame, rows_a_bucket: int = ROWS_A_BUCKET) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(bucket, place, doc_id, text, next_text) of every row, by descending doc_id; after the last comes the first."""
+    """(bucket, place, doc_id, text, next_text, last) of every row, by descending doc_id; after the last comes the first.
+
+    last: the row is the last of its bucket, and its next document is the following bucket's first.
+    """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("bucket", id_bucket(rows))
-    order = [F.desc_nulls_last("doc_id"), F.xxhash64("text"), F.col("text")]
-    w = Window.partitionBy("bucket").orderBy(*order)
-    # The first row of each bucket: a few hundred rows' worth of documents stand behind each.
-    head = rows.groupBy("bucket").agg(F.min_by("text", F.struct((-F.col("doc_id")).alias("d"), F.xxhash64("text").alias("h"), "text")).alias("head"))
-    follows = Window.orderBy("bucket")
-    order_of = rows.select("bucket").distinct()
-    following = order_of.select("bucket", F.coalesce(F.lead("bucket").over(follows), F.min("bucket").over(follows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
-    heads = following.join(head.withColumnRenamed("bucket", "after"), "after").select("bucket", "head")
+    w = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text"), F.col("text"))
     placed = rows.select("bucket", "doc_id", "text", F.row_number().over(w).alias("place"), F.lead("text").over(w).alias("own_next"))
-    return placed.join(heads, "bucket").select("bucket", "place", "doc_id", "text", F.coalesce("own_next", "head").alias("next_text"))
+    # One row a bucket: the order of buckets is a window over their numbers alone.
+    follows = Window.orderBy("bucket")
+    every = follows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = F.coalesce(F.lead("bucket").over(follows), F.min("bucket").over(every)).alias("after")
+    following = rows.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", after)
+    heads = placed.filter("place = 1").select(F.col("bucket").alias("after"), F.col("text").alias("head"))
+    heads = following.join(heads, "after").select("bucket", "head")
+    last = F.col("own_next").isNull().alias("last")
+    return placed.join(heads, "bucket").select("bucket", "place", "doc_id", "text", F.coalesce("own_next", "head").alias("next_text"), last)
 
 
 def terms(text: Column) -> Column:
@@ -105,25 +105,28 @@ def fingerprint(signature: Column) -> Column:
 
 
 def compared(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """Fingerprints of each text and of its edited text, and their likeness: see the columns at the end."""
-    rows = common.written(with_next(docs), "fingerprint-rows").withColumn("n_chars", F.length("text").cast("long"))
+    """Fingerprints of each text and of its edited text, and their likeness: see the columns at the end.
+
+    Every step up to the last join keeps to the rows' buckets.
+    """
+    rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half))
     keys = ["bucket", "place"]
-    both = rows.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), edited.alias("text")))).alias("x")).select(*keys, "x.kind", "x.text")
-    signed = signatures(both, [*keys, "kind"], samples)
-    sides = signed.groupBy(*keys).agg(F.max(F.when(F.col("kind") == 0, F.col("signature"))).alias("own"), F.max(F.when(F.col("kind") == 1, F.col("signature"))).alias("edited"))
-    nothing = F.array_repeat(F.lit(-1).cast("long"), samples)
-    facts = rows.select(*keys, "doc_id", "n_chars", F.sha2(edited.cast("binary"), 256).alias("edited_sha256"))
-    joined = facts.join(sides, keys, "left").withColumns({c: F.coalesce(c, nothing) for c in ("own", "edited")})
-    joined = common.written(joined, "fingerprint-signatures")
+    side = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    sides = F.array(side(0, F.col("text")), side(1, edited), F.when(F.col("last"), side(2, F.col("next_text"))))
+    each = rows.select(*keys, F.explode(sides).alias("x")).filter("x is not null").select(*keys, "x.kind", "x.text")
+    signed = signatures(each, [*keys, "kind"], samples)
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("signature")))
+    pivoted = signed.groupBy(*keys).agg(of(0).alias("own"), of(1).alias("edited"), of(2).alias("head"))
     w = Window.partitionBy("bucket").orderBy("place")
-    head = joined.filter("place = 1").select("bucket", "own")
-    follows = Window.orderBy("bucket")
-    every = follows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    following = head.select("bucket", F.coalesce(F.lead("own").over(follows), F.first("own").over(every)).alias("head"))
-    out = joined.withColumn("own_next", F.lead("own").over(w)).join(following, "bucket")
+    # A text without words has no row here: the next one's signature is taken only if its place follows.
+    near = F.when(F.lead("place").over(w) == F.col("place") + 1, F.lead("own").over(w))
+    with_lead = pivoted.select(*keys, "own", "edited", F.coalesce(near, "head").alias("next"))
+    facts = rows.select(*keys, "doc_id", "n_chars", F.sha2(edited.cast("binary"), 256).alias("edited_sha256"))
+    nothing = F.array_repeat(F.lit(-1).cast("long"), samples)
+    out = facts.join(with_lead, keys, "left").withColumns({c: F.coalesce(c, nothing) for c in ("own", "edited", "next")})
     return out.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edited"), samples).alias("near_edited"), likeness(F.col("own"), F.coalesce("own_next", "head"), samples).alias("near_next"),
+        likeness(F.col("own"), F.col("edited"), samples).alias("near_edited"), likeness(F.col("own"), F.col("next"), samples).alias("near_next"),
     )
