@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 EPS = 1e-12
-SERIES = Window.partitionBy("series_id").orderBy("idx")
+
+
+def series() -> WindowSpec:
+    """The bars of a series in order."""
+    return Window.partitionBy("series_id").orderBy("idx")
 
 
 def over(first: int | None, last: int | None = 0) -> WindowSpec:
     """Rows of a series from ``first`` to ``last`` relative to the current bar; None is unbounded."""
-    return SERIES.rowsBetween(Window.unboundedPreceding if first is None else first, Window.unboundedFollowing if last is None else last)
+    return series().rowsBetween(Window.unboundedPreceding if first is None else first, Window.unboundedFollowing if last is None else last)
 
 
 def ratio(a: Column | str, b: Column | str) -> Column:

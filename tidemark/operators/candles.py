@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import EPS, SERIES, case, over, ratio
+from tidemark.functions.columns import EPS, case, over, ratio, series
 
 c = F.col
 
@@ -22,11 +22,11 @@ def anatomy(bars: DataFrame) -> DataFrame:
 
 def features(bars: DataFrame) -> DataFrame:
     """Anatomy with true range, ATR over 14 rows (null before), returns, volatility ratio and rolling levels."""
-    before = F.lag("close").over(SERIES)
+    before = F.lag("close").over(series())
     out = anatomy(bars).withColumn("true_range", F.coalesce(F.greatest(c("range"), F.abs(c("high") - before), F.abs(c("low") - before)), c("range")))
     out = out.withColumn("share_of_close", ratio(c("range"), F.greatest(c("close"), F.lit(EPS))))
     atr = F.when(F.count("*").over(over(-13)) == 14, F.greatest(F.avg("true_range").over(over(-13)), F.lit(EPS)))
-    back = lambda n: F.when(c("idx") >= n, ratio(c("close") - F.lag("close", n).over(SERIES), F.lag("close", n).over(SERIES))).otherwise(0.0)
+    back = lambda n: F.when(c("idx") >= n, ratio(c("close") - F.lag("close", n).over(series()), F.lag("close", n).over(series()))).otherwise(0.0)
     recent, older = F.avg("share_of_close").over(over(-7)), F.coalesce(F.avg("share_of_close").over(over(-31, -8)), F.lit(0.0))
     high20, low20 = F.max("high").over(over(-19)), F.min("low").over(over(-19))
     out = out.withColumns({
@@ -79,12 +79,12 @@ def language(bars: DataFrame) -> DataFrame:
 
 def indicators(bars: DataFrame) -> DataFrame:
     """SMA 20/50 (partial windows), RSI 14, momentum 10, ATR regime, MA bias, volume against its mean."""
-    f = features(bars).withColumn("change", c("close") - F.lag("close").over(SERIES))
+    f = features(bars).withColumn("change", c("close") - F.lag("close").over(series()))
     gain, loss = (F.avg(F.greatest(x, F.lit(0.0))).over(over(-13)) for x in (c("change"), -c("change")))
     f = f.withColumns({"gain": gain, "loss": loss, "sma50": F.avg("close").over(over(-49)), "mean_atr": F.avg("range_atr").over(over(-49))})
     return f.withColumns({
         "rsi": case((c("gain").isNull(), F.lit(50.0)), ((c("loss") == 0) & (c("gain") == 0), F.lit(50.0)), (c("loss") == 0, F.lit(100.0)), otherwise=100 - 100 / (1 + c("gain") / c("loss"))),
-        "momentum": F.when(c("idx") >= 10, ratio(c("close") - F.lag("close", 10).over(SERIES), F.lag("close", 10).over(SERIES)) * 100).otherwise(0.0),
+        "momentum": F.when(c("idx") >= 10, ratio(c("close") - F.lag("close", 10).over(series()), F.lag("close", 10).over(series())) * 100).otherwise(0.0),
         "atr_regime": case((c("range_atr") > c("mean_atr") * 1.25, "HIGH"), (c("range_atr") < c("mean_atr") * 0.75, "LOW"), otherwise="NORMAL"),
         "ma_bias": case(((c("close") > c("sma20")) & (c("sma20") > c("sma50")), "BULLISH"), ((c("close") < c("sma20")) & (c("sma20") < c("sma50")), "BEARISH"), otherwise="NEUTRAL"),
     })
@@ -106,7 +106,7 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> Da
 
 def streaks(bars: DataFrame) -> DataFrame:
     """Length of the run of equal directions that ends at each bar, signed; runs are islands between changes."""
-    d = anatomy(bars).withColumn("new", F.coalesce((c("direction") != F.lag("direction").over(SERIES)).cast("long"), F.lit(1)))
+    d = anatomy(bars).withColumn("new", F.coalesce((c("direction") != F.lag("direction").over(series())).cast("long"), F.lit(1)))
     d = d.withColumn("island", F.sum("new").over(over(None)))
     run = F.row_number().over(Window.partitionBy("series_id", "island").orderBy("idx")).cast("long")
     sign = case((c("direction") == "UP", F.lit(1)), (c("direction") == "DOWN", F.lit(-1)), otherwise=F.lit(0))
@@ -154,7 +154,7 @@ def path_vectors(bars: DataFrame, length: int = 12) -> DataFrame:
     """The last ``length`` rows of (change, range, direction, body) in ATR units, zero rows in front where history is short."""
     f = features(bars)
     step = F.struct(
-        F.coalesce(ratio(c("close") - F.lag("close").over(SERIES), c("unit")), F.lit(0.0)).alias("change"), ratio("range", "unit").alias("range"),
+        F.coalesce(ratio(c("close") - F.lag("close").over(series()), c("unit")), F.lit(0.0)).alias("change"), ratio("range", "unit").alias("range"),
         F.signum(c("close") - c("open")).alias("direction"), ratio("body", "unit").alias("body"),
     )
     f = f.withColumn("step", step).withColumn("steps", F.collect_list("step").over(over(1 - length)))
@@ -165,7 +165,7 @@ def path_vectors(bars: DataFrame, length: int = 12) -> DataFrame:
 def _patterns() -> dict[str, Column]:
     r, b, u, lo = c("range"), c("body"), c("upper"), c("lower")
     up, down = c("close") > c("open"), c("close") < c("open")
-    was = lambda n, name: F.lag(name, n).over(SERIES)
+    was = lambda n, name: F.lag(name, n).over(series())
     up1, down1 = was(1, "close") > was(1, "open"), was(1, "close") < was(1, "open")
     up2, down2 = was(2, "close") > was(2, "open"), was(2, "close") < was(2, "open")
     covers = lambda low, high: (c("open") <= low) & (c("close") >= high)
@@ -199,7 +199,7 @@ def patterns(bars: DataFrame) -> DataFrame:
 def pattern_evaluation(bars: DataFrame) -> DataFrame:
     """Of each pattern: occurrences, share of prior pressure, confirmations within three bars (evaluation only: it reads the future)."""
     f = anatomy(bars).withColumns({
-        "up_before": F.sum((c("direction") == "UP").cast("long")).over(over(-5, -1)), "down_before": F.sum((c("direction") == "DOWN").cast("long")).over(over(-5, -1)), "later": F.lead("close", 3).over(SERIES),
+        "up_before": F.sum((c("direction") == "UP").cast("long")).over(over(-5, -1)), "down_before": F.sum((c("direction") == "DOWN").cast("long")).over(over(-5, -1)), "later": F.lead("close", 3).over(series()),
     })
     rows = patterns(bars).drop("direction").join(f, ["series_id", "idx"])
     rows = rows.withColumn("prior", case((c("up_before") > c("down_before"), "UP"), (c("down_before") > c("up_before"), "DOWN"), otherwise="FLAT"))

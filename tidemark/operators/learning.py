@@ -160,35 +160,38 @@ def closeness(a: Column, b: Column, scale: float) -> Column:
 def matches(bars: DataFrame) -> DataFrame:
     """Test rows against earlier rows of their series whose outcome is known: components, total similarity, contradiction gate, coarse filter.
 
-    History is keyed by series, window and horizon, so the theta condition is a filter on an equi-join.
+    History is keyed by series and horizon, so the theta condition is a filter on an equi-join. Pairs that could not pass
+    even with equal paths are left out before the paths are joined.
     """
-    rows = experience(bars).join(candles.path_vectors(bars).select("series_id", "idx", "path"), ["series_id", "idx"])
-    names = (*FEATURES, "candle_direction", "volatility_ratio", "body_ratio", "range_ratio", "path")
-    rows = rows.withColumn("body_ratio", c("body") / c("unit")).withColumn("range_ratio", c("range") / c("unit"))
+    rows = experience(bars).withColumn("body_ratio", c("body") / c("unit")).withColumn("range_ratio", c("range") / c("unit"))
+    names = (*FEATURES, "candle_direction", "volatility_ratio", "body_ratio", "range_ratio")
     q = tests_of(bars, rows).select("series_id", "window_no", "horizon", "idx", "oos_start", c("direction").alias("actual"), *(c(n).alias(f"q_{n}") for n in names))
     h = rows.filter("direction is not null").select("series_id", "horizon", c("idx").alias("h_idx"), "episode", "direction", "atr_return", "mfe_atr", "mae_atr", *(c(n).alias(f"h_{n}") for n in names))
     pairs = q.join(h, ["series_id", "horizon"]).filter((c("h_idx") + c("horizon") < c("oos_start")) & (c("h_idx") <= c("idx") - KEEP_GAP))
     same = lambda n: (c(f"q_{n}") == c(f"h_{n}")).cast("int")
-    pairs = pairs.withColumn("n_same", sum((same(n) for n in FEATURES[1:]), same(FEATURES[0])))
+    pairs = pairs.withColumns({
+        "n_same": sum((same(n) for n in FEATURES[1:]), same(FEATURES[0])), "structure": (same("trend") + same("event") + same("high_label") + same("low_label")) / 4,
+        **{n: same(n).cast("double") for n in ("sequence", "regime", "location", "momentum")}, "same_event": same("event"), "volatility": closeness(c("q_volatility_ratio"), c("h_volatility_ratio"), 0.35),
+        "candle": 0.8 * (0.45 * closeness(c("q_body_ratio"), c("h_body_ratio"), 0.75) + 0.35 * closeness(c("q_range_ratio"), c("h_range_ratio"), 0.90)) + 0.2 * same("candle_direction"),
+    }).drop(*(f"{side}_{n}" for side in "qh" for n in names))
     query = Window.partitionBy("series_id", "window_no", "horizon", "idx")
     pairs = pairs.withColumns({"n_strict": F.sum((c("n_same") >= 2).cast("int")).over(query), "n_relaxed": F.sum((c("n_same") >= 1).cast("int")).over(query)})
     need = case((c("n_strict") >= LEAST_CANDIDATES, F.lit(2)), (c("n_relaxed") >= LEAST_CANDIDATES, F.lit(1)), otherwise=F.lit(0))
-    pairs = pairs.filter(c("n_same") >= need)
-    row = lambda x, y: 0.40 * closeness(x["change"], y["change"], 0.65) + 0.25 * closeness(x["range"], y["range"], 0.80) + 0.20 * closeness(x["body"], y["body"], 0.70) + F.when(x["direction"] == y["direction"], 0.15).otherwise(0.0)
-    total = F.aggregate(F.zip_with("q_path", "h_path", row), F.lit(0.0), lambda a, x: a + x)
-    pairs = pairs.withColumns({
-        "structure": (same("trend") + same("event") + same("high_label") + same("low_label")) / 4, **{n: same(n).cast("double") for n in ("sequence", "regime", "location", "momentum")},
-        "volatility": closeness(c("q_volatility_ratio"), c("h_volatility_ratio"), 0.35), "path": total / F.size("q_path"),
-        "candle": 0.8 * (0.45 * closeness(c("q_body_ratio"), c("h_body_ratio"), 0.75) + 0.35 * closeness(c("q_range_ratio"), c("h_range_ratio"), 0.90)) + 0.2 * same("candle_direction"),
-    })
     weight = lambda n: case(*((c("horizon") == h, F.lit(w[n])) for h, w in WEIGHTS.items()), otherwise=F.lit(WEIGHTS[8][n]))
-    parts = tuple(WEIGHTS[8])
-    active = sum(((c(n) > 0).cast("int") for n in parts[1:]), (c(parts[0]) > 0).cast("int"))
-    quality = 0.55 * active / len(parts) + 0.45 * F.greatest("structure", "sequence", "regime")
+    parts = ("structure", "sequence", "regime", "location", "momentum", "volatility", "candle")
+    active = sum(((c(n) > 0).cast("int") for n in parts), F.lit(1))
+    quality = 0.75 + 0.25 * (0.55 * active / (len(parts) + 1) + 0.45 * F.greatest("structure", "sequence", "regime"))
     score = sum((weight(n) * c(n) for n in parts[1:]), weight(parts[0]) * c(parts[0]))
-    pairs = pairs.withColumn("quality", quality).withColumn("similarity", score * (0.75 + 0.25 * c("quality")))
-    clash = (same("regime") == 0) | ((same("event") == 0) & (c("structure") < 0.25)) | (same("sequence") == 0) | (same("momentum") == 0)
-    return pairs.filter(~(clash & (c("similarity") < 0.60))).filter(c("similarity") >= 0.42)
+    clash = (c("regime") == 0) | ((c("same_event") == 0) & (c("structure") < 0.25)) | (c("sequence") == 0) | (c("momentum") == 0)
+    pairs = pairs.filter(c("n_same") >= need).withColumns({"quality": quality, "partial": score, "floor": F.when(clash, 0.60).otherwise(0.42)})
+    total = lambda path: (c("partial") + weight("path") * path) * c("quality")
+    pairs = pairs.filter(total(F.lit(1.0)) >= c("floor") - 1e-9)
+    paths = candles.path_vectors(bars).select("series_id", "idx", "path")
+    pairs = pairs.join(paths.withColumnRenamed("path", "q_path"), ["series_id", "idx"]).join(paths.select("series_id", c("idx").alias("h_idx"), c("path").alias("h_path")), ["series_id", "h_idx"])
+    row = lambda x, y: 0.40 * closeness(x["change"], y["change"], 0.65) + 0.25 * closeness(x["range"], y["range"], 0.80) + 0.20 * closeness(x["body"], y["body"], 0.70) + F.when(x["direction"] == y["direction"], 0.15).otherwise(0.0)
+    summed = F.aggregate(F.zip_with("q_path", "h_path", row), F.lit(0.0), lambda a, x: a + x)
+    pairs = pairs.withColumn("path", summed / F.size("q_path")).drop("q_path", "h_path").withColumn("similarity", total(c("path")))
+    return pairs.filter(c("similarity") >= c("floor"))
 
 
 QUERY = ["series_id", "window_no", "horizon", "idx"]

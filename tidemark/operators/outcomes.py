@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import SERIES, case, over, ratio
+from tidemark.functions.columns import case, over, ratio, series
 from tidemark.operators.candles import features
 
 c = F.col
@@ -14,7 +14,7 @@ BAND = 0.25
 
 
 def _one(f: DataFrame, h: int) -> DataFrame:
-    future, high, low = F.lead("close", h).over(SERIES), F.max("high").over(over(1, h)), F.min("low").over(over(1, h))
+    future, high, low = F.lead("close", h).over(series()), F.max("high").over(over(1, h)), F.min("low").over(over(1, h))
     path = F.collect_list(F.struct("high", "low")).over(over(1, h))
     return f.select("series_id", "idx", "close", "atr", F.lit(h).alias("horizon"), future.alias("future"), high.alias("future_high"), low.alias("future_low"), path.alias("ahead"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import SERIES, case
+from tidemark.functions.columns import case, series
 
 
 def with_validity(bars: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def with_validity(bars: DataFrame) -> DataFrame:
 
 def audit(bars: DataFrame) -> DataFrame:
     """One row a series: rows, invalid bars, order breaks, duplicate times, verdict."""
-    rows = with_validity(bars).withColumn("before", F.lag("ts").over(SERIES))
+    rows = with_validity(bars).withColumn("before", F.lag("ts").over(series()))
     out = rows.groupBy("series_id").agg(
         F.count("*").alias("n_bars"), F.sum(1 - F.col("ohlc_valid")).alias("n_invalid"), F.sum(1 - F.col("contract_valid")).alias("n_contract_invalid"),
         F.count_if(F.col("ts") < F.col("before")).alias("n_disordered"), F.count_if(F.col("ts") == F.col("before")).alias("n_repeated"),
@@ -29,7 +29,7 @@ def audit(bars: DataFrame) -> DataFrame:
 def gaps(bars: DataFrame, factor: float = 1.5) -> DataFrame:
     """One row a series: modal interval in seconds (the smallest of equally common ones), gaps beyond factor times it, largest gap."""
     seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    delta = (seconds - F.lag(seconds).over(SERIES)).alias("delta")
+    delta = (seconds - F.lag(seconds).over(series())).alias("delta")
     deltas = bars.select("series_id", delta).filter("delta is not null")
     counts = deltas.groupBy("series_id", "delta").agg(F.count("*").alias("n"))
     # The distinct intervals of a series are few: counts, not rows, go on.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import EPS, SERIES, case, over
+from tidemark.functions.columns import EPS, case, over, series
 from tidemark.operators.candles import features
 
 c = F.col
@@ -18,7 +18,7 @@ def _carried(value: Column | str, last: int = 0) -> Column:
 
 def swings(bars: DataFrame, left: int = 3, right: int = 3, strict: bool = True) -> DataFrame:
     """Adds pivot_high, pivot_low (confirmed at this bar, ``right`` bars after the pivot) and their labels."""
-    high, low = F.lag("high", right).over(SERIES), F.lag("low", right).over(SERIES)
+    high, low = F.lag("high", right).over(series()), F.lag("low", right).over(series())
     sides = [over(-right - left, -right - 1), over(1 - right)]
     above = lambda w: high > F.max("high").over(w) if strict else high >= F.max("high").over(w)
     below = lambda w: low < F.min("low").over(w) if strict else low <= F.min("low").over(w)
@@ -66,7 +66,7 @@ def simple_structure(bars: DataFrame) -> DataFrame:
 def market_states(bars: DataFrame) -> DataFrame:
     """Structure and features with location, regime, momentum, sequence and the state key of the eight."""
     s = structure(features(bars))
-    one, two = F.lag("close", 1).over(SERIES), F.lag("close", 2).over(SERIES)
+    one, two = F.lag("close", 1).over(series()), F.lag("close", 2).over(series())
     s = s.withColumns({"close_1": one, "close_2": two})
     vol, r1, r3, r8 = c("volatility_ratio"), c("r1"), c("r3"), c("r8")
     s = s.withColumns({
@@ -83,7 +83,7 @@ def market_states(bars: DataFrame) -> DataFrame:
 def episodes(bars: DataFrame) -> DataFrame:
     """Market states with episode numbers: a new one at every change of trend, regime or sequence, at every event, and every GAP bars."""
     s = market_states(bars)
-    was = lambda x: F.lag(x).over(SERIES)
+    was = lambda x: F.lag(x).over(series())
     changed = (c("idx") > 0) & ((c("trend") != was("trend")) | (c("regime") != was("regime")) | (c("sequence") != was("sequence")) | (c("event") != "NONE"))
     s = s.withColumn("changed", changed.cast("long")).withColumn("run", F.sum("changed").over(over(None)))
     s = s.withColumn("offset", F.row_number().over(Window.partitionBy("series_id", "run").orderBy("idx")) - 1)
@@ -93,7 +93,7 @@ def episodes(bars: DataFrame) -> DataFrame:
 
 def regime_runs(states: DataFrame) -> DataFrame:
     """Persistence (bars so far in the regime), stability over the last 20 bars, kind of transition."""
-    s = states.withColumn("before", F.lag("regime").over(SERIES)).withColumn("new", F.coalesce((c("regime") != c("before")).cast("long"), F.lit(0)))
+    s = states.withColumn("before", F.lag("regime").over(series())).withColumn("new", F.coalesce((c("regime") != c("before")).cast("long"), F.lit(0)))
     s = s.withColumn("island", F.sum("new").over(over(None)))
     persistence = F.row_number().over(Window.partitionBy("series_id", "island").orderBy("idx")).cast("long")
     return s.withColumns({"persistence": persistence, "stability": 1 - F.avg("new").over(over(-19)), "transition": case((c("new") == 1, F.concat_ws(">", "before", "regime")), otherwise="NONE")})
@@ -116,7 +116,7 @@ def zones(bars: DataFrame, width: float = 0.6) -> DataFrame:
 def sequence_machine(bars: DataFrame) -> DataFrame:
     """IMPULSE, PULLBACK, CONTINUATION or FAILURE after each break: the state depends on the one before, so a fold over each series' array of bars."""
     s = structure(bars)
-    s = s.withColumn("step", F.struct("idx", "event", F.signum(c("close") - F.lag("close").over(SERIES)).alias("move")))
+    s = s.withColumn("step", F.struct("idx", "event", F.signum(c("close") - F.lag("close").over(series())).alias("move")))
     folded = s.groupBy("series_id").agg(F.array_sort(F.collect_list("step")).alias("steps"))
 
     def advance(acc: Column, x: Column) -> Column:

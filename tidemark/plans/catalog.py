@@ -2,5 +2,161 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions.columns import case, over, series, tidy
+from tidemark.operators import candles, evaluation, learning, outcomes, quality, structure
+from tidemark.plans.oracle import state
+from tidemark.sources import bars as source
+
+c = F.col
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _add(name: str, build: Callable[[DataFrame], DataFrame], cte: str | None, columns: str, bars: Query = source.hourly) -> None:
+    QUERIES[name] = lambda spark, sf_dir: tidy(build(bars(spark, sf_dir)), columns)
+    if cte:
+        ORACLE_SQL[name] = state(cte, columns)
+
+
+def _relative(bars: DataFrame) -> DataFrame:
+    median = lambda x: F.percentile(F.when(c(x) > 0, c(x)), 0.5).over(over(-20, -1))
+    f = candles.anatomy(bars).withColumns({"med": median("range"), "vmed": median("volume")})
+    size, vol = c("range") / c("med"), c("volume") / c("vmed")
+    return f.withColumns({
+        "size_state": case((c("med").isNull(), "UNKNOWN"), (size < 0.5, "VERY_SMALL"), (size < 0.8, "SMALL"), (size <= 1.25, "NORMAL"), (size <= 1.75, "LARGE"), otherwise="VERY_LARGE"),
+        "volume_state": case((c("vmed").isNull(), "UNKNOWN"), (vol >= 2, "VERY_HIGH"), (vol >= 1.3, "HIGH"), (vol <= 0.6, "LOW"), otherwise="NORMAL"),
+    })
+
+
+def _path_rows(bars: DataFrame) -> DataFrame:
+    rows = candles.path_vectors(bars).select("series_id", "idx", F.posexplode("path").alias("k", "p"))
+    # A flat bar's unit is tiny, so ratios are shown up to a million only.
+    shown = lambda n: F.greatest(F.least(c(f"p.{n}"), F.lit(1e6)), F.lit(-1e6)).alias(f"p_{n}")
+    return rows.select("series_id", "idx", c("k").cast("long"), *(shown(n) for n in ("change", "range", "direction", "body")))
+
+
+def _ngrams(bars: DataFrame) -> DataFrame:
+    letter = F.left("direction", F.lit(1))
+    grams = candles.anatomy(bars).withColumn("pattern", F.concat(F.lag(letter, 2).over(series()), F.lag(letter, 1).over(series()), letter)).select("series_id", "idx", "pattern")
+    rows = grams.join(outcomes.outcomes(bars), ["series_id", "idx"]).filter("pattern is not null and price_direction is not null")
+    return rows.groupBy("pattern", "horizon").agg(F.count("*").alias("n"), *(F.count_if(c("price_direction") == d).alias(f"n_{d}") for d in ("bullish", "bearish", "neutral")))
+
+
+def _transitions(bars: DataFrame) -> DataFrame:
+    moves = structure.market_states(bars).select("regime", F.lag("regime").over(series()).alias("prev"))
+    return moves.filter("prev is not null").groupBy("prev", "regime").agg(F.count("*").alias("n"))
+
+
+def _report(bars: DataFrame) -> DataFrame:
+    rows = learning.experience(bars).filter("direction is not null")
+    out = rows.groupingSets([[], [c("horizon")], [c("direction")], [c("series_id"), c("horizon")]], "series_id", "horizon", "direction")
+    level = F.grouping("series_id") + 2 * F.grouping("horizon") + 4 * F.grouping("direction")
+    return out.agg(level.alias("level"), F.count("*").alias("n"), F.avg("atr_return").alias("mean_return"))
+
+
+def _deciles(bars: DataFrame) -> DataFrame:
+    rows = evaluation.scored(learning.conditional_baseline(bars), "direction").withColumn("confidence", F.round("confidence", 9))
+    return evaluation.equal_count_buckets(rows, "horizon", [c("confidence"), c("series_id"), c("idx")], c("hit"))
+
+
+def _spearman(bars: DataFrame) -> DataFrame:
+    rows = learning.experience(bars).select("horizon", F.round("volatility_ratio", 9).alias("v"), F.round("atr_return", 9).alias("r"))
+    return evaluation.spearman(rows, "horizon", "v", "r")
+
+
+def _overlaps(bars: DataFrame) -> DataFrame:
+    rows = outcomes.outcomes(bars).filter("future is not null").select("series_id", "horizon", "idx", (c("idx") + c("horizon")).alias("stop"))
+    parts = [quality.overlapping_targets(rows.filter(c("horizon") == h)).withColumn("horizon", F.lit(h)) for h in outcomes.HORIZONS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _prefix(bars: DataFrame) -> DataFrame:
+    """States of all bars and of the first 100 alone, both up to there."""
+    keep = lambda s: s.select("series_id", "idx", "state_key", F.round("atr", 7)).filter("idx < 100")
+    return evaluation.differing(keep(structure.market_states(bars)), keep(structure.market_states(bars.filter("idx < 100"))))
+
+
+def _suffix(bars: DataFrame) -> DataFrame:
+    keep = lambda s: s.select("series_id", "idx", "state_key", "episode").filter("idx < 100")
+    return evaluation.differing(keep(structure.episodes(bars)), keep(structure.episodes(evaluation.with_changed_future(bars, 100))))
+
+
+def _leak_audit(bars: DataFrame) -> DataFrame:
+    return quality.boundary_violations(learning.top_matches(bars).select("series_id", c("idx").alias("query_idx"), c("h_idx").alias("input_idx")))
+
+
+def _scored(f: Callable[..., DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    return lambda bars: f(learning.conditional_baseline(bars), actual="direction")
+
+
+ID = "series_id idx"
+CASE_ID = "series_id window_no horizon idx"
+P = "~p_up ~p_down ~p_neutral"
+
+_add("bars_hourly", lambda b: b, "bars", f"{ID} ~open ~high ~low ~close volume")
+_add("bars_daily_orders", lambda b: b, "daily", f"{ID} ~open ~high ~low ~close volume", source.daily_orders)
+_add("resample_3x", lambda b: source.resample(b, 3), "resampled", "series_id end_idx ~open ~high ~low ~close volume")
+_add("multi_timeframe", source.multi_timeframe, "multi", f"{ID} ~close ~close_3 ~open_3 ~close_12 ~open_12")
+_add("row_fingerprints", source.fingerprints, "prints", f"{ID} fingerprint")
+_add("ohlc_audit", quality.audit, "audited", "series_id n_bars n_invalid n_contract_invalid n_disordered n_repeated n_duplicates verdict")
+_add("gap_audit", quality.gaps, "gaps", "series_id modal n_gaps largest n_backward")
+_add("price_volume_stats", quality.statistics, "stats", "series_id ~first_close ~last_close ~max_high ~min_low ~mean_range ~median_range ~mean_body n_volume ~mean_volume min_volume max_volume")
+_add("candle_anatomy", candles.anatomy, "anatomy", f"{ID} ~range ~body ~upper ~lower direction ~body_share ~upper_share ~lower_share ~close_location")
+_add("rolling_features", candles.features, "feat", f"{ID} ~true_range ~atr ~r1 ~r3 ~r8 ~r16 ~volatility_ratio ~range_atr ~sma20 ~location20 ~volume_ratio ~rolling_volatility ~unit")
+_add("candle_classes", candles.classes, "classes", f"{ID} label size_class body_class wick_class family volume_state volatility_state location_state")
+_add("candle_language", candles.language, "language", f"{ID} body_size range_size wick_profile behaviours sentence")
+_add("relative_size_volume", _relative, "relative", f"{ID} ~med size_state ~vmed volume_state")
+_add("indicators_rsi_sma_atr", candles.indicators, "indicators", f"{ID} ~rsi ~momentum atr_regime ma_bias ~sma50")
+_add("macd", candles.macd, "macd", f"{ID} ~macd ~signal ~histogram state")
+_add("direction_streaks", candles.streaks, "streaks", f"{ID} streak signed_streak exhausted")
+_add("window_context", candles.window_context, "context", f"{ID} ~imbalance ~change60 body_momentum rejection pressure break_state")
+_add("level_events", candles.level_events, "levels", f"{ID} break_event sweep displacement alignment ~high_distance ~low_distance")
+_add("path_vectors", _path_rows, "path_shown", f"{ID} k ~p_change ~p_range ~p_direction ~p_body")
+_add("named_patterns", candles.patterns, "patterns", f"{ID} direction pattern")
+_add("pattern_evaluation", candles.pattern_evaluation, "pattern_eval", "pattern n n_after_up n_after_down n_higher n_lower n_pending")
+_add("direction_ngrams", _ngrams, "ngram", "pattern horizon n n_bullish n_bearish n_neutral")
+_add("confirmed_swings", lambda b: structure.swings(candles.features(b)), "swings", f"{ID} ~pivot_high ~pivot_low high_mark low_mark")
+_add("structure_events", lambda b: structure.structure(candles.features(b)), "structure", f"{ID} ~last_high ~last_low high_label low_label event trend event_index event_age structure_age")
+_add("structure_snapshot", structure.simple_structure, "simple", f"{ID} event trend high_label low_label")
+_add("market_state", structure.market_states, "states", f"{ID} trend event location regime momentum sequence state_key ~volatility_ratio")
+_add("episodes", structure.episodes, "episodes", f"{ID} episode state_key")
+_add("regime_runs", lambda b: structure.regime_runs(structure.market_states(b)), "regime_runs", f"{ID} regime persistence ~stability transition")
+_add("regime_transitions", _transitions, "transitions", "prev regime n")
+_add("state_frequency", lambda b: learning.state_frequency(structure.market_states(b)), "frequency", "bucket n_states n_rows")
+_add("zone_touches", structure.zones, "zones", "series_id zone ~zone_low ~zone_high n_pivots n_touches n_rejections last_touch")
+_add("sequence_machine", structure.sequence_machine, None, f"{ID} sequence")
+_add("outcomes", outcomes.outcomes, "outcomes", f"{ID} horizon quality direction price_direction ~raw_return ~atr_return ~mfe_atr ~mae_atr time_to_high time_to_low")
+_add("outcome_distribution", lambda b: outcomes.distribution(outcomes.outcomes(b)), "distribution", "series_id horizon n ~up ~down ~neutral ~mean_return ~median_return ~mean_mfe ~mean_mae")
+_add("threshold_grid", lambda b: outcomes.threshold_grid(outcomes.outcomes(b)), "thresholds", "horizon ~threshold n_up n_down n ~score")
+_add("overlapping_targets", _overlaps, "overlap", f"{ID} horizon n_overlapping")
+_add("grouping_report", _report, "report", "series_id horizon direction level n ~mean_return")
+_add("walk_forward_windows", learning.windows, "wins", "series_id window_no oos_start oos_end")
+_add("conditional_baseline", learning.conditional_baseline, "baseline", f"{CASE_ID} direction level support {P}")
+_add("hierarchical_state", learning.hierarchical, "hier", f"{CASE_ID} direction {P}")
+_add("unseen_states_anti", learning.unseen_states, "unseen", f"{CASE_ID} state_key")
+_add("seen_states_semi", learning.seen_states, "seen", f"{CASE_ID} state_key")
+_add("rule_mining", learning.rules, "rules", "horizon window_no rule n says ~confidence ~lift")
+_add("rule_validation", learning.rule_validation, "rule_check", "horizon window_no rule says n_matches n_hits")
+_add("rule_predictions", learning.rule_predictions, "rule_best", "series_id idx horizon window_no direction rule says ~confidence")
+_add("stable_rules", learning.stable_rules, "rule_stable", "horizon rule n_windows says ~mean_confidence")
+_add("retrieval_topk", learning.top_matches, "top", f"{CASE_ID} rank h_idx episode direction ~similarity")
+_add("retrieval_shares", learning.retrieval_shares, "shares", f"{CASE_ID} n ~best ~share_up ~share_down ~share_neutral ~mean_return ~mean_mfe ~mean_mae")
+_add("retrieval_decision", learning.decisions, "decisions", f"{CASE_ID} {P} ~margin prediction reason")
+_add("retrieval_boundary_audit", _leak_audit, "zone_inputs", "series_id n_inputs n_violations")
+_add("knn_probability", learning.nearest_neighbours, "knn", f"{CASE_ID} n {P}")
+_add("centroid_classifier", learning.nearest_centroid, "centroid", f"{CASE_ID} direction prediction")
+_add("online_walk_forward", learning.online_walk_forward, "online", f"{ID} state_key support ~p_bullish ~p_bearish ~p_neutral prediction actual")
+_add("walkforward_metrics", _scored(evaluation.metrics), "metrics", "horizon n ~accuracy ~majority ~brier ~log_loss ~balanced ~macro_f1")
+_add("confusion_matrix", _scored(evaluation.confusion), "confusion", "horizon actual said n")
+_add("calibration_ece", _scored(evaluation.calibration), "calib", "horizon ~ece ~mce n_bins")
+_add("confidence_deciles", _deciles, "deciles", "horizon bucket n ~mean_value")
+_add("spearman", _spearman, "spear", "horizon n ~rho")
+_add("block_permutation", _scored(evaluation.shifted_accuracy), "shifted", "horizon shift n ~accuracy")
+_add("prefix_invariance", _prefix, "nothing", "only_first only_second")
+_add("suffix_mutation", _suffix, "nothing", "only_first only_second")
