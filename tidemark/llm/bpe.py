@@ -165,7 +165,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
-        for batch in batches:
+        for batch in common.slices(batches, 256):
             out = []
             for r in batch.to_pylist():
                 raw, ids_of = _raw(r["text"]), {g["digest"]: g["ids"] for g in r["given"] or []}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import lexer
+from tidemark.llm import common, lexer
 
 WINDOW, LEAST_LITERAL, COVERAGE = 8, 4, 0.5
 #: Benchmark windows up to this number are looked up inside the scan of the documents; beyond it, all windows are shuffled.
@@ -109,7 +109,7 @@ def template_windows(df: DataFrame, row_id: str, sizes: list[int] | None = None,
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             ids, keys, texts = (c.to_pylist() for c in batch.columns)
             for a, b in lexer.by_bytes(texts):
                 t, out = Templates(texts[a:b]), []

@@ -30,7 +30,7 @@ def _byte_characters() -> list[str]:
 class Encoder:
     """One per worker process: the caches live as long as the worker, and never hold more than ``most`` words."""
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

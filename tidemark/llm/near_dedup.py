@@ -107,7 +107,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, node, bands) of every row; bands is empty for a text without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             texts = batch.column(2).to_pylist()
             for a, b in lexer.by_bytes(texts):
                 doc, element = shingles(texts[a:b])
@@ -124,7 +124,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, words) for the nodes of wanted (doc_id, node): the sorted 32-bit hashes of each one's shingle set."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             texts = batch.column(1).to_pylist()
             for a, b in lexer.by_bytes(texts):
                 doc, h = shingles(texts[a:b])
@@ -142,7 +142,7 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) pairs of nodes with the Jaccard similarity of their shingle sets."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             out = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 u, v = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
@@ -180,7 +180,7 @@ def rebanded(members: DataFrame, sets: DataFrame, level: int, bands: int = BANDS
     """Split buckets by a signature of their own for this level: members meet again as likely as two texts do at first."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             words = [np.frombuffer(x, "<u4") for x in batch.column(2).to_pylist()]
             doc = np.repeat(np.arange(len(words)), [len(x) for x in words])
             element = lexer.mix(np.concatenate(words).astype(np.uint64), 50 + level) if words else np.zeros(0, np.uint64)

@@ -29,7 +29,6 @@ from tidemark.llm import common, lexer
 SAMPLE, BINS = 2500, 8
 MODULUS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
-BATCH = 4 << 20
 
 _KINDS = np.zeros((256, 6), np.int64)  # upper-case letters, letters, plain marks, other marks, digits, spaces
 _KINDS[65:91, 0] = _KINDS[65:91, 1] = _KINDS[97:123, 1] = _KINDS[192:, 1] = 1
@@ -176,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | N
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(pick(0).unionByName(pick(1))), "doc_id").select("quality", "text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             quality, own = (c.to_pylist() for c in batch.columns)
             for a, b in lexer.by_bytes(own):
                 doc, length, measures = line_measures(own[a:b])
@@ -203,12 +202,12 @@ def score(docs: DataFrame, field: Field | None) -> DataFrame:
     schema, at = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]), docs.columns.index("text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             texts = batch.column(at).to_pylist()
             if field is None:
                 values = [np.array([float(bool((t or "").strip())) for t in texts])]
             else:
-                values = [field.score(texts[a:b]) for a, b in lexer.by_bytes(texts, BATCH)]
+                values = [field.score(texts[a:b]) for a, b in lexer.by_bytes(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(values) if values else np.zeros(0))], [*batch.schema.names, "quality_score"])
 
     return docs.mapInArrow(apply, schema)

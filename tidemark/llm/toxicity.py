@@ -103,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     texts = common.written(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("positive", "text"), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             flags, own = (c.to_pylist() for c in batch.columns)
             for a, b in lexer.by_bytes(own):
                 doc, h = text_features(own[a:b])
@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     model = Model(np.sort(np.array(chosen, np.int64).view(np.uint64)), np.zeros(len(chosen)), -40.0)
 
     def design(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             flags, own = (c.to_pylist() for c in batch.columns)
             for a, b in lexer.by_bytes(own):
                 doc, feature = model.rows(own[a:b])
@@ -145,7 +145,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("toxicity_score", T.DoubleType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             texts = batch.column(at).to_pylist()
             values = [model.score(texts[a:b]) for a, b in lexer.by_bytes(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(values) if values else np.zeros(0))], [*batch.schema.names, "toxicity_score"])
