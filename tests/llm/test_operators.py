@@ -135,7 +135,8 @@ def test_fingerprints(spark, docs, empty):
             half = len(text) // 2
             assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256((text[: len(text) - half] + nexts[r.doc_id][:half]).encode()).hexdigest())
     of = {r.doc_id: r.fingerprint for r in got}
-    assert of[6] == of[8] != of[7] and of[3] == of[10]
+    # 7 differs from 6 in one word of 800, so that all samples may agree; 13 shares no word with it.
+    assert of[6] == of[8] != of[13] and of[3] == of[10]
 
 
 def test_fingerprints_estimate_jaccard(spark):

@@ -110,14 +110,14 @@ _indexes: dict[str, Index] = {}
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row."""
     folder = common.shared_dir(pages.sparkSession, "url-index")
-    lengths = common.written(write_index(rules, folder), "url-index-rows").head()
+    lengths = common.written(write_index(rules, folder), "url-index-rows").head()  # none where there are no rules: then no file is written
     path_lengths = list(lengths["path_lengths"]) if lengths else []
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if folder not in _indexes:
+        if path_lengths and folder not in _indexes:
             _indexes[folder] = Index(folder)
         for batch in batches:
-            rules_of = _indexes[folder].longest(batch.column(1).to_pylist(), batch.column(2).to_pylist(), path_lengths)
+            rules_of = _indexes[folder].longest(batch.column(1).to_pylist(), batch.column(2).to_pylist(), path_lengths) if path_lengths else [None] * batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([r and r[1] + r[2] for r in rules_of], pa.string()), pa.array([r[0] if r else default for r in rules_of], pa.string())],
                 ["page_id", "host", "path", "rule", "verdict"],
