@@ -78,4 +78,5 @@ def document_token_counts(docs: DataFrame, vocabulary: str | None = None) -> Dat
     spark: SparkSession = docs.sparkSession
     names = common.written(write_flat(docs, common.shared_dir(spark, "flat"), vocabulary or vocabulary_path()), "flat-names")
     counts = count_tokens(names.filter("file_ids is not null").select("file", "file_ids"))
-    return names.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")
+    # File names compress so well that the table's size on disk says little of its size in memory: never broadcast it.
+    return names.hint("merge").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")
