@@ -8,12 +8,12 @@ Jaccard similarity. Only darts up to a rank that fills all coordinates are throw
 empty. Signatures are cut into BANDS bands of ROWS coordinates; equal bands make buckets.
 
 A bucket is never expanded into pairs. A round compares its members with one pivot on the exact shingle sets and
-links those of similarity THRESHOLD or more. Jaccard distance is a metric, so a member that links to the pivot
-can link to one that does not only if their distances to it differ by at most 1 - THRESHOLD; other linked members
-leave, as their links to each other follow from those to the pivot. After PIVOT_ROUNDS rounds buckets of at most
-LOCAL members are settled each in one task; larger ones, such as those of a passage that many otherwise
-different texts share, are split by bands of a further signature and go through rounds again.
-Classes are the connected components, found by large-star and small-star rounds.
+links those of similarity THRESHOLD or more. Links found in any bucket then label what they connect; a bucket whose
+members share one label is settled. Jaccard distance is a metric, so a member that links to the pivot can link to one
+that does not only if their distances to it differ by at most 1 - THRESHOLD; other linked members leave.
+After PIVOT_ROUNDS rounds, buckets of at most LOCAL members are settled each in one task; larger ones, such as those of
+a passage that many otherwise different texts share, are split by bands of a further signature and go through rounds
+again. Classes are the connected components, found by large-star and small-star rounds.
 
 A pair of similarity s meets in a bucket with probability 1 - (1 - s**ROWS)**BANDS: 0.9999 at 0.8, nearer 1 above.
 Shingle sets are compared by 32-bit hashes. Words are lower-cased runs of letters and digits; a text of one to
@@ -35,7 +35,7 @@ from tidemark.llm import common, lexer
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 30, 6
-PIVOT_ROUNDS, LOCAL = 2, 1000
+PIVOT_ROUNDS, LOCAL = 1, 1000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -157,23 +157,39 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "words_a", "words_b").mapInArrow(compare, "a binary, b binary, similarity double")
 
 
-def pivot_round(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Compare each bucket's members with one of them: (links found, members that may still have links).
+def labelled(members: DataFrame, stars: DataFrame | None) -> DataFrame:
+    """Members (key, node) with the label of their part of what is linked so far; buckets of one label are settled and go."""
+    if stars is None:
+        named = members.select("key", "node", F.col("node").alias("label"))
+    else:
+        labels = stars.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
+        named = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    return common.written(named.join(mixed.select("key"), "key", "left_semi"), "dedup-members")
 
-    members: (key, node, open); a pivot is the least open node of its bucket. After the round, open members are
-    those that do not link to the pivot; of the others only those stay that may link to an open one.
+
+def pivot_round(members: DataFrame, sets: DataFrame, stars: DataFrame | None, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Compare each bucket's members with one of them: (links found, all stars, members that may still have links).
+
+    members: (key, node, label), those of one label are linked to each other already. A pivot is the least node of
+    its bucket's rarest label, so a large label is met once for each member outside it. Only members of other labels
+    are compared with it; the pivot then leaves. A member that links to the pivot stays only if its distance lets it
+    link to one that still has another label.
     """
     slack = 1 - threshold + 1e-9
-    pivots = members.groupBy("key").agg(F.coalesce(F.min(F.when(F.col("open"), F.col("node"))), F.min("node")).alias("pivot"))
-    with_pivot = members.join(pivots, "key").filter("node <> pivot")
-    pairs = with_pivot.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    each = members.groupBy("key", "label").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    pivots = each.groupBy("key").agg(F.min(F.struct("n", "node", "label")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.label").alias("own"))
+    with_pivot = members.join(pivots, "key").filter("node <> pivot").select("key", "node", "pivot", (F.col("label") == F.col("own")).alias("same"))
+    pairs = with_pivot.filter("not same").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     compared = common.written(similarities(pairs, sets), "dedup-compared")
-    judged = with_pivot.join(compared, (F.col("node") == F.col("a")) & (F.col("pivot") == F.col("b")))
-    judged = judged.select("key", "node", (F.col("similarity") < threshold).alias("open"), (1 - F.col("similarity")).alias("far"))
-    reach = judged.filter("open").groupBy("key").agg(F.min("far").alias("nearest"))
-    stay = judged.join(reach, "key").filter(F.col("open") | (F.col("far") >= F.col("nearest") - slack)).select("key", "node", "open")
-    left = stay.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    return compared.filter(F.col("similarity") >= threshold), common.written(stay.join(left, "key"), "dedup-members")
+    linked = compared.filter(F.col("similarity") >= threshold)
+    edges = linked.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    stars = star_rounds(edges if stars is None else edges.unionByName(stars), 2)
+    far = compared.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("similarity")).alias("far"))
+    judged = with_pivot.join(far, ["node", "pivot"], "left").select("key", "node", "far", F.coalesce(F.col("far") > slack, F.lit(False)).alias("open"))
+    reach = judged.groupBy("key").agg(F.min(F.when(F.col("open"), F.col("far"))).alias("nearest"), F.count_if(F.col("far").isNull()).alias("unseen"))
+    stay = judged.join(reach, "key").filter(F.col("open") | F.col("far").isNull() | (F.col("unseen") > 0) | (F.col("far") >= F.col("nearest") - slack))
+    return linked, stars, labelled(stay, stars)
 
 
 def rebanded(members: DataFrame, sets: DataFrame, level: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -191,21 +207,22 @@ def rebanded(members: DataFrame, sets: DataFrame, level: int, bands: int = BANDS
 
     keyed = members.select("key", "node").join(sets, "node").select("key", "node", "words").mapInArrow(sign, "key long, node binary")
     left = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    return keyed.join(left, "key").select("key", "node", F.lit(True).alias("open"))
+    return keyed.join(left, "key").select("key", "node")
 
 
 def bucket_links(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, k: int = BANDS * ROWS) -> DataFrame:
     """Links inside buckets of at most LOCAL members, each bucket in one task.
 
     Signatures of k coordinates, made from the sets, come first: pairs that agree in less than half of them (some ten
-    standard deviations below 0.8) are passed over; the others are compared exactly until they are connected.
+    standard deviations below 0.8) are passed over; the others are compared exactly until they are connected, as those
+    of one label are from the start.
     """
 
     def find(bucket: pa.Table) -> pa.Table:
         nodes, words = bucket.column("node").to_pylist(), [np.frombuffer(x, "<u4") for x in bucket.column("words").to_pylist()]
         doc = np.repeat(np.arange(len(words)), [len(x) for x in words])
         signs = dart_signatures(doc, lexer.mix(np.concatenate(words).astype(np.uint64), 49), np.ones(len(doc)), len(words), k)
-        root, a, b, s = np.arange(len(words)), [], [], []
+        root, a, b, s = np.unique(np.array([x.hex() for x in bucket.column("label").to_pylist()]), return_inverse=True)[1], [], [], []
         for i in range(len(words) - 1):
             near = i + 1 + np.flatnonzero((signs[i + 1 :] == signs[i]).mean(1) >= 0.5)
             for j in near.tolist():
@@ -216,7 +233,7 @@ def bucket_links(members: DataFrame, sets: DataFrame, threshold: float = THRESHO
                         a, b, s = [*a, nodes[i]], [*b, nodes[j]], [*s, value]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "similarity": pa.array(s, pa.float64())})
 
-    rows = members.select("key", "node").join(sets, "node")
+    rows = members.select("key", "node", "label").join(sets, "node")
     return rows.groupBy("key").applyInArrow(find, "a binary, b binary, similarity double")
 
 
@@ -225,12 +242,12 @@ def links(docs: DataFrame, signatures: DataFrame, threshold: float = THRESHOLD,
     nodes = signatures.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"))
     keyed = nodes.select("node", "doc_id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = common.written(keyed.join(shared, "key").select("key", "node", "doc_id", F.lit(True).alias("open")), "dedup-members")
+    members = common.written(keyed.join(shared, "key").select("key", "node", "doc_id", F.col("node").alias("label")), "dedup-members")
     sets = common.written(shingle_sets(docs, members.select("node", "doc_id").distinct()), "dedup-sets")
-    members, found, level = members.drop("doc_id"), [], 0
+    members, stars, found, level = members.drop("doc_id"), None, [], 0
     while True:
         for _ in range(PIVOT_ROUNDS):
-            linked, members = pivot_round(members, sets, threshold)
+            linked, stars, members = pivot_round(members, sets, stars, threshold)
             found.append(linked)
         sizes = members.groupBy("key").agg(F.count("*").alias("n"))
         found.append(bucket_links(members.join(sizes.filter(F.col("n") <= local), "key"), sets, threshold))
@@ -238,18 +255,20 @@ def links(docs: DataFrame, signatures: DataFrame, threshold: float = THRESHOLD,
         if large.isEmpty():
             break
         level += 1
-        members = common.written(rebanded(large, sets, level), "dedup-members")
+        members = labelled(rebanded(large, sets, level), stars)
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node that has an edge (a, b); root is the least node of its component."""
-    edges = common.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "star")
-    state = None
-    while True:
+def star_rounds(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Edges (u, v), u > v, after large-star and small-star rounds: all of them until nothing changes, or the given number.
+
+    At the end v is the least node of u's component; after fewer rounds it is some node of that component.
+    """
+    edges, state, done = edges.filter("u <> v").distinct(), None, 0
+    while rounds is None or done < rounds:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -257,11 +276,19 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(small_least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         edges = common.written(small, "star")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        if now == state:
-            break
-        state = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        done += 1
+        if rounds is None:
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
+            if now == state:
+                break
+            state = now
+    return edges
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node that has an edge (a, b); root is the least node of its component."""
+    stars = star_rounds(common.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "star"))
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
