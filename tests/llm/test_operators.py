@@ -151,6 +151,16 @@ def test_fingerprints_estimate_jaccard(spark):
     assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.12
 
 
+def test_fingerprints_of_long_texts(spark):
+    """Texts of 6,000 distinct terms: neighbours share none of them, or 3,000, a third of their union."""
+    text = lambda start: " ".join(f"w{k}" for k in range(start, start + 6000))
+    apart = spark.createDataFrame([(k, text(6000 * k)) for k in range(8)], "doc_id long, text string")
+    assert max(r.near_next for r in fingerprints.compared(apart).collect()) <= 1 / 32
+    half = spark.createDataFrame([(k, text(3000 * k)) for k in range(9)], "doc_id long, text string")
+    near = [r.near_next for r in fingerprints.compared(half).collect() if r.doc_id > 0]
+    assert abs(np.mean(near) - 1 / 3) < 0.09
+
+
 def test_darts_estimate_weighted_jaccard():
     e = lexer.mix(np.arange(900, dtype=np.uint64))
     doc = np.repeat([0, 1], 900)

@@ -4,8 +4,8 @@ A text's terms are its lower-cased words between white space and common marks, w
 from hashes of the term. With t = floor(ln(weight) / r + b) the term's value is ln a = ln c - r * (t - b + 1), and the
 sample is the (term, t) of the least value: two texts agree in it with their generalised Jaccard similarity.
 
-Variates are looked up: a term is hashed to one of COORDINATES coordinates, and a table of that fixed size holds
-each coordinate's variates, so that it may be broadcast. Terms that share a coordinate add their weights.
+Variates are computed for each distinct term of a text, from hashes of the term's own 64-bit hash: only equal terms
+share them (two of a billion different terms would share a hash with a chance of 1 in 37).
 
 Texts move once: rows are dealt to id buckets, which follow one another in id order, and all further steps keep to
 the bucket. The next document of a bucket's last row is the first row of the following bucket.
@@ -17,22 +17,22 @@ ignored, an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES, COORDINATES = 32, 1 << 13
+SAMPLES = 32
 RANGES = 64
 MARKS = "\n\t\r.,;:!?()\"'"
 ROWS_A_BUCKET = 100
 
 
-def variates(spark: SparkSession, samples: int = SAMPLES, coordinates: int = COORDINATES) -> DataFrame:
-    """(coordinate, r, ln_c, b): arrays of one number a sample."""
-    u = lambda salt: (F.shiftrightunsigned(F.xxhash64("coordinate", "k", F.lit(salt)), 11).cast("double") + 0.5) * 2.0**-53
-    rows = spark.range(coordinates).select(F.col("id").cast("int").alias("coordinate"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("k"))
-    rows = rows.select("coordinate", "k", F.struct("k", (-F.log(u(1)) - F.log(u(2))).alias("r"), F.log(-F.log(u(3)) - F.log(u(4))).alias("c"), u(5).alias("b")).alias("v"))
-    rows = rows.groupBy("coordinate").agg(F.array_sort(F.collect_list("v")).alias("v"))
-    return rows.select("coordinate", F.col("v.r").alias("r"), F.col("v.c").alias("ln_c"), F.col("v.b").alias("b"))
+def variates(term: Column, k: int) -> tuple[Column, Column, Column]:
+    """r, ln c and b of sample k for a term, given by its hash: numbers from parts of two further hashes."""
+    first, second = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
+    u = lambda x, start, bits: (F.shiftrightunsigned(x, start).bitwiseAND(F.lit((1 << bits) - 1)).cast("double") + 0.5) * 2.0**-bits
+    r = -F.log(u(first, 0, 21) * u(first, 21, 21))
+    ln_c = F.log(-F.log(u(second, 0, 32) * u(second, 32, 32)))
+    return r, ln_c, u(first, 42, 22)
 
 
 def id_bucket(docs: DataFrame, rows_a_bucket: int = ROWS_A_BUCKET) -> Column:
@@ -73,22 +73,22 @@ def terms(text: Column) -> Column:
     return F.split(F.translate(F.lower(text), MARKS, " " * len(MARKS)), " ")
 
 
-def signatures(rows: DataFrame, keys: list[str], samples: int = SAMPLES, coordinates: int = COORDINATES) -> DataFrame:
+def signatures(rows: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
     """rows (keys, text) -> (keys, signature): array of ``samples`` longs, no row for a text without words.
 
     No shuffle beyond one by the first key.
     """
     words = rows.select(*keys, F.explode(terms(F.col("text"))).alias("term")).filter("term <> ''")
-    exploded = words.select(*keys, F.pmod(F.hash("term"), F.lit(coordinates)).alias("coordinate"))
-    weighed = exploded.groupBy(*keys, "coordinate").agg(F.count("*").alias("n"))
-    both = weighed.join(F.broadcast(variates(rows.sparkSession, samples, coordinates)), "coordinate").withColumn("ln_w", F.log("n"))
+    weighed = words.select(*keys, F.xxhash64("term").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
+    both = weighed.withColumn("ln_w", F.log("n"))
 
     def value(k: int) -> Column:
-        r, b = F.get("r", F.lit(k)), F.get("b", F.lit(k))
+        r, ln_c, b = variates(F.col("term"), k)
         t = F.floor(F.col("ln_w") / r + b)
-        ln_a = F.get("ln_c", F.lit(k)) - r * (t - b + 1)
-        # The value in the upper bits decides, (coordinate, t) in the lower ones name the sample.
-        return F.shiftleft(F.floor((F.greatest(ln_a, F.lit(-250.0)) + 256) * (1 << 18)), 36).bitwiseOR(F.col("coordinate").cast("long") * (1 << 20) + F.pmod(t, F.lit(1 << 20)))
+        ln_a = ln_c - r * (t - b + 1)
+        # The value in the upper bits decides, (term, t) in the lower ones name the sample.
+        name = F.col("term").bitwiseXOR(F.shiftleft(F.pmod(t, F.lit(1 << 20)), 16)).bitwiseAND(F.lit((1 << 36) - 1))
+        return F.shiftleft(F.floor((F.greatest(ln_a, F.lit(-250.0)) + 256) * (1 << 18)), 36).bitwiseOR(name)
 
     least = [F.min(value(k)).alias(f"s{k}") for k in range(samples)]
     return both.groupBy(*keys).agg(*least).select(*keys, F.array(*(f"s{k}" for k in range(samples))).alias("signature"))
@@ -100,7 +100,7 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
 
 
 def fingerprint(signature: Column) -> Column:
-    """Nine hexadecimal digits a sample: the (coordinate, t) of each."""
+    """Nine hexadecimal digits a sample: the (term, t) of each."""
     return F.concat_ws("", F.transform(signature, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit((1 << 36) - 1)))), 9, "0")))
 
 
