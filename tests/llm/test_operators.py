@@ -161,6 +161,18 @@ def test_fingerprints_of_long_texts(spark):
     assert abs(np.mean(near) - 1 / 3) < 0.09
 
 
+def test_fingerprints_before_and_after_texts_without_words(spark):
+    """near_next is 0 between a text with words and one without, and 1 between two without, within a bucket as between buckets."""
+    texts = {9: "a b c", 8: None, 7: "a b c", 6: " ,. ", 5: "", 4: "a b c", 3: "a b c", 2: "...", 1: "d e"}
+    want = {9: 0.0, 8: 0.0, 7: 0.0, 6: 1.0, 5: 0.0, 4: 1.0, 3: 0.0, 2: 0.0, 1: 0.0}
+    near = lambda d: {r.doc_id: r.near_next for r in fingerprints.compared(d).collect()}
+    assert near(spark.createDataFrame(list(texts.items()), "doc_id long, text string")) == want
+    # A thousand rows between the first and the others make more than one bucket of many rows.
+    more = [(100 + k, None if k % 2 else f"x{k} y{k}") for k in range(1000)]
+    got = near(spark.createDataFrame(more, "doc_id long, text string"))
+    assert set(got.values()) == {0.0} and len(got) == 1000
+
+
 def test_darts_estimate_weighted_jaccard():
     e = lexer.mix(np.arange(900, dtype=np.uint64))
     doc = np.repeat([0, 1], 900)

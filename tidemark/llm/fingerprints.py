@@ -74,13 +74,14 @@ def terms(text: Column) -> Column:
 
 
 def signatures(rows: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """rows (keys, text) -> (keys, signature): array of ``samples`` longs, no row for a text without words.
+    """rows (keys, text) -> (keys, signature): array of ``samples`` longs, null for a text without words.
 
     No shuffle beyond one by the first key.
     """
-    words = rows.select(*keys, F.explode(terms(F.col("text"))).alias("term")).filter("term <> ''")
-    weighed = words.select(*keys, F.xxhash64("term").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
-    both = weighed.withColumn("ln_w", F.log("n"))
+    words = rows.select(*keys, F.explode(terms(F.col("text"))).alias("term"))
+    # The empty strings between words stay as one null term a text, which has no values.
+    weighed = words.select(*keys, F.when(F.col("term") != "", F.xxhash64("term")).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
+    both = weighed.withColumn("ln_w", F.when(F.col("term").isNotNull(), F.log("n")))
 
     def value(k: int) -> Column:
         r, ln_c, b = variates(F.col("term"), k)
@@ -91,7 +92,8 @@ def signatures(rows: DataFrame, keys: list[str], samples: int = SAMPLES) -> Data
         return F.shiftleft(F.floor((F.greatest(ln_a, F.lit(-250.0)) + 256) * (1 << 18)), 36).bitwiseOR(name)
 
     least = [F.min(value(k)).alias(f"s{k}") for k in range(samples)]
-    return both.groupBy(*keys).agg(*least).select(*keys, F.array(*(f"s{k}" for k in range(samples))).alias("signature"))
+    signature = F.when(F.col("s0").isNotNull(), F.array(*(f"s{k}" for k in range(samples))))
+    return both.groupBy(*keys).agg(*least).select(*keys, signature.alias("signature"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -120,9 +122,8 @@ def compared(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("signature")))
     pivoted = signed.groupBy(*keys).agg(of(0).alias("own"), of(1).alias("edited"), of(2).alias("head"))
     w = Window.partitionBy("bucket").orderBy("place")
-    # A text without words has no row here: the next one's signature is taken only if its place follows.
-    near = F.when(F.lead("place").over(w) == F.col("place") + 1, F.lead("own").over(w))
-    with_lead = pivoted.select(*keys, "own", "edited", F.coalesce(near, "head").alias("next"))
+    # Texts without words keep their row and their place; only the last row of a bucket has no lead, and only it has a head.
+    with_lead = pivoted.select(*keys, "own", "edited", F.coalesce(F.lead("own").over(w), "head").alias("next"))
     facts = rows.select(*keys, "doc_id", "n_chars", F.sha2(edited.cast("binary"), 256).alias("edited_sha256"))
     nothing = F.array_repeat(F.lit(-1).cast("long"), samples)
     out = facts.join(with_lead, keys, "left").withColumns({c: F.coalesce(c, nothing) for c in ("own", "edited", "next")})
