@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tidemark.functions.columns import series
 from tidemark.operators import candles, evaluation, learning, outcomes, quality, structure
 from tidemark.plans import catalog
 from tidemark.sources import bars as source
@@ -91,6 +92,18 @@ def test_past_does_not_depend_on_future(spark):
     assert tuple(evaluation.differing(keep(table), keep(evaluation.with_changed_future(table, 90))).head()) == (0, 0)
 
 
+def test_audits_find_late_dependence_on_the_future(spark):
+    """Features that read the next bar after bar 150 of 400 only, a price or the volume, next to one that doesn't."""
+    table = spark.createDataFrame(walk(400, 3, "a") + walk(400, 4, "b"), BARS)
+    ahead = lambda n: lambda d: d.withColumn("leak", F.when(F.col("idx") > 150, F.lead(n).over(series())))
+    assert sorted(r.cut for r in evaluation.cuts(table).collect()) == [40, 40, 100, 100, 200, 200, 300, 300]
+    for n in ("close", "volume"):
+        for suffix in (False, True):
+            assert tuple(evaluation.future_dependence(table, ahead(n), suffix).head()) == (4, 4)
+    for suffix in (False, True):
+        assert tuple(evaluation.future_dependence(table, structure.episodes, suffix).head()) == (0, 0)
+
+
 def test_flat_bars_and_warm_up(spark):
     rows = [("s", k, 5.0, 5.0, 5.0, 5.0, 1) for k in range(20)]
     f = candles.features(spark.createDataFrame(rows, BARS)).orderBy("idx").collect()

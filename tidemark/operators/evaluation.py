@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +81,31 @@ def differing(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).agg(F.count("*").alias("only_first")).crossJoin(b.exceptAll(a).agg(F.count("*").alias("only_second")))
 
 
-def with_changed_future(bars: DataFrame, cut: int) -> DataFrame:
-    """Bars whose prices from index ``cut`` on are moved: what is computed before the cut must not change."""
-    return bars.withColumns({p: F.when(c("idx") >= cut, c(p) * 1.137 + 17).otherwise(c(p)) for p in ("open", "high", "low", "close")})
+def with_changed_future(bars: DataFrame, cut: int | Column) -> DataFrame:
+    """Bars whose prices and volume from index ``cut`` on are changed: what is computed before the cut must not change."""
+    late = lambda p, changed: F.when(c("idx") >= cut, changed).otherwise(c(p))
+    return bars.withColumns({**{p: late(p, c(p) * 1.137 + 17) for p in ("open", "high", "low", "close")}, "volume": late("volume", c("volume") * 2 + 100)})
+
+
+CUT_SHARES = (0.10, 0.25, 0.50, 0.75)
+
+
+def cuts(bars: DataFrame, shares: tuple[float, ...] = CUT_SHARES) -> DataFrame:
+    """(series_id, cut): the bars in each of ``shares`` of every series, at least one."""
+    first = F.min("idx")
+    at = F.transform(F.array(*(F.lit(x) for x in shares)), lambda x: first + F.greatest(F.floor(F.count("*") * x), F.lit(1)))
+    return bars.groupBy("series_id").agg(at.alias("at")).select("series_id", F.explode(F.array_distinct("at")).alias("cut"))
+
+
+def future_dependence(bars: DataFrame, features: Callable[[DataFrame], DataFrame], suffix: bool = False) -> DataFrame:
+    """Rows before each cut in which any column of ``features`` differs when later bars are missing or, with ``suffix``, changed.
+
+    Each series is computed once as it is and once for each cut, under a name of its own.
+    """
+    at = F.broadcast(cuts(bars))
+    named = bars.join(at, "series_id").withColumn("series_id", F.concat_ws("@", "series_id", "cut"))
+    other = with_changed_future(named, c("cut")) if suffix else named.filter("idx < cut")
+    limit = lambda d: d.filter(c("idx") < F.substring_index("series_id", "@", -1).cast("long"))
+    whole, other = features(bars).join(at, "series_id").withColumn("series_id", F.concat_ws("@", "series_id", "cut")).drop("cut"), features(other.drop("cut"))
+    shown = lambda d: limit(d).select(*(F.round(n, 7).alias(n) if t in ("double", "float") else c(n) for n, t in sorted(d.dtypes)))
+    return differing(shown(whole), shown(other))

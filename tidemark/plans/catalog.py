@@ -77,14 +77,13 @@ def _overlaps(bars: DataFrame) -> DataFrame:
 
 
 def _prefix(bars: DataFrame) -> DataFrame:
-    """States of all bars and of the first 100 alone, both up to there."""
-    keep = lambda s: s.select("series_id", "idx", "state_key", F.round("atr", 7)).filter("idx < 100")
-    return evaluation.differing(keep(structure.market_states(bars)), keep(structure.market_states(bars.filter("idx < 100"))))
+    """Features of all bars and of those before each cut alone, both up to there."""
+    return evaluation.future_dependence(bars, structure.episodes)
 
 
 def _suffix(bars: DataFrame) -> DataFrame:
-    keep = lambda s: s.select("series_id", "idx", "state_key", "episode").filter("idx < 100")
-    return evaluation.differing(keep(structure.episodes(bars)), keep(structure.episodes(evaluation.with_changed_future(bars, 100))))
+    """Features of all bars and of bars changed from each cut on, both up to there."""
+    return evaluation.future_dependence(bars, structure.episodes, suffix=True)
 
 
 def _leak_audit(bars: DataFrame) -> DataFrame:
