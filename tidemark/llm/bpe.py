@@ -2,9 +2,10 @@
 
 A rolling hash over the bytes cuts texts into chunks at the same places wherever the same content stands. Of
 chunks that occur more than once, the first occurrence is encoded once, and the other documents take the ids
-from there. A shared chunk's ids cover its body, from its first to its last white space; what stands between
-bodies is encoded in place. Each seam is checked by encoding the words on both sides of it as one text: where
-that disagrees with the parts, the body is given up and encoded in place, until the ids agree exactly.
+from there. Chunks are cut anywhere, inside words too, so ids near a cut may be wrong. Each join is repaired:
+the last words of the chunk before it, what stands between, and the first words of the chunk after it are
+encoded as one text, and again with twice as many words on both sides, until the new ids agree with those of the
+chunks on a whole word at either end. A chunk that is used up without agreement is given up and encoded in place.
 
 Only chunk digests are counted over all documents; texts move once, to their documents' plans, and only
 documents that take ids from others move again.
@@ -16,8 +17,7 @@ own row. Extra columns are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from tidemark.llm import common, lexer
 from tidemark.llm.encoder import Encoder, encoder, vocabulary_path
 
 WINDOW, MASK_BITS, LEAST, MOST = 48, 10, 512, 8192  # bytes
-_SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
+CONTEXT, LEAST_WORDS = 2, 8  # words on each side of a join to begin with; words of a chunk that can be shared
 _SCHEMA = "kind string, doc_id long, text_key long, text string, digest binary, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string, plan array<struct<start:int,stop:int,digest:binary>>"
 
 
@@ -37,10 +37,9 @@ def chunk_ends(raw: bytes) -> list[int]:
     n = len(raw)
     if n <= LEAST:
         return [n] if n else []
-    data = np.frombuffer(raw, np.uint8)
-    sums = lexer.prefix_sums(data)
-    stop = np.arange(WINDOW, n + 1)
-    marks = stop[(lexer.span_hash(sums, stop - WINDOW, stop) >> np.uint64(64 - MASK_BITS)) == 0]
+    data, block = np.frombuffer(raw, np.uint8), 1 << 20
+    found = [a + WINDOW + np.flatnonzero((lexer.rolling_hash(data[a : a + block + WINDOW - 1], WINDOW) >> np.uint64(64 - MASK_BITS)) == 0) for a in range(0, n - WINDOW + 1, block)]
+    marks = np.concatenate(found)
     marks = marks[(marks >= n) | ((data[np.minimum(marks, n - 1)] & 0xC0) != 0x80)]  # never inside a character
     ends, at = [], 0
     while n - at > LEAST:
@@ -55,22 +54,12 @@ def chunk_ends(raw: bytes) -> list[int]:
     return ends
 
 
-def body(chunk: bytes) -> tuple[int, int]:
-    """The part of a chunk between its first and its last white space; empty where there is none."""
-    first = _SPACE.search(chunk)
-    if not first:
-        return 0, 0
-    last = len(chunk) - 1
-    while not _SPACE.match(chunk, last):
-        last -= 1
-    return first.start(), last + 1
-
-
 def chunks(raw: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(start, stop, 128-bit digest) of each chunk whose body holds most of it."""
+    """(start, stop, 128-bit digest) of each chunk with LEAST_WORDS words, for a join needs words on both sides."""
     at = 0
     for end in chunk_ends(raw):
-        yield at, end, hashlib.blake2b(raw[at:end], digest_size=16).digest()
+        if raw.count(b" ", at, end) + raw.count(b"\n", at, end) >= LEAST_WORDS:
+            yield at, end, hashlib.blake2b(raw[at:end], digest_size=16).digest()
         at = end
 
 
@@ -98,26 +87,90 @@ def _digests(e: Encoder, ids: list[int]) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(" ".join([digits[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest()
 
 
-def agrees(e: Encoder, left: bytes, right: bytes) -> bool:
-    """Whether the last word of left and the first word of right get the same ids together as apart."""
-    a, b = re.search(rb"\S*\s*\Z", left[-300:]), re.match(rb"\s*\S*", right[:300])
-    x, y = a[0].decode("utf-8", "ignore"), b[0].decode("utf-8", "ignore")
-    return e.encode_exactly(x + y) == e.encode_exactly(x) + e.encode_exactly(y)
-
-
-def assemble(e: Encoder, raw: bytes, taken: list[tuple[int, int, np.ndarray]]) -> list[int]:
-    """Ids of a text of which bodies [start, stop) have known ids, in order of place."""
-    kept: list[tuple[int, int, np.ndarray]] = []
-    for start, stop, ids in taken:
-        if agrees(e, raw[:start][-600:], raw[start : start + 600]) and agrees(e, raw[start:stop][-600:], raw[stop : stop + 600]):
-            kept.append((start, stop, ids))
-    edges = [0, *(x for start, stop, _ in kept for x in (start, stop)), len(raw)]
-    gaps = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(edges[::2], edges[1::2], strict=True)]
-    flat, at = e.encode(gaps)
-    pieces = [flat[at[0] : at[1]]]
-    for k, (_, _, ids) in enumerate(kept, 1):
-        pieces += [ids, flat[at[k] : at[k + 1]]]
-    return np.concatenate(pieces).tolist()
+def _before(raw: bytes, low: int, stop: int, words: int) -> int:
+    """Where the last ``words`` words of raw[low:stop] begin, with the white space in front; low if there are fewer."""
+    at = stop
+    for _ in range(words):
+        at = max(raw.rfind(b" ", low, at), raw.rfind(b"\n", low, at))
+        if at < 0:
+            return low
+    return at
+
+
+def _after(raw: bytes, start: int, high: int, words: int) -> int:
+    """Where the first ``words`` words of raw[start:high] end; high if there are fewer."""
+    at = start
+    for _ in range(words):
+        found = [k for k in (raw.find(b" ", at + 1, high), raw.find(b"\n", at + 1, high)) if k >= 0]
+        if not found:
+            return high
+        at = min(found)
+    return at
+
+
+Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+Taken = list[tuple[int, int, np.ndarray]]
+
+
+def assemble(encode: Encode, texts: list[tuple[bytes, Taken]], context: int = CONTEXT) -> list[np.ndarray]:
+    """Ids of each text, of which chunks [start, stop), in order of place, have known ids: see the module on joins.
+
+    encode gives the ids of many texts at once and their bounds. Join k of a text lies between its chunks k - 1 and k.
+    """
+    texts = [(raw, list(taken)) for raw, taken in texts]
+    done: list[dict[int, tuple[int, np.ndarray, int]]] = [{} for _ in texts]
+    width = [[context] * (len(taken) + 1) for _, taken in texts]
+
+    def span(t: int, k: int) -> tuple[int, int]:
+        raw, taken = texts[t]
+        low = _before(raw, taken[k - 1][0], taken[k - 1][1], width[t][k]) if k else 0
+        return low, _after(raw, taken[k][0], taken[k][1], width[t][k]) if k < len(taken) else len(raw)
+
+    todo = [(t, k) for t, (_, taken) in enumerate(texts) for k in range(len(taken) + 1)]
+    while todo:
+        parts: list[str] = []
+        for t, k in todo:
+            raw, taken = texts[t]
+            low, high = span(t, k)
+            left, right = taken[k - 1][1] if k else 0, taken[k][0] if k < len(taken) else len(raw)
+            first, last = _after(raw, low, left, 1), _before(raw, right, high, 1)
+            parts += [raw[a:b].decode("utf-8", "surrogatepass") for a, b in ((low, high), (low, left), (right, high), (low, first), (last, high))]
+        flat, at = encode(parts)
+        of = lambda k: flat[at[k] : at[k + 1]]
+        again = set()
+        for n, (t, k) in enumerate(todo):
+            taken = texts[t][1]
+            whole, x, y, f, g = (of(5 * n + m) for m in range(5))
+            agree_left = not k or (len(f) <= len(whole) and _ends(taken[k - 1][2], x) and _starts(x, f) and _starts(whole, f))
+            agree_right = k == len(taken) or (_starts(taken[k][2], y) and _ends(y, g) and _ends(whole, g))
+            if agree_left and agree_right:
+                done[t][k] = (len(x), whole, len(y))
+            else:
+                width[t][k] *= 2
+                again.add((t, k))
+        for t in {t for t, _ in todo}:
+            taken = texts[t][1]
+            spent = [k for k in range(len(taken)) if span(t, k)[1] > span(t, k + 1)[0]]
+            if spent:
+                texts[t] = (texts[t][0], [c for k, c in enumerate(taken) if k not in spent])
+                done[t], width[t] = {}, [context] * (len(taken) - len(spent) + 1)
+                again = {x for x in again if x[0] != t} | {(t, k) for k in range(len(taken) - len(spent) + 1)}
+        todo = sorted(again)
+    out = []
+    for (_, taken), joins in zip(texts, done, strict=True):
+        pieces = [joins[0][1]]
+        for k, (_, _, ids) in enumerate(taken):
+            pieces += [ids[joins[k][2] : len(ids) - joins[k + 1][0]], joins[k + 1][1]]
+        out.append(np.concatenate(pieces))
+    return out
+
+
+def _starts(ids: np.ndarray, part: np.ndarray) -> bool:
+    return len(part) <= len(ids) and bool((ids[: len(part)] == part).all())
+
+
+def _ends(ids: np.ndarray, part: np.ndarray) -> bool:
+    return len(part) <= len(ids) and bool((ids[len(ids) - len(part) :] == part).all())
 
 
 def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -140,9 +193,8 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
     def encode_part(e: Encoder, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         own = [(_raw(r["text"]), [p for p in r["plan"] or [] if p["own"]]) for r in rows]
         bodies = [(p["digest"], raw[p["start"] : p["stop"]]) for raw, plan in own for p in plan]
-        spans = [body(b) for _, b in bodies]
         whole = [r for r in rows if all(p["own"] for p in r["plan"] or [])]
-        flat, at = e.encode([b[i:j].decode("utf-8", "surrogatepass") for (_, b), (i, j) in zip(bodies, spans, strict=True)] + [r["text"] for r in whole])
+        flat, at = e.encode([b.decode("utf-8", "surrogatepass") for _, b in bodies] + [r["text"] for r in whole])
         out = [{"kind": "chunk", "digest": d, "ids": flat[at[k] : at[k + 1]].astype("<u2").tobytes()} for k, (d, _) in enumerate(bodies)]
         for k, r in enumerate(whole, len(bodies)):
             n, ids, decoded = _digests(e, flat[at[k] : at[k + 1]].tolist())
@@ -166,15 +218,13 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
         for batch in common.slices(batches, 256):
+            rows, texts = batch.to_pylist(), []
+            for r in rows:
+                ids_of = {g["digest"]: np.frombuffer(g["ids"], "<u2") for g in r["given"] or []}
+                texts.append((_raw(r["text"]), [(p["start"], p["stop"], ids_of[p["digest"]]) for p in r["plan"] if p["digest"] in ids_of]))
             out = []
-            for r in batch.to_pylist():
-                raw, ids_of = _raw(r["text"]), {g["digest"]: g["ids"] for g in r["given"] or []}
-                taken = []
-                for p in r["plan"]:
-                    i, j = body(raw[p["start"] : p["stop"]])
-                    if j > i and p["digest"] in ids_of:
-                        taken.append((p["start"] + i, p["start"] + j, np.frombuffer(ids_of[p["digest"]], "<u2")))
-                n, ids_hash, decoded = _digests(e, assemble(e, raw, taken))
+            for r, ids in zip(rows, assemble(e.encode, texts), strict=True):
+                n, ids_hash, decoded = _digests(e, ids.tolist())
                 out.append({"whole": r["whole"], "n_tokens": n, "ids_sha256": ids_hash, "decoded_sha256": decoded})
             if out:
                 yield pa.RecordBatch.from_pylist(out, pa.schema([("whole", pa.string()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))

@@ -52,7 +52,6 @@ class Templates:
     def __init__(self, texts: list[str | None]):
         w = lexer.words(texts)
         low, capital = _folded(w.data)
-        folded = lexer.prefix_sums(low)
         # A sentence starts after . ! ? : or a line end, with marks and spaces between.
         stop = np.isin(w.data, np.frombuffer(b".!?:\n", np.uint8))
         stops = np.concatenate([[0], np.cumsum(stop)])
@@ -70,7 +69,7 @@ class Templates:
         end = w.end[np.concatenate([heads[1:] - 1, [len(joined) - 1]])] if len(heads) else w.end
         w = w.only(~joined)
         w.end, opens, digits = end, opens[heads], digits[heads]
-        code = lexer.span_hash(folded, w.start, w.end)
+        code = lexer.hash_spans(low, w.start, w.end)
         wide = np.minimum(w.start + 1, len(w.data) - 1)
         title = capital[w.start] & ~capital[np.minimum(wide + (w.data[w.start] == 0xC3), len(w.data) - 1)] if len(w.start) else np.zeros(0, bool)
         unit = np.zeros(len(code), bool)

@@ -3,20 +3,23 @@
 The tokenizer splits text into words before any merge, drops white space and treats each word alone, so the
 ids of a text are the ids of its words in order. Numpy finds and hashes the words of a whole batch
 (``lexer``), a hash table in the worker maps them to ids, and only unseen words go through the model.
-Texts with apostrophes, special-token marks or characters beyond Latin letters are cut at ASCII white space
-only, and their pieces go through the whole tokenizer.
+Each hit in the table is confirmed on the word's length and bytes; a word that only shares a hash with a known one,
+or is longer than lexer.LONG, goes through the model itself. Texts with apostrophes, special-token marks or
+characters beyond Latin letters are cut at ASCII white space only, and their pieces go through the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
 from tidemark.llm import lexer
 
 _PLAIN = re.compile(r"[^\x00-&(-\x7fÀ-ÖØ-öø-įı-ɏ]")
+_SPACES = re.compile("[ \\n]")
 _PIECE = re.compile("[^ \t\n\x0b\x0c\r]+")
 
 
@@ -50,6 +53,9 @@ class Encoder:
         self.word_start = np.zeros(1 << 15, np.int64)
         self.word_count = np.zeros(1 << 15, np.int32)
         self.word_ids = np.zeros(1 << 16, np.uint16)
+        self.word_size = np.zeros(1 << 15, np.int64)
+        self.word_place = np.zeros(1 << 15, np.int64)
+        self.word_bytes, self.n_bytes = np.zeros(1 << 18, np.uint8), 0
         self.pieces: dict[str, list[int]] = {}
 
     # The hash table: open addressing with linear probes, all words of a batch at once.
@@ -80,50 +86,83 @@ class Encoder:
                 left[win] = False
                 h, numbers, at = h[left], numbers[left], (at[left] + 1) & (len(self.keys) - 1)
 
-    def _grow(self, words: int, ids: int) -> None:
+    def _grow(self, words: int, ids: int, n_bytes: int) -> None:
         if 2 * words > len(self.keys):
             old, number = self.keys, self.slot_word
             size = 1 << (2 * words).bit_length()
             self.keys, self.slot_word = np.zeros(size, np.uint64), np.zeros(size, np.int32)
             self._put(old[old != 0], number[old != 0])
-        for name, need in (("word_start", words), ("word_count", words), ("word_ids", ids)):
+        needs = {"word_start": words, "word_count": words, "word_size": words, "word_place": words, "word_ids": ids, "word_bytes": n_bytes + 8}
+        for name, need in needs.items():
             array = getattr(self, name)
             if need > len(array):
                 setattr(self, name, np.concatenate([array, np.zeros(max(need, 2 * len(array)) - len(array), array.dtype)]))
 
-    def _learn(self, w: lexer.Words, h: np.ndarray, missing: np.ndarray) -> None:
+    def _merged(self, raw: bytes) -> list[int]:
+        return [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.alphabet))]
+
+    def _learn(self, w: lexer.Words, h: np.ndarray, missing: np.ndarray, short: np.ndarray) -> None:
         fresh, first = np.unique(h[missing], return_index=True)
         if self.n_words + len(fresh) > self.most:
             self._clear()
-            fresh, first = np.unique(h, return_index=True)
-            missing = np.arange(len(h))
+            missing = np.flatnonzero(short)
+            fresh, first = np.unique(h[missing], return_index=True)
         raw = w.data.tobytes()
         start, end = w.start[missing[first]].tolist(), w.end[missing[first]].tolist()
-        merge, letters = self.model.tokenize, self.alphabet
-        ids = [[t.id for t in merge(raw[a:b].decode("latin-1").translate(letters))] for a, b in zip(start, end, strict=True)]
+        held = [raw[a:b] for a, b in zip(start, end, strict=True)]
+        ids = [self._merged(x) for x in held]
         count = np.fromiter(map(len, ids), np.int32, len(ids))
+        size = np.fromiter(map(len, held), np.int64, len(held))
         flat = np.fromiter((i for x in ids for i in x), np.uint16, int(count.sum()))
-        n, m = self.n_words, self.n_ids
-        self._grow(n + len(fresh), m + len(flat))
+        n, m, k = self.n_words, self.n_ids, self.n_bytes
+        self._grow(n + len(fresh), m + len(flat), k + int(size.sum()))
         self.word_ids[m : m + len(flat)] = flat
         self.word_count[n : n + len(fresh)] = count
         self.word_start[n : n + len(fresh)] = m + np.cumsum(count) - count
+        self.word_bytes[k : k + int(size.sum())] = np.frombuffer(b"".join(held), np.uint8)
+        self.word_size[n : n + len(fresh)] = size
+        self.word_place[n : n + len(fresh)] = k + np.cumsum(size) - size
         self._put(fresh, np.arange(n, n + len(fresh), dtype=np.int32))
-        self.n_words, self.n_ids = n + len(fresh), m + len(flat)
+        self.n_words, self.n_ids, self.n_bytes = n + len(fresh), m + len(flat), k + int(size.sum())
+
+    def _confirmed(self, w: lexer.Words, number: np.ndarray) -> np.ndarray:
+        """Whether each word has the length and the bytes of the known word of that number (below 0: none)."""
+        size = w.end - w.start
+        same = (number >= 0) & (self.word_size[number] == size)
+        # Hashes of words of up to seven bytes are their bytes, so length and hash are all there is to compare.
+        todo, place = np.flatnonzero(same & (size > 7)), 0
+        if len(todo):
+            own = lexer.eights(w.data)
+            known = np.ndarray(len(self.word_bytes) - 7, "<u8", self.word_bytes, strides=(1,))
+        while len(todo):
+            keep = lexer.first_bytes(size[todo] - place)
+            differ = (own[w.start[todo] + place] ^ known[self.word_place[number[todo]] + place]) & keep != 0
+            same[todo[differ]] = False
+            place += 8
+            todo = todo[~differ & (size[todo] > place)]
+        return same
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         w = lexer.words([t.lower() for t in texts], lone_digits=True)
         h = w.hashes
         h[h == 0] = 1
-        number = self._find(h)
-        missing = np.flatnonzero(number < 0)
+        short = w.end - w.start <= lexer.LONG
+        number = np.where(short, self._find(h), -1)
+        missing = np.flatnonzero(short & (number < 0))
         if len(missing):
-            self._learn(w, h, missing)
-            number = self._find(h)
+            self._learn(w, h, missing, short)
+            number = np.where(short, self._find(h), -1)
+        odd = np.flatnonzero(~self._confirmed(w, number)).tolist()
+        number[odd] = 0
         count = self.word_count[number].astype(np.int64)
+        alone = [self._merged(w.data[w.start[k] : w.end[k]].tobytes()) for k in odd]
+        count[odd] = [len(x) for x in alone]
         ends = np.cumsum(count)
         source = np.repeat(self.word_start[number] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
-        return self.word_ids[source], np.concatenate([[0], ends])[w.bounds]
+        ids = self.word_ids[np.minimum(source, len(self.word_ids) - 1)]
+        for k, x in zip(odd, alone, strict=True):
+            ids[ends[k] - len(x) : ends[k]] = x
+        return ids, np.concatenate([[0], ends])[w.bounds]
 
     def _piecewise(self, text: str) -> np.ndarray:
         out: list[int] = []
@@ -138,10 +177,11 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in one array, bounds): those of text k are ids[bounds[k]:bounds[k + 1]]."""
-        parts: list[np.ndarray] = []
-        sizes = np.zeros(len(texts), np.int64)
-        for a, b in lexer.by_bytes(texts):
-            own = [t or "" for t in texts[a:b]]
+        cut = [list(_pieces(t or "")) for t in texts]
+        whole, parts = [p for x in cut for p in x], []
+        sizes = np.zeros(len(whole), np.int64)
+        for a, b in lexer.by_bytes(whole):
+            own = whole[a:b]
             odd = [k for k, t in enumerate(own) if _PLAIN.search(t) or "<|" in t]
             slow = {k: self._piecewise(own[k]) for k in odd}
             flat, at = self._plain(["" if k in slow else t for k, t in enumerate(own)])
@@ -149,12 +189,28 @@ class Encoder:
                 flat = np.concatenate([slow.get(k, flat[at[k] : at[k + 1]]) for k in range(len(own))])
             parts.append(flat)
             sizes[a:b] = [len(slow[k]) if k in slow else at[k + 1] - at[k] for k in range(len(own))]
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint16), np.concatenate([[0], np.cumsum(sizes)])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint16), ends[np.concatenate([[0], np.cumsum([len(x) for x in cut])]).astype(np.int64)]
 
     def encode_exactly(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def _pieces(text: str, limit: int = 1 << 20) -> Iterator[str]:
+    """A long text cut at white space, which no word crosses; others whole."""
+    at = 0
+    while len(text) - at > limit:
+        cut = max(text.rfind(" ", at + 1, at + limit), text.rfind("\n", at + 1, at + limit))
+        if cut < 0:
+            found = _SPACES.search(text, at + limit)
+            if not found:
+                break
+            cut = found.start()
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 _encoders: dict[str, Encoder] = {}
 
 

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
 
@@ -47,15 +48,50 @@ def uniform(h: np.ndarray) -> np.ndarray:
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """sums[i] = sum of (byte + 1) * base**k over k < i, modulo 2**64."""
+    """sums[i] = sum of (byte + 1) * base**k over k < i, modulo 2**64: for rolling hashes of short windows only."""
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power_tables(len(data) + 1)[0][: len(data)], out=sums[1:])
     return sums
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The same value for equal bytes wherever they stand."""
-    return mix((sums[end] - sums[start]) * _power_tables(len(sums))[1][start])
+def rolling_hash(data: np.ndarray, window: int) -> np.ndarray:
+    """The hash of each ``window`` bytes; equal windows have equal hashes, but who confirms nothing must not trust them."""
+    sums = prefix_sums(data)
+    return mix((sums[window:] - sums[:-window]) * _power_tables(len(sums))[1][: len(sums) - window])
+
+
+_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+LONG = 256  # bytes
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``data`` on as one number; zeros follow the end."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def first_bytes(n: np.ndarray) -> np.ndarray:
+    """Masks of the first n (at most eight) of eight bytes."""
+    return _KEEP[np.minimum(n, 8)]
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, the same for equal bytes wherever they stand. Spans of at most seven bytes never share one."""
+    at, size = eights(data), end - start
+    first = at[start] & first_bytes(size)
+    h = mix(first | (np.minimum(size, 8).astype(np.uint64) << np.uint64(56)))
+    some = np.flatnonzero(size > 7)
+    if len(some):
+        h[some] = mix(size[some].astype(np.uint64), 9)
+    todo = some[size[some] <= LONG]
+    place = 0
+    while len(todo):
+        block = at[start[todo] + place] & first_bytes(size[todo] - place)
+        h[todo] = mix(h[todo] ^ block, 1)
+        place += 8
+        todo = todo[size[todo] > place]
+    for k in np.flatnonzero(size > LONG).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]])
+    return h
 
 
 @dataclass
@@ -67,16 +103,15 @@ class Words:
     doc: np.ndarray  # text number of each run
     bounds: np.ndarray  # runs of text d are bounds[d]:bounds[d + 1]
     edges: np.ndarray  # bytes of text d are edges[d]:edges[d + 1] - 1
-    sums: np.ndarray
 
     @property
     def hashes(self) -> np.ndarray:
-        return span_hash(self.sums, self.start, self.end)
+        return hash_spans(self.data, self.start, self.end)
 
     def only(self, keep: np.ndarray) -> "Words":
         kept = np.zeros(len(keep) + 1, np.int64)
         np.cumsum(keep, out=kept[1:])
-        return Words(self.data, self.start[keep], self.end[keep], self.kind[keep], self.doc[keep], kept[self.bounds], self.edges, self.sums)
+        return Words(self.data, self.start[keep], self.end[keep], self.kind[keep], self.doc[keep], kept[self.bounds], self.edges)
 
 
 def words(texts: list[str | None], lone_digits: bool = False, join_alnum: bool = False) -> Words:
@@ -102,7 +137,7 @@ def words(texts: list[str | None], lone_digits: bool = False, join_alnum: bool =
     start, end = start[visible], end[visible]
     bounds = np.searchsorted(start, edges)
     doc = np.repeat(np.arange(len(raw)), np.diff(bounds))
-    return Words(data, start, end, kind[start] if len(data) else np.zeros(0, np.uint8), doc, bounds, edges, prefix_sums(data))
+    return Words(data, start, end, kind[start] if len(data) else np.zeros(0, np.uint8), doc, bounds, edges)
 
 
 def by_bytes(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:

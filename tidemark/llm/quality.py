@@ -66,7 +66,7 @@ def line_measures(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     again = np.zeros(len(h), bool)
     again[1:] = (h[1:] == h[:-1]) & (line[1:] == line[:-1])
     repeats = np.bincount(line, again, len(stop))
-    whole = lexer.mix(lexer.span_hash(w.sums, start, stop) ^ lexer.mix(doc.astype(np.uint64), 3)) if len(start) else np.zeros(0, np.uint64)
+    whole = lexer.mix(lexer.hash_spans(data, start, stop) ^ lexer.mix(doc.astype(np.uint64), 3)) if len(start) else np.zeros(0, np.uint64)
     _, at, copies = np.unique(whole, return_inverse=True, return_counts=True)
     copies = np.where(length > 0, copies[at] if len(at) else 0, 1)
     size, some, many = np.maximum(length, 1), np.maximum(letters, 1), np.maximum(n_words, 1)

@@ -39,7 +39,7 @@ def text_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     parts, docs = [w.hashes], [w.doc]
     for n, salt in ((4, 4), (5, 5)):
         long = w.end - w.start >= n
-        parts.append(lexer.mix(lexer.span_hash(w.sums, w.start[long], w.start[long] + n), salt))
+        parts.append(lexer.mix(lexer.hash_spans(w.data, w.start[long], w.start[long] + n), salt))
         docs.append(w.doc[long])
     return np.concatenate(docs), np.concatenate(parts)
 
