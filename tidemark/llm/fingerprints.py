@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 SAMPLES = 32
 RANGES = 64
 MARKS = "\n\t\r.,;:!?()\"'"
-ROWS_A_BUCKET = 100
+ROWS_A_BUCKET, BUCKETS_A_GROUP = 100, 1000
 
 
 def variates(term: Column, k: int) -> tuple[Column, Column, Column]:
@@ -36,16 +36,36 @@ def variates(term: Column, k: int) -> tuple[Column, Column, Column]:
 
 
 def id_bucket(docs: DataFrame, rows_a_bucket: int = ROWS_A_BUCKET) -> Column:
-    """A bucket number that falls as doc_id rises: RANGES quantile ranges, each cut evenly; a null id comes last."""
-    n, cuts = docs.agg(F.count("*"), F.percentile_approx("doc_id", [k / RANGES for k in range(RANGES + 1)], 10000)).head()
+    """A bucket number that falls as doc_id rises: RANGES quantile ranges, each cut evenly; null ids come last, cut by ``place_hash``.
+
+    Differences are taken as doubles, which any long fits in and which keep the order.
+    """
+    n, n_null, cuts = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.percentile_approx("doc_id", [k / RANGES for k in range(RANGES + 1)], 10000)).head()
     cuts = sorted(set(cuts or [0]))
-    steps = max(1, -(-n // (rows_a_bucket * RANGES)))
-    bounds = F.array(*(F.lit(c) for c in cuts))
+    steps, null_steps = (max(1, -(-x // rows_a_bucket)) for x in (-(-n // RANGES), n_null))
+    bounds = F.array(*(F.lit(c).cast("long") for c in cuts))
     k = F.greatest(F.size(F.filter(bounds, lambda c: c <= F.col("doc_id"))), F.lit(1))
-    low, high = F.element_at(bounds, k), F.coalesce(F.try_element_at(bounds, k + 1), F.lit(cuts[-1] + 1))
-    inner = F.least(F.greatest(F.floor((F.col("doc_id") - low) * steps / (high - low)), F.lit(0)), F.lit(steps - 1))
+    low, high = F.element_at(bounds, k).cast("double"), F.coalesce(F.try_element_at(bounds, k + 1).cast("double"), F.lit(cuts[-1] + 1.0))
+    inner = F.floor((F.col("doc_id").cast("double") - low) * steps / F.greatest(high - low, F.lit(1.0)))
+    inner = F.least(F.greatest(inner, F.lit(0)), F.lit(steps - 1))
     number = F.lit(len(cuts) * steps + steps).cast("long") - k * steps - inner
-    return F.when(F.col("doc_id").isNull(), F.lit((len(cuts) + 1) * steps + 1).cast("long")).otherwise(number)
+    of_null = F.lit((len(cuts) + 1) * steps + 1).cast("long") + F.floor((F.col("place_hash").cast("double") + 2.0**63) * (null_steps / 2.0**64))
+    return F.when(F.col("doc_id").isNull(), of_null).otherwise(number)
+
+
+def following(buckets: DataFrame) -> DataFrame:
+    """(bucket) -> (bucket, after): the next number there is; after the last comes the first.
+
+    Numbers fall into groups of BUCKETS_A_GROUP, each one task; only the groups' first and last numbers, one row each,
+    come together.
+    """
+    grouped = buckets.withColumn("group", F.floor(F.col("bucket") / BUCKETS_A_GROUP))
+    inside = grouped.withColumn("after", F.lead("bucket").over(Window.partitionBy("group").orderBy("bucket")))
+    ends = grouped.groupBy("group").agg(F.min("bucket").alias("first"), F.max("bucket").alias("bucket"))
+    order = Window.orderBy("bucket")
+    least = F.min("first").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    between = ends.select("bucket", F.coalesce(F.lead("first").over(order), least).alias("between"))
+    return inside.join(between, "bucket", "left").select("bucket", F.coalesce("after", "between").alias("after"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -53,17 +73,12 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     last: the row is the last of its bucket, and its next document is the following bucket's first.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("place_hash", F.xxhash64("text"))
     rows = rows.withColumn("bucket", id_bucket(rows))
-    w = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text"), F.col("text"))
+    w = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), "place_hash", "text")
     placed = rows.select("bucket", "doc_id", "text", F.row_number().over(w).alias("place"), F.lead("text").over(w).alias("own_next"))
-    # One row a bucket: the order of buckets is a window over their numbers alone.
-    follows = Window.orderBy("bucket")
-    every = follows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = F.coalesce(F.lead("bucket").over(follows), F.min("bucket").over(every)).alias("after")
-    following = rows.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", after)
     heads = placed.filter("place = 1").select(F.col("bucket").alias("after"), F.col("text").alias("head"))
-    heads = following.join(heads, "after").select("bucket", "head")
+    heads = following(rows.select("bucket").distinct()).join(heads, "after").select("bucket", "head")
     last = F.col("own_next").isNull().alias("last")
     return placed.join(heads, "bucket").select("bucket", "place", "doc_id", "text", F.coalesce("own_next", "head").alias("next_text"), last)
 

@@ -1,25 +1,31 @@
 """Near-duplicate classes by DartMinHash.
 
-Equal texts are one node (MD5 of the text). Each node's five-word shingles throw hashed darts: a weighted
-element owns regions of the weight axis ([0, 1), then doubling ones), darts fall on a region as a Poisson
-process in rank that depends on the element's hash alone, and a dart counts where it lies below the element's
-weight. A coordinate keeps its earliest dart, so two signatures agree in a coordinate with the generalised
-Jaccard similarity. Only darts up to a rank that fills all coordinates are thrown; it doubles where one stays
-empty. Signatures are cut into BANDS bands of ROWS coordinates; equal bands make buckets.
-
-A bucket is never expanded into pairs. A round compares its members with one pivot on the exact shingle sets and
+Equal texts are one node (MD5 of the text). Each node's five-word shingles, weighted by how often they occur, throw
+hashed darts: a weighted element owns regions of the weight axis ([0, 1), then doubling ones), darts fall on a region
+as a Poisson process in rank that depends on the element's hash alone, and a dart counts where it lies below the
+element's weight. A coordinate keeps its earliest dart, so two signatures agree in a coordinate with the generalised
+Jaccard similarity (sum of lesser over sum of greater weights). Only darts up to a rank that fills all coordinates are
+thrown; it doubles where one stays empty. Signatures are cut into BANDS bands; equal bands make buckets. A pair at the
+threshold shares no bucket with a chance of at most MISS, other linked pairs with less: rows_of sets the band's length.
+
+A bucket is never expanded into pairs. A round compares its members with one pivot on the exact weighted shingles and
 links those of similarity THRESHOLD or more. Links found in any bucket then label what they connect; a bucket whose
-members share one label is settled. Jaccard distance is a metric, so a member that links to the pivot can link to one
-that does not only if their distances to it differ by at most 1 - THRESHOLD; other linked members leave.
-After PIVOT_ROUNDS rounds, buckets of at most LOCAL members are settled each in one task; larger ones, such as those of
-a passage that many otherwise different texts share, are split by bands of a further signature and go through rounds
-again. Classes are the connected components, found by large-star and small-star rounds.
-
-A pair of similarity s meets in a bucket with probability 1 - (1 - s**ROWS)**BANDS: 0.9999 at 0.8, nearer 1 above.
-Shingle sets are compared by 32-bit hashes. Words are lower-cased runs of letters and digits; a text of one to
-four words has one shingle, one without words only matches equal texts. Null counts as the empty text, and
-all empty texts are one class. Repeated rows stay in the result; a class of rows with null ids only has a null
-class id. Extra columns are ignored; an empty table gives no rows.
+members share one label is settled. The distance is a metric, so a member that links to the pivot can link to one
+that does not only if their distances to it differ by at most 1 - THRESHOLD; other linked members leave. What is left
+after a round is settled by blocks: a bucket of up to LOCAL members and LOCAL_BYTES bytes of shingles is one block in
+one task, a larger one (after LARGE_ROUNDS more rounds) is cut into b blocks and each pair of blocks is one task, so
+that a member's row occurs b times and no more. A task counts the shingles that all its pairs share by matrix products
+and gives back links that span its parts, never pairs. Classes are the connected components, by large-star and
+small-star rounds.
+
+Rows at most: BANDS a text, times b in buckets beyond a block. Comparisons grow with the square of a bucket that holds
+more than LOCAL texts of which none is linked to another; nothing is left out.
+
+Shingles are compared by 32-bit hashes; a shingle's n-th occurrence is an element of its own there, which makes the
+plain Jaccard similarity of the sets the generalised one of the counts. Words are lower-cased runs of letters and
+digits; a text of one to four words has one shingle, one without words only matches equal texts. Null counts as the
+empty text, and all empty texts are one class. Repeated rows stay in the result; a class of rows with null ids only
+has a null class id. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,8 +40,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import common, lexer
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 30, 6
-PIVOT_ROUNDS, LOCAL = 1, 1000
+BANDS, MISS = 30, 2e-4
+LOCAL, LOCAL_BYTES, LARGE_ROUNDS = 2000, 8 << 20, 2
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -59,11 +65,29 @@ def shingles(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray,
     return doc[order], value[order]
 
 
+def weighted(doc: np.ndarray, element: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, 44-bit element, how often it occurs there), sorted; at most 2**20 texts."""
+    pair, n = np.unique((doc.astype(np.uint64) << np.uint64(44)) | (element >> np.uint64(20)), return_counts=True)
+    return (pair >> np.uint64(44)).astype(np.int64), pair & np.uint64((1 << 44) - 1), n
+
+
+def occurrences(doc: np.ndarray, element: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sorted numbers (text << 32 | hash) of each element's first, second, ... occurrence."""
+    first = np.cumsum(n) - n
+    nth = (np.arange(n.sum()) - np.repeat(first, n)).astype(np.uint64)
+    h = lexer.mix(np.repeat(element, n) ^ (nth << np.uint64(44)), 6) >> np.uint64(32)
+    return np.unique((np.repeat(doc, n).astype(np.uint64) << np.uint64(32)) | h)
+
+
+def rows_of(threshold: float, bands: int = BANDS) -> int:
+    """The greatest band length at which a pair of that similarity shares no band with a chance of at most MISS."""
+    return max(1, int(np.log(1 - MISS ** (1 / bands)) / np.log(threshold)))
+
+
 def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int, k: int) -> np.ndarray:
     """(n_docs, k) signatures; the row of a document without elements is all ones.
 
-    A value holds the dart's rank in its upper half and 32 bits of the dart's hash in the lower. An element given
-    twice with one weight counts once.
+    A value holds the dart's rank in its upper half and 32 bits of the dart's hash in the lower.
     """
     out = np.full(n_docs * k, _EMPTY)
     total = np.bincount(doc, weight, n_docs)
@@ -103,15 +127,16 @@ def node(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
-def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def signed(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
     """(doc_id, node, bands) of every row; bands is empty for a text without words."""
+    rows = rows_of(threshold, bands)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             texts = batch.column(2).to_pylist()
             for a, b in lexer.by_bytes(texts):
-                doc, element = shingles(texts[a:b])
-                keys = band_keys(dart_signatures(doc, element, np.ones(len(doc)), b - a, bands * rows), bands, rows)
+                doc, element, n = weighted(*shingles(texts[a:b]))
+                keys = band_keys(dart_signatures(doc, lexer.mix(element), n.astype(float), b - a, bands * rows), bands, rows)
                 has = np.bincount(doc, minlength=b - a) > 0
                 cut = np.concatenate([[0], np.cumsum(has * bands)])
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(keys[has].ravel()))
@@ -121,14 +146,13 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, words) for the nodes of wanted (doc_id, node): the sorted 32-bit hashes of each one's shingle set."""
+    """(node, words) for the nodes of wanted (doc_id, node): the sorted 32-bit hashes of each one's shingle occurrences."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             texts = batch.column(1).to_pylist()
             for a, b in lexer.by_bytes(texts):
-                doc, h = shingles(texts[a:b])
-                pair = np.unique((doc.astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32)))
+                pair = occurrences(*weighted(*shingles(texts[a:b])))
                 cut = np.searchsorted(pair, np.arange(b - a + 1, dtype=np.uint64) << np.uint64(32))
                 low = (pair & np.uint64(0xFFFFFFFF)).astype("<u4")
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([low[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["node", "words"])
@@ -192,72 +216,104 @@ def pivot_round(members: DataFrame, sets: DataFrame, stars: DataFrame | None, th
     return linked, stars, labelled(stay, stars)
 
 
-def rebanded(members: DataFrame, sets: DataFrame, level: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Split buckets by a signature of their own for this level: members meet again as likely as two texts do at first."""
+def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many elements each two different ones of the sorted sets share.
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            words = [np.frombuffer(x, "<u4") for x in batch.column(2).to_pylist()]
-            doc = np.repeat(np.arange(len(words)), [len(x) for x in words])
-            element = lexer.mix(np.concatenate(words).astype(np.uint64), 50 + level) if words else np.zeros(0, np.uint64)
-            keys = band_keys(dart_signatures(doc, element, np.ones(len(doc)), len(words), bands * rows), bands, rows)
-            outer = np.repeat(np.array(batch.column(0).to_pylist(), np.int64).view(np.uint64), bands)
-            inner = lexer.mix(outer ^ lexer.mix(keys.ravel().view(np.uint64), level)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(inner), batch.column(1).take(pa.array(np.repeat(np.arange(len(words)), bands)))], ["key", "node"])
+    Elements of more than a 32nd of the sets go through matrix products, some columns at a time; rarer ones add
+    to their few pairs one by one.
+    """
+    n = len(sets)
+    doc = np.repeat(np.arange(n), [len(x) for x in sets])
+    element = np.concatenate(sets) if n else np.zeros(0, np.uint32)
+    order = np.argsort(element, kind="stable")
+    element, doc = element[order], doc[order]
+    first = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1]])) if len(element) else np.zeros(0, int)
+    count = np.diff(np.append(first, len(element)))
+    shared = np.zeros((n, n), np.float32)
+    often = np.flatnonzero(count > max(1, n // 32))
+    for a in range(0, len(often), columns):
+        part = often[a : a + columns]
+        size = count[part]
+        at = np.repeat(first[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        ones = np.zeros((n, len(part)), np.float32)
+        ones[doc[at], np.repeat(np.arange(len(part)), size)] = 1
+        shared += ones @ ones.T
+    flat = shared.reshape(-1)
+    for size in range(2, n // 32 + 1):
+        part = first[count == size]
+        for i in range(size if len(part) else 0):
+            for j in range(i + 1, size):
+                cell = np.sort(np.concatenate([doc[part + i] * n + doc[part + j], doc[part + j] * n + doc[part + i]]))
+                cell, times = np.unique(cell, return_counts=True)
+                flat[cell] += times
+    return shared
+
+
+def spanning_links(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    """Links (i, j, similarity) that connect what links of the threshold connect, given that equal labels are linked already.
+
+    side: 0 or 1; where both occur only pairs of different sides are compared.
+    """
+    shared, size = shared_counts(sets), np.array([len(x) for x in sets], np.float32)
+    similar = shared / np.maximum(size[:, None] + size - shared, 1)
+    if side.min() != side.max():
+        similar[side[:, None] == side] = 0
+    root, out = np.unique(label, return_inverse=True)[1], []
+    for i in range(len(sets)):
+        for j in np.flatnonzero((similar[i] >= threshold - 1e-7) & (root != root[i])).tolist():
+            if root[i] != root[j]:
+                root[root == root[j]] = root[i]
+                out.append((i, j, float(similar[i, j])))
+    return out
 
-    keyed = members.select("key", "node").join(sets, "node").select("key", "node", "words").mapInArrow(sign, "key long, node binary")
-    left = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    return keyed.join(left, "key").select("key", "node")
 
+def deal(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(key, low, high, side, node, label): each member once for every pair of blocks (low <= high) of its bucket that holds its own."""
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = members.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("key", "node", "label", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"))
 
-def bucket_links(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, k: int = BANDS * ROWS) -> DataFrame:
-    """Links inside buckets of at most LOCAL members, each bucket in one task.
 
-    Signatures of k coordinates, made from the sets, come first: pairs that agree in less than half of them (some ten
-    standard deviations below 0.8) are passed over; the others are compared exactly until they are connected, as those
-    of one label are from the start.
-    """
+def block_links(members: DataFrame, sets: DataFrame, sizes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Links that connect each bucket of members (key, node, label); sizes (key, blocks): into how many blocks it is cut."""
+
+    def find(part: pa.Table) -> pa.Table:
+        nodes = part.column("node").to_pylist()
+        words = [np.frombuffer(x, "<u4") for x in part.column("words").to_pylist()]
+        label = np.array([x.hex() for x in part.column("label").to_pylist()])
+        links = spanning_links(words, label, np.array(part.column("side").to_pylist()), threshold)
+        return pa.table({"a": pa.array([nodes[i] for i, _, _ in links], pa.binary()), "b": pa.array([nodes[j] for _, j, _ in links], pa.binary()), "similarity": pa.array([s for _, _, s in links], pa.float64())})
+
+    return deal(members, sizes).join(sets, "node").groupBy("key", "low", "high").applyInArrow(find, "a binary, b binary, similarity double")
 
-    def find(bucket: pa.Table) -> pa.Table:
-        nodes, words = bucket.column("node").to_pylist(), [np.frombuffer(x, "<u4") for x in bucket.column("words").to_pylist()]
-        doc = np.repeat(np.arange(len(words)), [len(x) for x in words])
-        signs = dart_signatures(doc, lexer.mix(np.concatenate(words).astype(np.uint64), 49), np.ones(len(doc)), len(words), k)
-        root, a, b, s = np.unique(np.array([x.hex() for x in bucket.column("label").to_pylist()]), return_inverse=True)[1], [], [], []
-        for i in range(len(words) - 1):
-            near = i + 1 + np.flatnonzero((signs[i + 1 :] == signs[i]).mean(1) >= 0.5)
-            for j in near.tolist():
-                if root[i] != root[j]:
-                    both = len(np.intersect1d(words[i], words[j], assume_unique=True))
-                    if (value := both / (len(words[i]) + len(words[j]) - both)) >= threshold:
-                        root[root == root[j]] = root[i]
-                        a, b, s = [*a, nodes[i]], [*b, nodes[j]], [*s, value]
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "similarity": pa.array(s, pa.float64())})
-
-    rows = members.select("key", "node", "label").join(sets, "node")
-    return rows.groupBy("key").applyInArrow(find, "a binary, b binary, similarity double")
-
-
-def links(docs: DataFrame, signatures: DataFrame, threshold: float = THRESHOLD, local: int = LOCAL) -> DataFrame:
+
+def bucket_sizes(members: DataFrame, sets: DataFrame, local: int, local_bytes: int) -> DataFrame:
+    """(key, blocks) of each bucket."""
+    size = members.join(sets.select("node", F.octet_length("words").alias("size")), "node").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    return size.select("key", F.ceil(F.greatest(F.col("n") / local, F.col("size") / local_bytes)).cast("int").alias("blocks"))
+
+
+def links(docs: DataFrame, signatures: DataFrame, threshold: float = THRESHOLD, local: int = LOCAL, local_bytes: int = LOCAL_BYTES) -> DataFrame:
     """(a, b, similarity) links between nodes that connect each class of near duplicates."""
     nodes = signatures.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"))
     keyed = nodes.select("node", "doc_id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = common.written(keyed.join(shared, "key").select("key", "node", "doc_id", F.col("node").alias("label")), "dedup-members")
     sets = common.written(shingle_sets(docs, members.select("node", "doc_id").distinct()), "dedup-sets")
-    members, stars, found, level = members.drop("doc_id"), None, [], 0
-    while True:
-        for _ in range(PIVOT_ROUNDS):
-            linked, stars, members = pivot_round(members, sets, stars, threshold)
-            found.append(linked)
-        sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-        found.append(bucket_links(members.join(sizes.filter(F.col("n") <= local), "key"), sets, threshold))
-        large = members.join(sizes.filter(F.col("n") > local), "key")
+    linked, stars, members = pivot_round(members.drop("doc_id"), sets, None, threshold)
+    found = [linked]
+    for _ in range(LARGE_ROUNDS):
+        sizes = common.written(bucket_sizes(members, sets, local, local_bytes), "dedup-sizes")
+        large = sizes.filter("blocks > 1").select("key")
         if large.isEmpty():
             break
-        level += 1
-        members = labelled(rebanded(large, sets, level), stars)
-    out = found[0]
-    for part in found[1:]:
+        linked, stars, rest = pivot_round(members.join(large, "key", "left_semi"), sets, stars, threshold)
+        found.append(linked)
+        members = members.join(large, "key", "left_anti").unionByName(rest)
+    else:
+        sizes = common.written(bucket_sizes(members, sets, local, local_bytes), "dedup-sizes")
+    out = block_links(members, sets, sizes, threshold)
+    for part in found:
         out = out.unionByName(part)
     return out
 
@@ -292,23 +348,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, node, class_id, class_rows) of every row; class_id is the least doc_id of the class."""
-    signatures = common.written(signed(docs), "dedup-signatures")
+    """(doc_id, node, root, class_id, class_rows) of every row; class_id is the least doc_id of the class, root its least node."""
+    signatures = common.written(signed(docs, threshold), "dedup-signatures")
     roots = components(links(docs, signatures, threshold))
     nodes = signatures.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     totals = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_rows"))
-    named = rooted.select("node", "root").join(totals, "root").select("node", "class_id", "class_rows")
-    return signatures.select("doc_id", "node").join(named, "node").select("doc_id", "node", "class_id", "class_rows")
+    named = rooted.select("node", "root").join(totals, "root")
+    return signatures.select("doc_id", "node").join(named, "node").select("doc_id", "node", "root", "class_id", "class_rows")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each class: that with the least id (of equal ids the least text's MD5); columns stay."""
-    found = classes(docs)
-    kept = found.groupBy("class_id").agg(F.min("node").alias("any"), F.min(F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.col("node"))).alias("node"))
-    # Rows with a null id: every class of them has a null class id, so their nodes stand for the classes.
-    lone = found.filter("class_id is null").select(F.col("class_id"), "node").distinct()
-    keep = kept.filter("class_id is not null").select(F.col("class_id").alias("kept_id"), F.col("node").alias("kept_node")).unionByName(lone.select(F.col("class_id").alias("kept_id"), F.col("node").alias("kept_node")))
-    own = node(F.col("text"))
-    rows = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (own == F.col("kept_node")))
-    return rows.dropDuplicates(["kept_id", "kept_node"]).select(*docs.columns)
+    """One row of each class: that with the least id, null ids last (of equal ids the least text's MD5); columns stay."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("k")
+    kept_id, kept_node = common.fresh(docs, "kept_id"), common.fresh(docs, "kept_node")
+    keep = classes(docs).groupBy("root").agg(least).select(F.col("k.doc_id").alias(kept_id), F.col("k.node").alias(kept_node))
+    rows = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (node(F.col("text")) == F.col(kept_node)))
+    return rows.dropDuplicates([kept_id, kept_node]).select(*docs.columns)

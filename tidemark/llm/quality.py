@@ -7,10 +7,10 @@ document's label for all its lines. A document's quality is the mean of its line
 forward-backward recursion, weighted by line length; a monotone map then puts the cut that serves the training
 rows best at THRESHOLD.
 
-The fit sees at most SAMPLE documents of each label, chosen by a hash of the id; everything else covers all rows.
-Null, empty and blank texts score 0. Without training rows of both labels every other text scores 1. Null
-labels are not learnt from; a label given twice counts as bad if one is. Repeated rows and null ids are scored row by
-row; an empty table gives no rows; extra columns are ignored.
+The fit sees at most SAMPLE documents of each label, chosen by a hash of the id (of rows with one id, the least text);
+everything else covers all rows. Null, empty and blank texts score 0. Without training rows of both labels every other
+text scores 1. Null labels are not learnt from; a label given twice counts as bad if one is. Repeated rows and null ids
+are scored row by row; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -90,14 +90,14 @@ class Field:
         places = np.stack([before, own, after], 1)
         return (places + (np.arange(3)[:, None] * MEASURES + np.arange(MEASURES)) * (BINS + 1)).reshape(len(own), -1)
 
-    def marginals(self, doc: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(probability that each line is good, sum of pair probabilities (lines after the first; 2, 2))."""
+    def marginals(self, doc: np.ndarray, features: np.ndarray) -> np.ndarray:
+        """The probability that each line is good."""
         e = self.emission[features].sum(1)
-        return chain_marginals(doc, np.stack([np.zeros_like(e), e], 1), self.transition)
+        return chain_marginals(doc, np.stack([np.zeros_like(e), e], 1), self.transition)[0]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         doc, length, measures = line_measures(texts)
-        good, _ = self.marginals(doc, self.bins(doc, measures))
+        good = self.marginals(doc, self.bins(doc, measures))
         weight = np.bincount(doc, length, len(texts))
         mean = np.bincount(doc, length * good, len(texts)) / np.maximum(weight, 1)
         score = np.where(mean < self.cut, mean / self.cut * THRESHOLD, THRESHOLD + (mean - self.cut) / max(1 - self.cut, 1e-9) * (1 - THRESHOLD))
@@ -105,11 +105,11 @@ class Field:
         return np.where(blank, 0.0, np.clip(score, 0, 1))
 
 
-def chain_marginals(doc: np.ndarray, emit: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward over all chains at once, place by place: (P(label 1) of each line, pair marginals by line; first lines 0)."""
+def chain_marginals(doc: np.ndarray, emit: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward-backward over all chains at once, place by place: (P(label 1) of each line, pair marginals by line; first lines 0, log of its chain's total)."""
     n = len(doc)
     if not n:
-        return np.zeros(0), np.zeros((0, 2, 2))
+        return np.zeros(0), np.zeros((0, 2, 2)), np.zeros(0)
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     length = np.diff(np.append(first, n))
     order = np.argsort(-length, kind="stable")
@@ -129,7 +129,21 @@ def chain_marginals(doc: np.ndarray, emit: np.ndarray, transition: np.ndarray) -
     pairs = np.zeros((n, 2, 2))
     inner = np.flatnonzero(np.concatenate([[False], doc[1:] == doc[:-1]]))
     pairs[inner] = np.exp(forward[inner - 1][:, :, None] + transition + (emit[inner] + backward[inner])[:, None, :] - whole[inner][:, None, None])
-    return np.exp(both[:, 1] - whole), pairs
+    return np.exp(both[:, 1] - whole), pairs, whole
+
+
+def likelihood(field: Field, doc: np.ndarray, features: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
+    """(log-likelihood of the labels, its gradient by emission and transition weights); label, weight: of each line, a document's weights being equal."""
+    e = field.emission[features].sum(1)
+    inner = np.flatnonzero(np.concatenate([[False], doc[1:] == doc[:-1]]))
+    good, pairs, log_total = chain_marginals(doc, np.stack([np.zeros_like(e), e], 1), field.transition)
+    held = e * label * weight
+    own = held.sum() + (field.transition[label[inner - 1], label[inner]] * weight[inner]).sum()
+    clamped = np.zeros((2, 2))
+    np.add.at(clamped, (label[inner - 1], label[inner]), weight[inner])
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    emission = np.bincount(features.ravel(), np.repeat((label - good) * weight, features.shape[1]), len(field.emission))
+    return float(own - (log_total[first] * weight[first]).sum()), np.append(emission, (clamped - np.einsum("nij,n->ij", pairs, weight)).ravel())
 
 
 def fit_field(doc: np.ndarray, measures: np.ndarray, label: np.ndarray, epochs: int = 120, rate: float = 0.15, decay: float = 1e-3) -> Field:
@@ -139,17 +153,11 @@ def fit_field(doc: np.ndarray, measures: np.ndarray, label: np.ndarray, epochs:
     features = field.bins(doc, measures)
     _, at, lines = np.unique(doc, return_inverse=True, return_counts=True)
     weight = 1 / lines[at] / len(lines)
-    inner = np.flatnonzero(np.concatenate([[False], doc[1:] == doc[:-1]]))
-    clamped = np.zeros((2, 2))
-    np.add.at(clamped, (label[inner - 1], label[inner]), weight[inner])
     theta = np.zeros(len(field.emission) + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for epoch in range(1, epochs + 1):
         field.emission, field.transition = theta[:-4], theta[-4:].reshape(2, 2)
-        good, pairs = field.marginals(doc, features)
-        off = (label - good) * weight
-        emission = np.bincount(features.ravel(), np.repeat(off, features.shape[1]), len(theta) - 4)
-        gradient = np.append(emission, (clamped - np.einsum("nij,n->ij", pairs, weight)).ravel()) - decay * theta
+        gradient = likelihood(field, doc, features, label, weight)[1] - decay * theta
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         theta += rate * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-9)
     field.emission, field.transition = theta[:-4], theta[-4:].reshape(2, 2)
@@ -172,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | N
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     pick = lambda q: known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most twice the sample of small rows, so they may be broadcast.
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(pick(0).unionByName(pick(1))), "doc_id").select("quality", "text")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(pick(0).unionByName(pick(1))), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -192,14 +200,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | N
     length = np.concatenate([np.frombuffer(r[1], "<i4") for r in rows])
     measures = np.concatenate([np.frombuffer(r[2], "<f4") for r in rows]).reshape(-1, MEASURES).astype(np.float64)
     field = fit_field(doc, measures, quality[doc])
-    good, _ = field.marginals(doc, field.bins(doc, measures))
+    good = field.marginals(doc, field.bins(doc, measures))
     field.cut = best_cut(np.bincount(doc, length * good, len(rows)) / np.maximum(np.bincount(doc, length, len(rows)), 1), quality)
     return field
 
 
-def score(docs: DataFrame, field: Field | None) -> DataFrame:
-    """docs with a quality score for every row."""
-    schema, at = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]), docs.columns.index("text")
+def score(docs: DataFrame, field: Field | None, name: str = "quality_score") -> DataFrame:
+    """docs with a quality score for every row in a further column of that name."""
+    schema, at = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]), docs.columns.index("text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -208,11 +216,17 @@ def score(docs: DataFrame, field: Field | None) -> DataFrame:
                 values = [np.array([float(bool((t or "").strip())) for t in texts])]
             else:
                 values = [field.score(texts[a:b]) for a, b in lexer.by_bytes(texts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(values) if values else np.zeros(0))], [*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(values) if values else np.zeros(0))], [*batch.schema.names, name])
 
     return docs.mapInArrow(apply, schema)
 
 
+def accepted(docs: DataFrame, field: Field | None) -> DataFrame:
+    """The rows of docs that score THRESHOLD or more; columns stay."""
+    name = common.fresh(docs, "quality_score")
+    return score(docs, field, name).filter(F.col(name) >= THRESHOLD).drop(name)
+
+
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
     out = score(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), train(docs, labels))

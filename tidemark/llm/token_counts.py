@@ -53,7 +53,8 @@ def write_flat(docs: DataFrame, folder: str, vocabulary: str, separator: int = S
 def count_tokens(token_files: DataFrame, separator: int = SEPARATOR, block: int = BLOCK) -> DataFrame:
     """(file, file_ids) of flat files -> (file, ordinal, n_tokens) of their documents."""
     blocks = token_files.select("file", "file_ids", F.explode(F.sequence(F.lit(0), ((F.col("file_ids") - 1) / block).cast("long"))).alias("block"))
-    blocks = blocks.filter("file_ids > 0").repartition(max(8, token_files.sparkSession.sparkContext.defaultParallelism * 4), "file", "block")
+    total = token_files.agg(F.sum("file_ids")).head()[0] or 0
+    blocks = blocks.filter("file_ids > 0").repartition(common.tasks_for(token_files.sparkSession, 2 * total), "file", "block")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -36,12 +36,14 @@ def with_records(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """(page_id, url, html, digest, refers_to): refers_to is set where the row is a revisit."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    # Only payloads that occur again go on to the join, one row each.
-    again = rows.filter(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    # Who revisits whom is decided on ids and digests alone; html then moves by (page_id, digest), which no common payload fills.
+    narrow = rows.filter(F.octet_length("html") >= least).select("page_id", "digest")
+    again = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     again = again.filter("n > 1 and first is not null").select("digest", "first")
-    joined = rows.join(again, "digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    return joined.select("page_id", "url", "html", "digest", F.when(revisit, F.col("first")).alias("refers_to"))
+    revisits = narrow.distinct().join(again, "digest").filter(~F.col("first").eqNullSafe(F.col("page_id")))
+    revisits = revisits.select(F.col("page_id").alias("own_id"), F.col("digest").alias("own_digest"), F.col("first").alias("refers_to"))
+    joined = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")), "left")
+    return joined.select("page_id", "url", "html", "digest", "refers_to")
 
 
 def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -58,22 +60,24 @@ def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, r
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST_BYTES) -> DataFrame:
-    """One archive a partition; returns (file, n_bytes, n_records)."""
+    """One archive a partition; returns (file, n_bytes, starts): how many records start in each SPLIT bytes."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, n, name = None, 0, f"{folder}/pages-{TaskContext.get().partitionId():06d}.warc.gz"
+        out, starts, name = None, [], f"{folder}/pages-{TaskContext.get().partitionId():06d}.warc.gz"
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 rows = batch.slice(a, 256)
                 for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in rows.columns), strict=True):
                     out = out or files.Output(name)
+                    starts += [0] * (out.size // SPLIT + 1 - len(starts))
+                    starts[-1] += 1
                     out.write(_record(page_id, url, html.encode("utf-8", "surrogatepass"), digest, refers_to))
-                    n += 1
         if out:
             out.close()
-            yield pa.RecordBatch.from_pydict({"file": [name], "n_bytes": [out.size], "n_records": [n]})
+            starts += [0] * ((out.size - 1) // SPLIT + 1 - len(starts))
+            yield pa.RecordBatch.from_pydict({"file": [name], "n_bytes": [out.size], "starts": pa.array([starts], pa.list_(pa.int32()))})
 
-    return with_records(pages, least).mapInArrow(write, "file string, n_bytes long, n_records long")
+    return with_records(pages, least).mapInArrow(write, "file string, n_bytes long, starts array<int>")
 
 
 class _Bytes:
@@ -98,7 +102,7 @@ def _header(raw: bytes) -> dict[str, str] | None:
     lines = head.split(b"\r\n")
     if not found or not lines[0].startswith(b"WARC/1."):
         return None
-    fields = {k.decode().lower(): v.strip().decode("utf-8", "replace") for k, s, v in (x.partition(b":") for x in lines[1:]) if s}
+    fields = {k.decode("latin-1").lower(): v.strip().decode("utf-8", "replace") for k, s, v in (x.partition(b":") for x in lines[1:]) if s}
     return fields if {"warc-type", "content-length"} <= fields.keys() else None
 
 
@@ -148,29 +152,40 @@ def _number(field: str | None) -> int | None:
 
 
 def read_archives(archives: DataFrame, split: int = SPLIT) -> DataFrame:
-    """(file, n_bytes) of archives -> a row for each response or revisit record; see _ROWS. payload is null for a revisit."""
-    splits = archives.select("file", "n_bytes", F.explode(F.sequence(F.lit(0), ((F.col("n_bytes") - 1) / split).cast("long"))).alias("k"))
-    splits = splits.filter("n_bytes > 0").repartition(max(8, archives.sparkSession.sparkContext.defaultParallelism * 4), "file", "k")
+    """(file, n_bytes) of archives -> a row for each response or revisit record; see _ROWS. payload is null for a revisit.
+
+    Bytes that decode to no record are passed over, as in archives of others; where ``starts`` of the writer is
+    given, a split of SPLIT bytes in which fewer or more records start than were written is an error.
+    """
+    starts = F.col("starts") if "starts" in archives.columns and split == SPLIT else F.lit(None).cast("array<int>")
+    splits = archives.filter("n_bytes > 0").select("file", "n_bytes", starts.alias("starts"), F.explode(F.sequence(F.lit(0), ((F.col("n_bytes") - 1) / split).cast("long"))).alias("k"))
+    splits = splits.withColumn("due", F.try_element_at("starts", F.col("k").cast("int") + 1)).drop("starts")
+    total = archives.agg(F.sum("n_bytes")).head()[0] or 0
+    splits = splits.repartition(common.tasks_for(archives.sparkSession, total, 4 * SPLIT), "file", "k")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 out: list[dict] = []
+                seen = 0
                 for fields, block in records(row["file"], row["k"] * split, min((row["k"] + 1) * split, row["n_bytes"])):
+                    seen += 1
                     if fields["warc-type"] not in ("response", "revisit"):
                         continue
                     http, _, payload = block.partition(b"\r\n\r\n")
-                    named = dict(x.lower().split(": ", 1) for x in http.decode("latin-1").split("\r\n")[1:])
+                    named = {k: v.strip() for k, _, v in (x.lower().partition(":") for x in http.decode("latin-1").split("\r\n")[1:])}
                     full = fields["warc-type"] == "response"
-                    digest = hashlib.sha256(payload).hexdigest() if full else fields["warc-payload-digest"].removeprefix("sha256:")
-                    if full and fields["warc-payload-digest"] != f"sha256:{digest}":
+                    digest = hashlib.sha256(payload).hexdigest() if full else fields.get("warc-payload-digest", "").removeprefix("sha256:")
+                    if full and fields.get("warc-payload-digest", f"sha256:{digest}") != f"sha256:{digest}":
                         raise ValueError(f"payload digest differs in {row['file']}: {fields['warc-record-id']}")
-                    out.append({"page_id": _number(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload": payload if full else None, "payload_bytes": len(payload) if full else int(named["content-length"]), "payload_digest": digest, "record_type": fields["warc-type"], "refers_to": _number(fields.get("warc-refers-to"))})
+                    out.append({"page_id": _number(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload": payload if full else None, "payload_bytes": len(payload) if full else int(named.get("content-length") or 0), "payload_digest": digest, "record_type": fields["warc-type"], "refers_to": _number(fields.get("warc-refers-to"))})
                     if len(out) == 256:
                         yield pa.RecordBatch.from_pylist(out, schema)
                         out = []
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema)
+                if row["due"] is not None and seen != row["due"]:
+                    raise ValueError(f"{row['file']}: {seen} of {row['due']} records in split {row['k']}")
 
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
     return splits.mapInArrow(read, _ROWS)
