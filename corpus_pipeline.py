@@ -1,23 +1,27 @@
-"""The corpus pipeline: each stage is one operator of ``tidemark.llm`` over all that the stage before it kept."""
+"""The corpus pipeline: each stage is one operator of ``tidemark.llm`` over all that the stage before it kept.
+
+Columns of documents pass through all stages but the last, further ones too, whatever their names. Null texts count as
+empty and go at the first stage, as blank ones do; texts of any length are read whole. Repeated rows are judged alike,
+and of rows with equal or similar texts one stays; of equal ids with different texts each is judged by its own text. Rows
+with null ids are judged like others and stay where no row of their class has an id. An empty table gives no
+rows at every stage. Where a label or the benchmark is missing, the stage that needs it keeps every row with a text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, common, decontaminate, near_dedup, quality, toxicity
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
-    field = quality.train(docs, common.table(spark, sf_dir, "labels"))
-    return quality.score(docs, field).filter(F.col("quality_score") >= quality.THRESHOLD).drop("quality_score")
+    """Documents that the quality classifier accepts; it learns from labelled rows of the whole documents table."""
+    return quality.accepted(docs, quality.train(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not reject."""
-    model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter(F.col("toxicity_score") < toxicity.THRESHOLD).drop("toxicity_score")
+    """Documents that the toxicity classifier does not reject; it too learns from the whole documents table."""
+    return toxicity.accepted(docs, toxicity.train(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,5 +48,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = docs
+        with common.scratch(spark) as made:
+            docs = common.written(stage(spark, before, sf_dir), f"stage-{name}")
+            made.keep_last()
+        if name != STAGES[0][0]:
+            common.drop_written(spark, before)
     return docs
