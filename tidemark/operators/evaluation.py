@@ -82,7 +82,7 @@ def differing(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def with_changed_future(bars: DataFrame, cut: int | Column) -> DataFrame:
-    """Bars whose prices and volume from index ``cut`` on are changed: what is computed before the cut must not change."""
+    """Bars whose prices and volume from index ``cut`` on are changed (fixed values): what is computed before the cut must not change."""
     late = lambda p, changed: F.when(c("idx") >= cut, changed).otherwise(c(p))
     return bars.withColumns({**{p: late(p, c(p) * 1.137 + 17) for p in ("open", "high", "low", "close")}, "volume": late("volume", c("volume") * 2 + 100)})
 
@@ -108,4 +108,5 @@ def future_dependence(bars: DataFrame, features: Callable[[DataFrame], DataFrame
     limit = lambda d: d.filter(c("idx") < F.substring_index("series_id", "@", -1).cast("long"))
     whole, other = features(bars).join(at, "series_id").withColumn("series_id", F.concat_ws("@", "series_id", "cut")).drop("cut"), features(other.drop("cut"))
     shown = lambda d: limit(d).select(*(F.round(n, 7).alias(n) if t in ("double", "float") else c(n) for n, t in sorted(d.dtypes)))
-    return differing(shown(whole), shown(other))
+    compared = shown(whole)
+    return differing(compared, shown(other)).crossJoin(compared.agg(F.count("*").alias("n_compared")))

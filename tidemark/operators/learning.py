@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import shared
 from tidemark.functions.columns import EPS, case
 from tidemark.operators import candles, outcomes, structure
 
 c = F.col
 DIRECTIONS = ("UP", "DOWN", "NEUTRAL")
 KEEP_GAP, TOP_K, LEAST_CANDIDATES, LEAST_MATCHES, TEMPERATURE = 16, 16, 12, 12, 0.10
-WINDOWS, STEP = 5, 20
+WINDOWS, STEP = 5, 81
+DECAY, DIVERSITY = 0.86, 0.78
 #: Weights of the similarity components by horizon (fixed values).
 WEIGHTS = {
     4: {"structure": 0.20, "sequence": 0.16, "regime": 0.14, "location": 0.08, "momentum": 0.12, "volatility": 0.08, "candle": 0.06, "path": 0.16},
@@ -21,18 +25,23 @@ WEIGHTS = {
 
 
 def windows(bars: DataFrame, count: int = WINDOWS, step: int = STEP) -> DataFrame:
-    """Expanding walk-forward windows of each series: training rows [0, oos_start), out-of-sample rows [oos_start, oos_end)."""
-    sizes = bars.groupBy("series_id").agg(F.count("*").alias("n")).filter(c("n") > count * step)
+    """Expanding walk-forward windows of each series: training rows [0, oos_start), out-of-sample rows [oos_start, oos_end).
+
+    Where a series has fewer than 2 * count * step bars the step is a tenth of it (count 5), so that half its bars train; series
+    of fewer than 2 * count bars have no windows.
+    """
+    sizes = bars.groupBy("series_id").agg(F.count("*").alias("n")).withColumn("step", F.least(F.lit(step), F.floor(c("n") / (2 * count)))).filter("step > 0")
     w = sizes.withColumn("window_no", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    start = c("n") - count * step + c("window_no") * step
-    return w.select("series_id", "window_no", start.alias("oos_start"), (start + step).alias("oos_end"))
+    start = c("n") - count * c("step") + c("window_no") * c("step")
+    return w.select("series_id", "window_no", start.alias("oos_start"), (start + c("step")).alias("oos_end"))
 
 
 def experience(bars: DataFrame) -> DataFrame:
-    """States of every bar with their outcomes; direction is null while the horizon is open."""
+    """States of every bar with their outcomes, written once; direction is null while the horizon is open."""
     states = structure.episodes(bars)
     known = outcomes.outcomes(bars).select("series_id", "idx", "horizon", "direction", "raw_return", "atr_return", "mfe_atr", "mae_atr")
-    return states.select("series_id", "idx", "trend", "event", "high_label", "low_label", "location", "regime", "momentum", "sequence", "state_key", "episode", "volatility_ratio", "direction", "body", "range", "unit").withColumnRenamed("direction", "candle_direction").join(known, ["series_id", "idx"])
+    names = ("trend", "event", "high_label", "low_label", "location", "regime", "momentum", "sequence", "state_key", "episode", "volatility_ratio", "direction", "body", "range", "unit", "r1", "r3", "r8", "r16")
+    return shared.cut(states.select("series_id", "idx", *names).withColumnRenamed("direction", "candle_direction").join(known, ["series_id", "idx"]), "experience")
 
 
 def tests_of(bars: DataFrame, rows: DataFrame) -> DataFrame:
@@ -118,10 +127,10 @@ def _rules(rows: DataFrame, keys: list[str]) -> DataFrame:
     return facts.select(*keys, "direction", F.explode(F.concat("facts", two)).alias("rule"))
 
 
-def rules(bars: DataFrame, least: int = 20, confidence: float = 0.45) -> DataFrame:
+def rules(bars: DataFrame, rows: DataFrame | None = None, least: int = 20, confidence: float = 0.45) -> DataFrame:
     """Rules of training rows with at least ``least`` cases whose commonest direction (ties: UP, DOWN, NEUTRAL) has ``confidence``."""
     keys = ["horizon", "window_no"]
-    train = training_of(bars, experience(bars))
+    train = training_of(bars, experience(bars) if rows is None else rows)
     counted = state_counts(_rules(train, keys), [*keys, "rule"]).filter(c("n") >= least)
     best = F.greatest("up", "down", "neutral")
     counted = counted.withColumns({"confidence": best / c("n"), "says": case((c("up") == best, "UP"), (c("down") == best, "DOWN"), otherwise="NEUTRAL")})
@@ -134,16 +143,18 @@ def rules(bars: DataFrame, least: int = 20, confidence: float = 0.45) -> DataFra
 def rule_validation(bars: DataFrame) -> DataFrame:
     """Each rule's matches and hits on its window's test rows."""
     keys = ["horizon", "window_no"]
-    test = _rules(tests_of(bars, experience(bars)).filter("direction is not null"), keys)
-    found = rules(bars).select(*keys, "rule", "says")
+    rows = experience(bars)
+    test = _rules(tests_of(bars, rows).filter("direction is not null"), keys)
+    found = rules(bars, rows).select(*keys, "rule", "says")
     return test.join(found, [*keys, "rule"]).groupBy(*keys, "rule", "says").agg(F.count("*").alias("n_matches"), F.count_if(c("direction") == c("says")).alias("n_hits"))
 
 
 def rule_predictions(bars: DataFrame) -> DataFrame:
     """The best rule for each test row: by confidence, cases, then name."""
     keys = ["horizon", "window_no"]
-    test = _rules(tests_of(bars, experience(bars)), ["series_id", "idx", *keys])
-    joined = test.join(rules(bars), [*keys, "rule"])
+    rows = experience(bars)
+    test = _rules(tests_of(bars, rows), ["series_id", "idx", *keys])
+    joined = test.join(rules(bars, rows), [*keys, "rule"])
     best = joined.groupBy("series_id", "idx", *keys, "direction").agg(F.max_by(F.struct("rule", "says", "confidence"), F.struct("confidence", "n", "rule")).alias("b"))
     return best.select("series_id", "idx", *keys, "direction", "b.rule", "b.says", "b.confidence")
 
@@ -186,22 +197,59 @@ def matches(bars: DataFrame) -> DataFrame:
     pairs = pairs.filter(c("n_same") >= need).withColumns({"quality": quality, "partial": score, "floor": F.when(clash, 0.60).otherwise(0.42)})
     total = lambda path: (c("partial") + weight("path") * path) * c("quality")
     pairs = pairs.filter(total(F.lit(1.0)) >= c("floor") - 1e-9)
-    paths = candles.path_vectors(bars).select("series_id", "idx", "path")
+    paths = candles.path_vectors(bars).select("series_id", "idx", F.transform("path", lambda x, k: x.withField("total", F.aggregate(F.slice("path", 1, k + 1), F.lit(0.0), lambda t, y: t + y["change"]))).alias("path"))
     pairs = pairs.join(paths.withColumnRenamed("path", "q_path"), ["series_id", "idx"]).join(paths.select("series_id", c("idx").alias("h_idx"), c("path").alias("h_path")), ["series_id", "h_idx"])
-    row = lambda x, y: 0.40 * closeness(x["change"], y["change"], 0.65) + 0.25 * closeness(x["range"], y["range"], 0.80) + 0.20 * closeness(x["body"], y["body"], 0.70) + F.when(x["direction"] == y["direction"], 0.15).otherwise(0.0)
-    summed = F.aggregate(F.zip_with("q_path", "h_path", row), F.lit(0.0), lambda a, x: a + x)
-    pairs = pairs.withColumn("path", summed / F.size("q_path")).drop("q_path", "h_path").withColumn("similarity", total(c("path")))
+    # Weights and scales of the path's rows (fixed values): the later a row, the more it counts.
+    row = lambda x, y: (
+        0.40 * closeness(x["change"], y["change"], 0.65) + 0.25 * closeness(x["total"], y["total"], 1.25)
+        + 0.20 * (0.65 * closeness(x["range"], y["range"], 0.80) + 0.35 * closeness(x["body"], y["body"], 0.70)) + F.when(x["direction"] == y["direction"], 0.15).otherwise(0.0)
+    )
+    decay = [DECAY ** (11 - k) for k in range(12)]
+    weighed = F.zip_with(F.zip_with("q_path", "h_path", row), F.array(*(F.lit(d) for d in decay)), lambda v, d: v * d)
+    pairs = pairs.withColumn("path", F.aggregate(weighed, F.lit(0.0), lambda t, v: t + v) / sum(decay)).drop("q_path", "h_path").withColumn("similarity", total(c("path")))
     return pairs.filter(c("similarity") >= c("floor"))
 
 
 QUERY = ["series_id", "window_no", "horizon", "idx"]
 
 
+COMPONENTS = ("structure", "sequence", "regime", "location", "momentum", "volatility", "candle", "path")
+
+
+def _filled(k: int):
+    """The matches of one query: the best of each episode, then by greedy choice those that add most likeness and least of what is there."""
+
+    def fill(m: pd.DataFrame) -> pd.DataFrame:
+        m = m.sort_values(["similarity", "h_idx"], ascending=False).reset_index(drop=True)
+        chosen = list(m.drop_duplicates("episode").index[:k])
+        values, similarity = m[list(COMPONENTS)].to_numpy(float), m["similarity"].to_numpy()
+        nearest = np.full(len(m), -np.inf)
+        for at in chosen:
+            nearest = np.maximum(nearest, 1 - np.abs(values - values[at]).mean(1))
+        while len(chosen) < min(k, len(m)):
+            score = np.round(DIVERSITY * similarity - (1 - DIVERSITY) * nearest, 9)
+            score[chosen] = -np.inf
+            at = int(np.argmax(score))
+            chosen.append(at)
+            nearest = np.maximum(nearest, 1 - np.abs(values - values[at]).mean(1))
+        return m.loc[sorted(chosen)]
+
+    return fill
+
+
 def top_matches(bars: DataFrame, k: int = TOP_K) -> DataFrame:
-    """The k most similar matches of each query, one an episode."""
+    """The k most similar matches of each query, one an episode; with fewer episodes than k, further matches by likeness less redundancy.
+
+    An episode has at most structure.GAP bars, so a query that needs the second pass has fewer than k * GAP matches.
+    """
     by = [F.desc("similarity"), F.desc("h_idx")]
-    one = matches(bars).withColumn("n", F.row_number().over(Window.partitionBy(*QUERY, "episode").orderBy(*by))).filter("n = 1")
-    return one.withColumn("rank", F.row_number().over(Window.partitionBy(*QUERY).orderBy(*by))).filter(c("rank") <= k)
+    query = Window.partitionBy(*QUERY)
+    every = matches(bars).withColumn("n", F.row_number().over(Window.partitionBy(*QUERY, "episode").orderBy(*by)))
+    every = shared.cut(every.withColumn("n_episodes", F.count_if(c("n") == 1).over(query)).withColumn("n_all", F.count("*").over(query)), "matches")
+    few = c("n_episodes") < F.least(F.lit(k), c("n_all"))
+    filled = every.filter(few).groupBy(*QUERY).applyInPandas(_filled(k), every.schema)
+    both = every.filter(~few & (c("n") == 1)).unionByName(filled)
+    return both.withColumn("rank", F.row_number().over(query.orderBy(*by))).filter(c("rank") <= k)
 
 
 def retrieval_shares(bars: DataFrame) -> DataFrame:

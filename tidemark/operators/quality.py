@@ -10,8 +10,13 @@ from tidemark.functions.columns import case, series
 
 def with_validity(bars: DataFrame) -> DataFrame:
     body_in = (F.col("low") <= F.least("open", "close")) & (F.greatest("open", "close") <= F.col("high"))
+    finite = F.lit(True)
+    for p in ("open", "high", "low", "close", "volume"):
+        x = F.col(p).cast("double")
+        finite = finite & F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
     positive = F.least("open", "high", "low", "close") > 0
-    return bars.withColumn("ohlc_valid", body_in.cast("int")).withColumn("contract_valid", (body_in & positive & (F.col("volume") >= 0)).cast("int"))
+    holds = lambda x: F.coalesce(x, F.lit(False)).cast("int")
+    return bars.withColumn("ohlc_valid", holds(body_in)).withColumn("contract_valid", holds(finite & body_in & positive & (F.col("volume") >= 0)))
 
 
 def audit(bars: DataFrame) -> DataFrame:
@@ -54,11 +59,59 @@ def boundary_violations(inputs: DataFrame) -> DataFrame:
 
 
 def overlapping_targets(targets: DataFrame) -> DataFrame:
-    """For (series_id, idx, stop) target windows in index order: how many earlier windows reach into each.
+    """For (series_id, idx, stop) windows over the bars after idx up to stop: how many windows that begin earlier reach into each.
 
-    Windows of one horizon are ordered alike by start and stop, so a frame by start replaces the pairwise join.
+    Windows that have begun less those that have ended, as one running sum over beginnings and ends: no join of pairs.
     """
-    w = Window.partitionBy("series_id").orderBy("idx")
-    horizon = F.col("stop") - F.col("idx")
-    reach = targets.select("series_id", "idx", "stop", horizon.alias("h"))
-    return reach.withColumn("n_overlapping", F.least(F.row_number().over(w) - 1, F.col("h") - 1).cast("long"))
+    begin = targets.select("series_id", F.col("idx").alias("at"), F.lit(1).alias("step"), "idx", "stop")
+    end = targets.select("series_id", F.col("stop").alias("at"), F.lit(-1).alias("step"), F.lit(None).cast("long").alias("idx"), F.lit(None).cast("long").alias("stop"))
+    marks = begin.unionByName(end).withColumn("order", F.col("at") * 2 + (F.col("step") > 0).cast("int"))
+    running = F.sum("step").over(Window.partitionBy("series_id").orderBy("order").rangeBetween(Window.unboundedPreceding, -1))
+    return marks.withColumn("n_overlapping", F.coalesce(running, F.lit(0)).cast("long")).filter("idx is not null").select("series_id", "idx", "stop", "n_overlapping")
+
+
+def overlapping_pairs(targets: DataFrame, width: int = 64) -> DataFrame:
+    """(series_id, idx, later_idx): pairs of windows, the first beginning earlier and reaching into the other.
+
+    An interval join by blocks of ``width`` bars: a window meets others in the blocks that it covers, and a pair counts
+    in the block of the later beginning.
+    """
+    block = lambda x: F.floor(x / width)
+    one = targets.select("series_id", "idx", "stop", F.explode(F.sequence(block(F.col("idx")), block(F.col("stop")))).alias("block"))
+    two = targets.select("series_id", F.col("idx").alias("later_idx"), block(F.col("idx")).alias("block"))
+    return one.join(two, ["series_id", "block"]).filter("idx < later_idx and stop > later_idx").select("series_id", "idx", "later_idx")
+
+
+def visible(bars: DataFrame, through: object) -> DataFrame:
+    """Bars up to a time; none at all is an error."""
+    seen = bars.filter(F.col("ts") <= F.lit(through))
+    if seen.isEmpty():
+        raise ValueError(f"no bar is visible through {through}")
+    return seen
+
+
+ROLES = ("causal_input", "future_target", "evaluation_only", "prohibited")
+
+
+def with_roles(rows: DataFrame, roles: dict[str, str]) -> DataFrame:
+    """Mark columns with their role; it stays in their metadata."""
+    for name, role in roles.items():
+        if role not in ROLES:
+            raise ValueError(f"{role} is no role")
+        rows = rows.withMetadata(name, {"role": role})
+    return rows
+
+
+def check_inputs(rows: DataFrame, inputs: list[str]) -> None:
+    """An error if a column that is used as an input is marked as anything but a causal input."""
+    role = {f.name: f.metadata.get("role", "causal_input") for f in rows.schema.fields}
+    if wrong := [n for n in inputs if role[n] != "causal_input"]:
+        raise ValueError(f"not causal inputs: {', '.join(wrong)}")
+
+
+def wide_gaps(bars: DataFrame) -> DataFrame:
+    """By series: intervals above the modal one, negative and zero ones, and the largest, in seconds."""
+    out = gaps(bars, 1.0)
+    seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    signs = bars.select("series_id", (seconds - F.lag(seconds).over(series())).alias("delta")).groupBy("series_id").agg(F.count_if(F.col("delta") < 0).alias("n_negative"), F.count_if(F.col("delta") == 0).alias("n_zero"))
+    return out.join(signs, "series_id").select("series_id", "modal", F.col("n_gaps").alias("n_above_mode"), "n_negative", "n_zero", "largest")

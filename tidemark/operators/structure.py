@@ -114,21 +114,24 @@ def zones(bars: DataFrame, width: float = 0.6) -> DataFrame:
 
 
 def sequence_machine(bars: DataFrame) -> DataFrame:
-    """IMPULSE, PULLBACK, CONTINUATION or FAILURE after each break: the state depends on the one before, so a fold over each series' array of bars."""
-    s = structure(bars)
-    s = s.withColumn("step", F.struct("idx", "event", F.signum(c("close") - F.lag("close").over(series())).alias("move")))
-    folded = s.groupBy("series_id").agg(F.array_sort(F.collect_list("step")).alias("steps"))
-
-    def advance(acc: Column, x: Column) -> Column:
-        state, side = acc["state"], acc["side"]
-        against = x["move"] * side < 0
-        new_side = case((x["event"].endswith("BULLISH"), F.lit(1.0)), (x["event"].endswith("BEARISH"), F.lit(-1.0)), otherwise=side)
-        new_state = case(
-            (x["event"] != "NONE", "IMPULSE"), (state == "IDLE", "IDLE"), ((state == "IMPULSE") & against, "PULLBACK"), ((state == "PULLBACK") & against, "FAILURE"),
-            ((state == "PULLBACK") & (x["move"] * side > 0), "CONTINUATION"), ((state == "FAILURE") | ((state == "CONTINUATION") & against), "IDLE"), otherwise=state,
-        )
-        return F.struct(new_state.alias("state"), new_side.alias("side"), F.array_append(acc["out"], F.struct(x["idx"].alias("idx"), new_state.alias("state"))).alias("out"))
-
-    start = F.struct(F.lit("IDLE").alias("state"), F.lit(0.0).alias("side"), F.array().cast("array<struct<idx:bigint,state:string>>").alias("out"))
-    done = folded.select("series_id", F.explode(F.aggregate("steps", start, advance, lambda a: a["out"])).alias("x"))
-    return done.select("series_id", "x.idx", F.col("x.state").alias("sequence"))
+    """IMPULSE, PULLBACK, CONTINUATION or FAILURE after each break, IDLE else.
+
+    Every break starts anew, so the states of a stretch follow from the places of three bars in it: the first against the
+    break's side, the first after that which moves at all, and the first after that which goes against the side again.
+    """
+    s = structure(bars).withColumn("segment", F.sum((c("event") != "NONE").cast("int")).over(over(None)))
+    inside = Window.partitionBy("series_id", "segment").orderBy("idx")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("side", F.first(case((c("event").endswith("BULLISH"), F.lit(1.0)), (c("event").endswith("BEARISH"), F.lit(-1.0)), otherwise=F.lit(0.0))).over(so_far))
+    s = s.withColumn("move", F.signum(c("close") - F.lag("close").over(series())) * c("side"))
+    first = lambda hit: F.min(F.when(hit, c("idx"))).over(so_far)
+    s = s.withColumn("back", first((c("event") == "NONE") & (c("move") < 0)))
+    s = s.withColumn("next", first((c("idx") > c("back")) & (c("move") != 0)))
+    s = s.withColumn("failed", F.max(F.when((c("idx") == c("next")) & (c("move") < 0), 1).otherwise(0)).over(so_far) == 1)
+    s = s.withColumn("over", first((c("idx") > c("next")) & (c("move") < 0)))
+    state = case(
+        (c("segment") == 0, "IDLE"), (c("back").isNull(), "IMPULSE"), (c("next").isNull(), "PULLBACK"), (c("failed") & (c("idx") == c("next")), "FAILURE"), (c("failed"), "IDLE"),
+        (c("over").isNull(), "CONTINUATION"), otherwise="IDLE",
+    )
+    s = s.withColumn("sequence", state)
+    return s.withColumn("transition", F.concat_ws("->", F.lag("sequence").over(series()), "sequence"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import case, over, series, tidy
-from tidemark.operators import candles, evaluation, learning, outcomes, quality, structure
+from tidemark.operators import candles, contexts, evaluation, learning, levels, outcomes, quality, skill, structure
 from tidemark.plans.oracle import state
 from tidemark.sources import bars as source
 
@@ -70,6 +70,14 @@ def _spearman(bars: DataFrame) -> DataFrame:
     return evaluation.spearman(rows, "horizon", "v", "r")
 
 
+def _thresholds(bars: DataFrame) -> DataFrame:
+    return outcomes.threshold_grid(learning.training_of(bars, learning.experience(bars)), ["horizon", "window_no"])
+
+
+def _targets(bars: DataFrame, horizon: int) -> DataFrame:
+    return outcomes.outcomes(bars, (horizon,)).filter("future is not null").select("series_id", "idx", (c("idx") + c("horizon")).alias("stop"))
+
+
 def _overlaps(bars: DataFrame) -> DataFrame:
     rows = outcomes.outcomes(bars).filter("future is not null").select("series_id", "horizon", "idx", (c("idx") + c("horizon")).alias("stop"))
     parts = [quality.overlapping_targets(rows.filter(c("horizon") == h)).withColumn("horizon", F.lit(h)) for h in outcomes.HORIZONS]
@@ -129,10 +137,28 @@ _add("regime_runs", lambda b: structure.regime_runs(structure.market_states(b)),
 _add("regime_transitions", _transitions, "transitions", "prev regime n")
 _add("state_frequency", lambda b: learning.state_frequency(structure.market_states(b)), "frequency", "bucket n_states n_rows")
 _add("zone_touches", structure.zones, "zones", "series_id zone ~zone_low ~zone_high n_pivots n_touches n_rejections last_touch")
-_add("sequence_machine", structure.sequence_machine, None, f"{ID} sequence")
+_add("sequence_machine", structure.sequence_machine, "machine", f"{ID} sequence transition")
 _add("outcomes", outcomes.outcomes, "outcomes", f"{ID} horizon quality direction price_direction ~raw_return ~atr_return ~mfe_atr ~mae_atr time_to_high time_to_low")
 _add("outcome_distribution", lambda b: outcomes.distribution(outcomes.outcomes(b)), "distribution", "series_id horizon n ~up ~down ~neutral ~mean_return ~median_return ~mean_mfe ~mean_mae")
-_add("threshold_grid", lambda b: outcomes.threshold_grid(outcomes.outcomes(b)), "thresholds", "horizon ~threshold n_up n_down n ~score")
+_add("threshold_grid", _thresholds, "thresholds", "horizon window_no ~threshold n_up n_down n ~score")
+_add("threshold_selection", lambda b: outcomes.best_threshold(_thresholds(b), ["horizon", "window_no"]), "threshold", "horizon window_no ~threshold ~score")
+_add("other_labels", outcomes.other_labels, "labels", f"{ID} horizon ~mfe_clipped ~mae_clipped ~along ~against strength two_way b05 b15 b03 b01")
+_add("excursion_summary", outcomes.excursion_summary, "excursions", "horizon strength n ~mean_along ~mean_against")
+_add("overlapping_pairs", lambda b: quality.overlapping_pairs(_targets(b, 4)), "overpairs", "series_id idx later_idx")
+_add("interval_gaps", quality.wide_gaps, "wgaps", "series_id modal n_above_mode n_negative n_zero largest")
+_add("sequence_contexts", contexts.sequence_contexts, "seqctx", f"{ID} movement follow_two follow_three rejection range_state pace acceleration break_state volume_state place_state pressure")
+_add("pressure_histogram", contexts.pressure_histogram, "pressures", "length pressure n")
+_add("simple_types", contexts.simple_types, "types", f"{ID} type strength ~span4 ~span8 ~span16 ~volatility_change ~atr_change long_bias volume_level")
+_add("level_structure", contexts.level_structure, "levelstr", f"{ID} candidate_high candidate_low hh lh hl ll swing_score support_rejection resistance_rejection support_break resistance_break near_support near_resistance ~support_distance ~support_percent ~strength ~sweep_depth bias event_code")
+_add("scale_contexts", contexts.scale_contexts, "scales", f"{ID} ~change20 ~change60 ~change120 direction20 direction60 direction120 vote integrated ~confidence aligned")
+_add("regime_frequency", contexts.regime_frequency, "regfreq", "series_id integrated n")
+_add("segment_features", contexts.segment_features, "segs", f"{ID} ~r5 ~r10 ~r20 ~r40 ~up_share ~down_share ~imbalance ~vol_ratio ~place ~slope_share ~acceleration range_half body_half")
+_add("segment_states", contexts.segment_states, "segst", f"{ID} volatility_state location_state direction_state momentum_state pressure_state")
+_add("signal_vectors", lambda b: contexts.signal_vectors(b).select("series_id", "idx", F.posexplode("signal").alias("k", "value")).withColumn("k", c("k").cast("long")), "signal", f"{ID} k ~value")
+_add("alternating_swings", levels.alternating, "altern", "series_id run kind ~price pivot_idx n")
+_add("swing_places", levels.swing_places, "places", f"{ID} ~place score location label_trend")
+_add("price_zones", levels.price_zones, "pzones", "series_id kind zone ~zone_low ~zone_high ~center n_swings n_tests n_rejections last_test")
+_add("nearest_zones", levels.nearest_zones, "nzones", "series_id kind side zone ~center ~distance n_tests")
 _add("overlapping_targets", _overlaps, "overlap", f"{ID} horizon n_overlapping")
 _add("grouping_report", _report, "report", "series_id horizon direction level n ~mean_return")
 _add("walk_forward_windows", learning.windows, "wins", "series_id window_no oos_start oos_end")
@@ -157,5 +183,23 @@ _add("calibration_ece", _scored(evaluation.calibration), "calib", "horizon ~ece
 _add("confidence_deciles", _deciles, "deciles", "horizon bucket n ~mean_value")
 _add("spearman", _spearman, "spear", "horizon n ~rho")
 _add("block_permutation", _scored(evaluation.shifted_accuracy), "shifted", "horizon shift n ~accuracy")
-_add("prefix_invariance", _prefix, "nothing", "only_first only_second")
-_add("suffix_mutation", _suffix, "nothing", "only_first only_second")
+_add("prefix_invariance", _prefix, "nothing", "only_first only_second n_compared")
+_add("suffix_mutation", _suffix, "nothing", "only_first only_second n_compared")
+_add("forecast_shapes", skill.forecast_shapes, "shapes", "horizon n ~retrieval_entropy ~baseline_entropy ~total_variation ~divergence")
+_add("incremental_value", skill.incremental_value, "incval", "horizon n ~brier_lift ~log_loss_lift ~accuracy_lift ~share_better improves")
+_add("discrimination", skill.discrimination, "discrim", "horizon n_queries ~mean_matches ~separation ~share_separated ~mean_mass ~top_agree ~rest_agree")
+_add("tertile_agreement", skill.tertile_agreement, "thirds", "horizon third n ~mean_similarity ~agreement")
+_add("accuracy_permutation", skill.accuracy_permutation, "accperm", "horizon n ~difference ~null_mean ~null_std ~p_value")
+_add("bootstrap_lift", skill.bootstrap_lift, "boot", "horizon ~mean_lift ~low ~high")
+_add("sign_test", skill.sign_test, "signs", "horizon n n_better n_worse ~mean_lift ~p_value")
+_add("retrieval_null", skill.retrieval_null, "rnull", "horizon n_queries ~real_share ~null_share ~lift ~share_beyond")
+_add("label_permutation", skill.label_permutation, "labperm", "horizon n ~accuracy ~null_accuracy ~p_value")
+_add("correlations", skill.correlations, "corrs", "horizon feature n ~pearson ~lift")
+_add("stability", skill.stability, "stable", "horizon n_windows ~mean_accuracy ~median_accuracy ~deviation ~worst ~best n_above ~coverage ~lift ~composite")
+_add("calibration_grid", skill.calibration_grid, "calgrid", "horizon ~shrink ~temperature ~fit_loss ~test_loss")
+_add("confidence_sweep", skill.confidence_sweep, "sweep", "horizon ~level n_kept n ~coverage ~accuracy ~score chosen")
+_add("coverage_summary", skill.coverage_summary, "covsum", "horizon reason n n_hits ~mean_margin")
+_add("similarity_histogram", skill.similarity_histogram, "simhist", "horizon bucket n ~agreement")
+_add("failure_patterns", skill.failure_patterns, "failures", "horizon trend regime momentum location n n_failed ~rate")
+_add("temporal_integrity", skill.temporal_integrity, "integrity", "horizon n n_self n_future n_near n_crossing")
+_add("discretised_rules", skill.discretised_rules, "drules", "horizon window_no rule n says ~confidence ~directional_rate ~score")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from tidemark.plans import more_sql
+
 PART = "PARTITION BY series_id ORDER BY idx"
 
 
@@ -50,7 +52,7 @@ CTES = {
     "resampled12": "SELECT series_id, idx // 12 AS g, max(idx) AS end_idx, first(open ORDER BY idx) AS open, last(close ORDER BY idx) AS close FROM bars GROUP BY 1, 2 HAVING count(*) = 12",
     "multi": """SELECT b.series_id, b.idx, b.close, r.close AS close_3, r.open AS open_3, s.close AS close_12, s.open AS open_12 FROM bars b
       ASOF LEFT JOIN resampled r ON b.series_id = r.series_id AND b.idx >= r.end_idx ASOF LEFT JOIN resampled12 s ON b.series_id = s.series_id AND b.idx >= s.end_idx""",
-    "audit": f"""SELECT series_id, count(*) AS n_bars, count(*) FILTER (NOT ok) AS n_invalid, count(*) FILTER (NOT (ok AND least(open, high, low, close) > 0 AND volume >= 0)) AS n_contract_invalid,
+    "audit": f"""SELECT series_id, count(*) AS n_bars, count(*) FILTER (NOT ok) AS n_invalid, count(*) FILTER (NOT coalesce(ok AND isfinite(open) AND isfinite(high) AND isfinite(low) AND isfinite(close) AND least(open, high, low, close) > 0 AND volume >= 0, false)) AS n_contract_invalid,
       count(*) FILTER (ts < was) AS n_disordered, count(*) FILTER (ts = was) AS n_repeated, count(*) - count(DISTINCT ts) AS n_duplicates
       FROM (SELECT *, low <= least(open, close) AND greatest(open, close) <= high AS ok, lag(ts) {LAG} AS was FROM bars) GROUP BY 1""",
     "audited": "SELECT *, CASE WHEN n_invalid + n_disordered > 0 THEN 'FAIL' WHEN n_contract_invalid + n_duplicates > 0 THEN 'REVIEW' ELSE 'PASS' END AS verdict FROM audit",
@@ -176,10 +178,10 @@ CTES = {
       CASE WHEN complete THEN {div('fh - close', 'atr')} END AS mfe_atr, CASE WHEN complete THEN {div('fl - close', 'atr')} END AS mae_atr, CASE WHEN complete THEN th END AS time_to_high, CASE WHEN complete THEN tl END AS time_to_low FROM oo1""",
     "distribution": """SELECT series_id, horizon, count(*) AS n, avg(CASE WHEN direction = 'UP' THEN 1.0 ELSE 0.0 END) AS up, avg(CASE WHEN direction = 'DOWN' THEN 1.0 ELSE 0.0 END) AS down, avg(CASE WHEN direction = 'NEUTRAL' THEN 1.0 ELSE 0.0 END) AS neutral,
       avg(raw_return) AS mean_return, quantile_cont(raw_return, 0.5) AS median_return, avg(mfe_atr) AS mean_mfe, avg(mae_atr) AS mean_mae FROM outcomes WHERE complete GROUP BY 1, 2""",
-    "thresholds": """SELECT *, 100.0 * (n_up + n_down) / n - 20.0 * abs(n_up - n_down) / greatest(n_up + n_down, 1) AS score FROM (SELECT horizon, threshold, count(*) FILTER (atr_return > threshold) AS n_up, count(*) FILTER (atr_return < -threshold) AS n_down, count(*) AS n
+    "thresholds_all": """SELECT *, 100.0 * (n_up + n_down) / n - 20.0 * abs(n_up - n_down) / greatest(n_up + n_down, 1) AS score FROM (SELECT horizon, threshold, count(*) FILTER (atr_return > threshold) AS n_up, count(*) FILTER (atr_return < -threshold) AS n_down, count(*) AS n
       FROM outcomes CROSS JOIN (SELECT unnest([0.05, 0.1, 0.25, 0.5, 1.0]::DOUBLE[]) AS threshold) WHERE complete GROUP BY 1, 2)""",
-    "wins": """SELECT series_id, w AS window_no, n - 100 + w * 20 AS oos_start, n - 100 + w * 20 + 20 AS oos_end FROM (SELECT series_id, count(*) AS n FROM bars GROUP BY 1 HAVING count(*) > 100) CROSS JOIN (SELECT unnest(range(5)) AS w)""",
-    "exper": """SELECT e.series_id, e.idx, e.trend, e.event, e.high_label, e.low_label, e.location, e.regime, e.momentum, e.sequence, e.state_key, e.episode, e.volatility_ratio, e.direction AS candle_direction, e.body / e.unit AS body_ratio, e.range / e.unit AS range_ratio,
+    "wins": """SELECT series_id, w AS window_no, n - 5 * s + w * s AS oos_start, n - 5 * s + w * s + s AS oos_end FROM (SELECT series_id, count(*) AS n, least(81, count(*) // 10) AS s FROM bars GROUP BY 1) CROSS JOIN (SELECT unnest(range(5)) AS w) WHERE s > 0""",
+    "exper": """SELECT e.series_id, e.idx, e.trend, e.event, e.high_label, e.low_label, e.location, e.regime, e.momentum, e.sequence, e.state_key, e.episode, e.volatility_ratio, e.r1, e.r3, e.r8, e.r16, e.direction AS candle_direction, e.body / e.unit AS body_ratio, e.range / e.unit AS range_ratio,
       o.horizon, o.direction, o.raw_return, o.atr_return, o.mfe_atr, o.mae_atr FROM episodes e JOIN outcomes o USING (series_id, idx)""",
     "tests": "SELECT * FROM exper JOIN wins USING (series_id) WHERE idx >= oos_start AND idx < oos_end",
     "train": "SELECT * FROM exper JOIN wins USING (series_id) WHERE idx + horizon < oos_start AND direction IS NOT NULL",
@@ -221,17 +223,27 @@ _FEATS = ("trend", "event", "high_label", "low_label", "location", "regime", "mo
 _W = {"structure": (0.20, 0.22, 0.24), "sequence": (0.16, 0.15, 0.13), "regime": (0.14, 0.16, 0.17), "location": (0.08, 0.08, 0.07), "momentum": (0.12, 0.10, 0.08), "volatility": (0.08, 0.08, 0.09), "candle": (0.06, 0.05, 0.04), "path": (0.16, 0.16, 0.18)}
 _same = {f: f"CAST(q.{f} = h.{f} AS INTEGER)" for f in _FEATS}
 CTES |= {
-    "mp0": f"""SELECT q.series_id, q.window_no, q.horizon, q.idx, q.direction AS actual, h.idx AS h_idx, h.episode, h.direction, h.atr_return, h.mfe_atr, h.mae_atr, {' + '.join(_same.values())} AS n_same,
+    "mp0": f"""SELECT q.series_id, q.window_no, q.horizon, q.idx, q.direction AS actual, q.oos_start, h.idx AS h_idx, h.episode, h.direction, h.atr_return, h.mfe_atr, h.mae_atr, {' + '.join(_same.values())} AS n_same,
       ({_same['trend']} + {_same['event']} + {_same['high_label']} + {_same['low_label']}) / 4 AS structure, {', '.join(f'{_same[f]} AS {f}' for f in ('sequence', 'regime', 'location', 'momentum', 'event'))},
       exp(-abs(q.volatility_ratio - h.volatility_ratio) / 0.35) AS volatility, 0.8 * (0.45 * exp(-abs(q.body_ratio - h.body_ratio) / 0.75) + 0.35 * exp(-abs(q.range_ratio - h.range_ratio) / 0.9)) + 0.2 * CAST(q.candle_direction = h.candle_direction AS INTEGER) AS candle
       FROM tests q JOIN exper h ON h.series_id = q.series_id AND h.horizon = q.horizon AND h.direction IS NOT NULL AND h.idx + h.horizon < q.oos_start AND h.idx <= q.idx - 16""",
     "mp1": "SELECT * FROM (SELECT *, count(*) FILTER (n_same >= 2) OVER qw AS ns, count(*) FILTER (n_same >= 1) OVER qw AS nr FROM mp0 WINDOW qw AS (PARTITION BY series_id, window_no, horizon, idx)) WHERE n_same >= CASE WHEN ns >= 12 THEN 2 WHEN nr >= 12 THEN 1 ELSE 0 END",
-    "mpp": """SELECT a.series_id, a.idx, b.idx AS h_idx, sum(0.4 * exp(-abs(a.p_change - b.p_change) / 0.65) + 0.25 * exp(-abs(a.p_range - b.p_range) / 0.8) + 0.2 * exp(-abs(a.p_body - b.p_body) / 0.7) + CASE WHEN a.p_direction = b.p_direction THEN 0.15 ELSE 0.0 END) / 12 AS path
-      FROM (SELECT DISTINCT series_id, idx, h_idx FROM mp1) m JOIN path_rows a ON a.series_id = m.series_id AND a.idx = m.idx JOIN path_rows b ON b.series_id = m.series_id AND b.idx = m.h_idx AND b.k = a.k GROUP BY 1, 2, 3""",
+    "pcum": "SELECT a.series_id, a.idx, a.k, a.p_change, a.p_range, a.p_direction, a.p_body, sum(b.p_change ORDER BY b.k) AS p_total FROM path_rows a JOIN path_rows b ON b.series_id = a.series_id AND b.idx = a.idx AND b.k <= a.k GROUP BY ALL",
+    "mpp": f"""SELECT a.series_id, a.idx, b.idx AS h_idx, sum((0.4 * exp(-abs(a.p_change - b.p_change) / 0.65) + 0.25 * exp(-abs(a.p_total - b.p_total) / 1.25) + 0.2 * (0.65 * exp(-abs(a.p_range - b.p_range) / 0.8) + 0.35 * exp(-abs(a.p_body - b.p_body) / 0.7))
+        + CASE WHEN a.p_direction = b.p_direction THEN 0.15 ELSE 0.0 END) * power(0.86, 11 - a.k)) / {sum(0.86 ** k for k in range(12))} AS path
+      FROM (SELECT DISTINCT series_id, idx, h_idx FROM mp1) m JOIN pcum a ON a.series_id = m.series_id AND a.idx = m.idx JOIN pcum b ON b.series_id = m.series_id AND b.idx = m.h_idx AND b.k = a.k GROUP BY 1, 2, 3""",
     "mp2": f"""SELECT *, ({' + '.join(f'(CASE horizon WHEN 4 THEN {w[0]} WHEN 8 THEN {w[1]} ELSE {w[2]} END) * {n}' for n, w in _W.items())}) * (0.75 + 0.25 * (0.55 * ({' + '.join(f'CAST({n} > 0 AS INTEGER)' for n in _W)}) / 8 + 0.45 * greatest(structure, sequence, regime))) AS similarity
       FROM mp1 JOIN mpp USING (series_id, idx, h_idx)""",
     "matches": "SELECT * FROM mp2 WHERE similarity >= 0.42 AND NOT ((regime = 0 OR (event = 0 AND structure < 0.25) OR sequence = 0 OR momentum = 0) AND similarity < 0.6)",
-    "top": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id, window_no, horizon, idx ORDER BY similarity DESC, h_idx DESC) AS rank FROM (SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY series_id, window_no, horizon, idx, episode ORDER BY similarity DESC, h_idx DESC) = 1)) WHERE rank <= 16""",
+    "firsts": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id, window_no, horizon, idx ORDER BY similarity DESC, h_idx DESC) AS k FROM (SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY series_id, window_no, horizon, idx, episode ORDER BY similarity DESC, h_idx DESC) = 1)) WHERE k <= 16",
+    "sizes": "SELECT series_id, window_no, horizon, idx, least(16, count(*)) AS lim FROM matches GROUP BY ALL",
+    "fill": f"""SELECT series_id, window_no, horizon, idx, list(h_idx) AS sel, any_value(lim) AS lim FROM firsts JOIN sizes USING (series_id, window_no, horizon, idx) GROUP BY 1, 2, 3, 4 UNION ALL
+      SELECT series_id, window_no, horizon, idx, list_append(any_value(sel), arg_max(h_idx, struct_pack(a := score, b := similarity, c := h_idx))) AS sel, any_value(lim) AS lim FROM (
+        SELECT r.series_id, r.window_no, r.horizon, r.idx, r.sel, r.lim, m.h_idx, m.similarity, round(0.78 * m.similarity - 0.22 * max(1 - ({' + '.join(f'abs(m.{n} - s.{n})' for n in _W)}) / 8), 9) AS score
+        FROM fill r JOIN matches m USING (series_id, window_no, horizon, idx) JOIN matches s USING (series_id, window_no, horizon, idx)
+        WHERE len(r.sel) < r.lim AND NOT list_contains(r.sel, m.h_idx) AND list_contains(r.sel, s.h_idx) GROUP BY r.series_id, r.window_no, r.horizon, r.idx, r.sel, r.lim, m.h_idx, m.similarity) GROUP BY 1, 2, 3, 4""",
+    "whole": "SELECT series_id, window_no, horizon, idx, sel FROM fill WHERE len(sel) = lim",
+    "top": "SELECT m.*, row_number() OVER (PARTITION BY m.series_id, m.window_no, m.horizon, m.idx ORDER BY similarity DESC, h_idx DESC) AS rank FROM matches m JOIN whole w USING (series_id, window_no, horizon, idx) WHERE list_contains(w.sel, m.h_idx)",
     "shares": """SELECT series_id, window_no, horizon, idx, actual, count(*) AS n, max(similarity) AS best, sum(CASE WHEN direction = 'UP' THEN similarity ELSE 0 END) / sum(similarity) AS share_up, sum(CASE WHEN direction = 'DOWN' THEN similarity ELSE 0 END) / sum(similarity) AS share_down,
       sum(CASE WHEN direction = 'NEUTRAL' THEN similarity ELSE 0 END) / sum(similarity) AS share_neutral, sum(similarity * atr_return) / sum(similarity) AS mean_return, sum(similarity * mfe_atr) / sum(similarity) AS mean_mfe, sum(similarity * mae_atr) / sum(similarity) AS mean_mae FROM top GROUP BY 1, 2, 3, 4, 5""",
     "de0": "SELECT series_id, window_no, horizon, idx, actual, direction, CASE WHEN count(*) >= 2 THEN avg(exp(-(1 - similarity) / 0.1)) * (1 - exp(-count(*) / 6.0)) ELSE 0.0 END AS e FROM top GROUP BY ALL",
@@ -277,10 +289,13 @@ CTES |= {
     "relative": "SELECT *, CASE WHEN med IS NULL THEN 'UNKNOWN' WHEN range / med < 0.5 THEN 'VERY_SMALL' WHEN range / med < 0.8 THEN 'SMALL' WHEN range / med <= 1.25 THEN 'NORMAL' WHEN range / med <= 1.75 THEN 'LARGE' ELSE 'VERY_LARGE' END AS size_state, CASE WHEN vmed IS NULL THEN 'UNKNOWN' WHEN volume / vmed >= 2 THEN 'VERY_HIGH' WHEN volume / vmed >= 1.3 THEN 'HIGH' WHEN volume / vmed <= 0.6 THEN 'LOW' ELSE 'NORMAL' END AS volume_state FROM relv",
     "report": "SELECT series_id, horizon, direction, GROUPING(series_id) + 2 * GROUPING(horizon) + 4 * GROUPING(direction) AS level, count(*) AS n, avg(atr_return) AS mean_return FROM exper WHERE direction IS NOT NULL GROUP BY GROUPING SETS ((), (horizon), (direction), (series_id, horizon))",
     "prints": "SELECT series_id, idx, sha256(concat_ws('|', series_id, CAST(ts AS VARCHAR), printf('%.6f', open), printf('%.6f', high), printf('%.6f', low), printf('%.6f', close), CAST(volume AS VARCHAR))) AS fingerprint FROM bars",
-    "nothing": "SELECT CAST(0 AS BIGINT) AS only_first, CAST(0 AS BIGINT) AS only_second",
+    "cutrows": "SELECT DISTINCT series_id, cut FROM (SELECT series_id, unnest([greatest(floor(n * 0.1), 1), greatest(floor(n * 0.25), 1), greatest(floor(n * 0.5), 1), greatest(floor(n * 0.75), 1)]) AS cut FROM (SELECT series_id, count(*) AS n FROM bars GROUP BY 1))",
+    "nothing": "SELECT CAST(0 AS BIGINT) AS only_first, CAST(0 AS BIGINT) AS only_second, count(*) AS n_compared FROM bars JOIN cutrows USING (series_id) WHERE idx < cut",
     "zone_inputs": "SELECT series_id, count(*) AS n_inputs, count(*) FILTER (h_idx > idx) AS n_violations FROM top GROUP BY 1",
 }
 
+CTES |= more_sql.CTES
+
 
 def state(source: str, columns: str) -> str:
     """``columns`` of ``source`` (those marked ~ rounded to 7 places) with every expression it stands on."""

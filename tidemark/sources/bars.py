@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import over
 
-ALIASES = {"ts": ("timestamp", "ts", "time", "date"), "open": ("open", "o"), "high": ("high", "h"), "low": ("low", "l"), "close": ("close", "c"), "volume": ("volume", "vol", "v")}
+#: Outside names of the fields (fixed values).
+ALIASES = {"ts": ("timestamp", "ts", "time", "date", "datetime"), "open": ("open", "o"), "high": ("high", "h"), "low": ("low", "l"), "close": ("close", "c"), "volume": ("volume", "vol", "v")}
 
 
 def indexed(bars: DataFrame) -> DataFrame:
@@ -64,6 +65,29 @@ def tolerant(rows: DataFrame, series: str = "all") -> DataFrame:
     return indexed(out.filter(f"{finite} and low <= least(open, close) and greatest(open, close) <= high"))
 
 
+def from_lists(rows: DataFrame, column: str = "row", series: str = "all") -> DataFrame:
+    """Bars of rows that are lists: time, open, high, low, close, volume; or five values without a time, which take the place they come in."""
+    x, timed = F.col(column), F.size(column) >= 6
+    at = lambda with_time, without: F.when(timed, F.try_element_at(x, F.lit(with_time))).otherwise(F.try_element_at(x, F.lit(without)))
+    place = F.monotonically_increasing_id().cast("double")
+    named = rows.select(F.when(timed, F.try_element_at(x, F.lit(1))).otherwise(place).alias("ts"), *(at(k + 2, k + 1).alias(n) for k, n in enumerate(("open", "high", "low", "close", "volume"))))
+    return tolerant(named, series)
+
+
+#: Keys under which packages keep their rows, in order of preference (fixed values).
+CONTAINERS = ("candles", "data", "rows", "bars", "records")
+
+
+def from_package_json(texts: DataFrame, column: str = "value", series: str = "all") -> DataFrame:
+    """Bars of packages: JSON objects that hold a list of row objects under one of CONTAINERS, or such lists themselves."""
+    row = "map<string,string>"
+    parsed = texts.select(F.from_json(column, row).alias("m"), F.from_json(column, f"array<{row}>").alias("list"))
+    held = F.coalesce(*(F.from_json(F.col("m")[k], f"array<{row}>") for k in CONTAINERS), F.col("list"))
+    rows = parsed.select(F.explode(held).alias("r"))
+    fields = {to: F.coalesce(*(F.col("r")[a] for a in names)) for to, names in ALIASES.items()}
+    return tolerant(rows.select(*(v.try_cast("double").alias(k) for k, v in fields.items())), series)
+
+
 CHART = "chart struct<result: array<struct<timestamp: array<long>, indicators: struct<quote: array<struct<open: array<double>, high: array<double>, low: array<double>, close: array<double>, volume: array<double>>>>>>>"
 
 
