@@ -5,20 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once under spark.checkpoint.dir and read it back: plans that use it several times don't compute it again, and lost executors cost nothing.
-
-    Where the setting is absent only a local master may go on: it then uses a temporary folder.
-    """
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder name under spark.checkpoint.dir. Where the setting is absent only a local master may go on: it then uses a temporary folder."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"{tempfile.gettempdir()}/tidemark-shared"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once and read it back: plans that use it several times don't compute it again, and lost executors cost nothing."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

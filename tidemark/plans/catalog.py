@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import shared
 from tidemark.functions.columns import case, over, series, tidy
 from tidemark.operators import candles, contexts, evaluation, learning, levels, outcomes, quality, skill, structure
 from tidemark.plans.oracle import state
 from tidemark.sources import bars as source
+from tidemark.streaming import online
 
 c = F.col
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,6 +179,8 @@ _add("retrieval_boundary_audit", _leak_audit, "zone_inputs", "series_id n_inputs
 _add("knn_probability", learning.nearest_neighbours, "knn", f"{CASE_ID} n {P}")
 _add("centroid_classifier", learning.nearest_centroid, "centroid", f"{CASE_ID} direction prediction")
 _add("online_walk_forward", learning.online_walk_forward, "online", f"{ID} state_key support ~p_bullish ~p_bearish ~p_neutral prediction actual")
+_add("online_stream", lambda b: online.replay(b, shared.folder(b.sparkSession, "online")), "online", f"{ID} state_key support ~p_bullish ~p_bearish ~p_neutral prediction")
+_add("experience_memory", lambda b: online.memory(online.events(b)).select("series_id", "state_key", "count", *(F.coalesce(c("outcomes")[k], F.lit(0)).alias(f"n_{k}") for k in online.KINDS)), "memo", "series_id state_key count n_bullish n_bearish n_neutral")
 _add("walkforward_metrics", _scored(evaluation.metrics), "metrics", "horizon n ~accuracy ~majority ~brier ~log_loss ~balanced ~macro_f1")
 _add("confusion_matrix", _scored(evaluation.confusion), "confusion", "horizon actual said n")
 _add("calibration_ece", _scored(evaluation.calibration), "calib", "horizon ~ece ~mce n_bins")

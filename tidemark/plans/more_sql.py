@@ -83,6 +83,7 @@ CTES = {
     "pzones": """SELECT z.series_id, z.kind, z.zone, z.zone_low, z.zone_high, z.center, z.n_swings, z.last_close, count(b.idx) AS n_tests, count(b.idx) FILTER ((z.kind = 'RESISTANCE' AND b.close < z.center) OR (z.kind = 'SUPPORT' AND b.close > z.center)) AS n_rejections, max(b.idx) AS last_test
       FROM pz3 z LEFT JOIN bars b ON b.series_id = z.series_id AND b.idx >= z.last_idx - 240 AND b.high >= z.zone_low AND b.low <= z.zone_high GROUP BY ALL""",
     "nzones": "SELECT *, CASE WHEN center < last_close THEN 'BELOW' ELSE 'ABOVE' END AS side, abs(center - last_close) AS distance FROM pzones WHERE center <> last_close QUALIFY row_number() OVER (PARTITION BY series_id, kind, center < last_close ORDER BY abs(center - last_close), zone) = 1",
+    "memo": "SELECT series_id, state_key, count(*) AS count, count(*) FILTER (price_direction = 'bullish') AS n_bullish, count(*) FILTER (price_direction = 'bearish') AS n_bearish, count(*) FILTER (price_direction = 'neutral') AS n_neutral FROM so WHERE price_direction IS NOT NULL GROUP BY 1, 2",
     "mach0": f"SELECT series_id, idx, event, sign(close - lag(close) {LAG}) AS move FROM structure",
     "mach": """SELECT series_id, idx, CASE WHEN event = 'NONE' THEN 'IDLE' ELSE 'IMPULSE' END AS sequence, CASE WHEN event LIKE '%BULLISH' THEN 1.0 WHEN event LIKE '%BEARISH' THEN -1.0 ELSE 0.0 END AS side, CAST(NULL AS VARCHAR) AS was FROM mach0 WHERE idx = 0 UNION ALL
       SELECT b.series_id, b.idx, CASE WHEN b.event <> 'NONE' THEN 'IMPULSE' WHEN m.sequence = 'IMPULSE' AND b.move * m.side < 0 THEN 'PULLBACK' WHEN m.sequence = 'PULLBACK' AND b.move * m.side < 0 THEN 'FAILURE' WHEN m.sequence = 'PULLBACK' AND b.move * m.side > 0 THEN 'CONTINUATION'

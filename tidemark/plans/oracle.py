@@ -262,7 +262,7 @@ CTES |= {
     "vtrain": "SELECT * FROM vz WHERE idx + horizon < oos_start AND direction IS NOT NULL",
     "vtest": "SELECT * FROM vz WHERE idx >= oos_start AND idx < oos_end",
     "knn0": f"SELECT q.series_id, q.window_no, q.horizon, q.idx, q.direction, h.direction AS label, {_dist('q.', 'h.')} AS distance, h.idx AS h_idx FROM vtest q JOIN vtrain h ON h.series_id = q.series_id AND h.window_no = q.window_no AND h.horizon = q.horizon QUALIFY row_number() OVER (PARTITION BY q.series_id, q.window_no, q.horizon, q.idx ORDER BY distance, h.idx DESC) <= 25",
-    "knn": "SELECT series_id, window_no, horizon, idx, direction, count(*) AS n, " + ", ".join(f"sum(CASE WHEN label = '{d}' THEN exp(-distance / 1.25) ELSE 0 END) / sum(exp(-distance / 1.25)) AS p_{d.lower()}" for d in ("UP", "DOWN", "NEUTRAL")) + " FROM knn0 GROUP BY 1, 2, 3, 4, 5",
+    "knn": "SELECT series_id, window_no, horizon, idx, direction, count(*) AS n, " + ", ".join(f"sum(CASE WHEN label = '{d}' THEN exp(-(distance - least) / 1.25) ELSE 0 END) / sum(exp(-(distance - least) / 1.25)) AS p_{d.lower()}" for d in ("UP", "DOWN", "NEUTRAL")) + " FROM (SELECT *, min(distance) OVER (PARTITION BY series_id, window_no, horizon, idx) AS least FROM knn0) GROUP BY 1, 2, 3, 4, 5",
     "cmean": f"SELECT series_id, window_no, horizon, direction AS label, {', '.join(f'avg(z{k}) AS z{k}' for k in range(len(_V)))} FROM vtrain GROUP BY 1, 2, 3, 4",
     "centroid": f"SELECT q.series_id, q.window_no, q.horizon, q.idx, q.direction, m.label AS prediction FROM vtest q JOIN cmean m ON m.series_id = q.series_id AND m.window_no = q.window_no AND m.horizon = q.horizon QUALIFY row_number() OVER (PARTITION BY q.series_id, q.window_no, q.horizon, q.idx ORDER BY {_dist('q.', 'm.')}, m.label) = 1",
     "online": """SELECT *, greatest(p_bullish, p_bearish, p_neutral) AS best, CASE WHEN p_bullish = greatest(p_bullish, p_bearish, p_neutral) THEN 'bullish' WHEN p_bearish = greatest(p_bullish, p_bearish, p_neutral) THEN 'bearish' ELSE 'neutral' END AS prediction FROM (
