@@ -31,7 +31,7 @@ MAGIC, VERSION = b"TMREPAIR", 2
 TERMINALS = 49408
 END_ID = 1
 SHARD_IDS = 1 << 21
-PAIRS_A_ROUND, LEAST_USES, BINS = 2000, 12, 1 << 20
+PAIRS_A_ROUND, LEAST_USES, BINS = 4000, 12, 1 << 20
 
 
 def compress(ids: np.ndarray, lengths: np.ndarray, terminals: int = TERMINALS, pairs: int = PAIRS_A_ROUND, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
