@@ -96,7 +96,7 @@ def hierarchical(bars: DataFrame, strength: float = 20.0) -> DataFrame:
         top = (zero(f"g_{x}") + 1) / (zero("g_n") + 3)
         middle = (zero(f"k_{x}") + strength * top) / (zero("k_n") + strength)
         out = out.withColumn(f"p_{x}", (zero(f"e_{x}") + strength * middle) / (zero("e_n") + strength))
-    return out.select(*base, "idx", "direction", "p_up", "p_down", (1 - c("p_up") - c("p_down")).alias("p_neutral"))
+    return out.select(*base, "idx", "direction", zero("e_n").alias("support"), "p_up", "p_down", (1 - c("p_up") - c("p_down")).alias("p_neutral"))
 
 
 def unseen_states(bars: DataFrame) -> DataFrame:
@@ -281,14 +281,14 @@ def decisions(bars: DataFrame) -> DataFrame:
 VECTOR = ("r1", "r3", "r8", "r16", "volatility_ratio", "location20")
 
 
-def _standardised(bars: DataFrame) -> DataFrame:
+def standardised(bars: DataFrame) -> DataFrame:
     """Test and training vectors, scaled by each window's training mean and sample deviation."""
     f = candles.features(bars).select("series_id", "idx", *VECTOR)
-    rows = outcomes.outcomes(bars).select("series_id", "idx", "horizon", "direction").join(f, ["series_id", "idx"])
+    rows = outcomes.outcomes(bars).select("series_id", "idx", "horizon", "direction", "raw_return").join(f, ["series_id", "idx"])
     train, test = training_of(bars, rows), tests_of(bars, rows)
     base = ["series_id", "window_no", "horizon"]
     scale = train.groupBy(*base).agg(*(F.avg(v).alias(f"m_{v}") for v in VECTOR), *(F.coalesce(F.nullif(F.stddev_samp(v), F.lit(0.0)), F.lit(1.0)).alias(f"s_{v}") for v in VECTOR))
-    z = lambda df: df.join(F.broadcast(scale), base).select(*base, "idx", "direction", F.array(*((c(v) - c(f"m_{v}")) / c(f"s_{v}") for v in VECTOR)).alias("z"))
+    z = lambda df: df.join(F.broadcast(scale), base).select(*base, "idx", "direction", "raw_return", F.array(*((c(v) - c(f"m_{v}")) / c(f"s_{v}") for v in VECTOR)).alias("z"))
     return z(train).withColumn("train", F.lit(True)).unionByName(z(test).withColumn("train", F.lit(False)))
 
 
@@ -298,7 +298,7 @@ def _distance(a: str, b: str) -> Column:
 
 def nearest_neighbours(bars: DataFrame, k: int = 25) -> DataFrame:
     """Class shares of the k nearest training rows of each test row, weighted by exp(-distance / 1.25)."""
-    z = _standardised(bars)
+    z = standardised(bars)
     base = ["series_id", "window_no", "horizon"]
     h = z.filter("train").select(*base, c("idx").alias("h_idx"), c("direction").alias("label"), c("z").alias("h_z"))
     pairs = z.filter("not train").join(h, base).withColumn("distance", _distance("z", "h_z"))
@@ -311,7 +311,7 @@ def nearest_neighbours(bars: DataFrame, k: int = 25) -> DataFrame:
 
 def nearest_centroid(bars: DataFrame) -> DataFrame:
     """The class whose training mean is nearest (ties by name)."""
-    z = _standardised(bars)
+    z = standardised(bars)
     base = ["series_id", "window_no", "horizon"]
     means = z.filter("train").groupBy(*base, c("direction").alias("label")).agg(F.array(*(F.avg(c("z")[k]) for k in range(len(VECTOR)))).alias("mean"))
     pairs = z.filter("not train").join(F.broadcast(means), base).withColumn("distance", _distance("z", "mean"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import shared
 from tidemark.functions.columns import case, over, series, tidy
-from tidemark.operators import candles, contexts, evaluation, learning, levels, outcomes, quality, skill, structure
+from tidemark.operators import candles, contexts, evaluation, fusion, learning, levels, outcomes, quality, skill, structure
 from tidemark.plans.oracle import state
 from tidemark.sources import bars as source
 from tidemark.streaming import online
@@ -207,3 +207,18 @@ _add("similarity_histogram", skill.similarity_histogram, "simhist", "horizon buc
 _add("failure_patterns", skill.failure_patterns, "failures", "horizon trend regime momentum location n n_failed ~rate")
 _add("temporal_integrity", skill.temporal_integrity, "integrity", "horizon n n_self n_future n_near n_crossing")
 _add("discretised_rules", skill.discretised_rules, "drules", "horizon window_no rule n says ~confidence ~directional_rate ~score")
+_add("logistic_probability", fusion.logistic, "logit", f"{CASE_ID} rose n_train ~p_up")
+_add("ensemble_probability", fusion.ensemble, "ensem", f"{CASE_ID} rose support ~p_logistic ~p_neighbours ~p_state ~p_up ~agreement ~confidence says")
+_add("quantile_states", fusion.quantile_states, "qstates", f"{CASE_ID} direction state samples source ~p_up prediction")
+_add("temperature_scaling", fusion.temperature, "temper", "horizon ~temperature ~fit_loss ~test_loss ~plain_loss")
+_add("evidence_rules", fusion.evidence_rules, "evrules", "horizon rule n_fit ~fit_accuracy n_test ~test_accuracy chosen")
+_add("shrunk_retrieval", fusion.shrunk_retrieval, "shrunk", f"{CASE_ID} n ~homogeneity {P}")
+_add("component_ablation", fusion.component_ablation, "ablate", "horizon dropped n ~accuracy ~brier")
+_add("failure_penalties", fusion.failure_penalties, "fpen", f"{CASE_ID} said samples failures ~stepped ~adaptive ~stepped_up ~stepped_down ~stepped_neutral ~adaptive_up ~adaptive_down ~adaptive_neutral")
+_add("naive_baselines", fusion.naive_baselines, "naive", "horizon method n ~accuracy")
+_add("decision_stability", fusion.decision_stability, "dstab", "horizon said n_same n_changed ~stability")
+_add("trust_tiers", fusion.trust_tiers, "tiers", "horizon level ~score n_keys n_outcomes")
+_add("pattern_scores", fusion.pattern_scores, "pscore", "pattern occurrences resolved ~accuracy ~score")
+_add("similar_patterns", fusion.similar_patterns, "simpat", "series_id current pattern occurrences ~similarity rank")
+_add("level_clusters", fusion.level_clusters, "lclus", "series_id level_no ~price touches side")
+_add("unified_retrieval", fusion.unified_retrieval, "unified", f"{ID} n ~best ~p_bullish ~p_bearish ~p_neutral")
