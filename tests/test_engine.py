@@ -7,13 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tidemark.functions.columns import series
-from tidemark.operators import candles, evaluation, learning, outcomes, quality, structure
+from tidemark.operators import candles, evaluation, fusion, learning, outcomes, quality, structure
 from tidemark.plans import catalog
 from tidemark.sources import bars as source
 from tidemark.streaming import online
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"retrieval_topk", "retrieval_shares", "retrieval_decision", "retrieval_boundary_audit", "rule_validation", "rule_predictions", "stable_rules", "rule_mining", "forecast_shapes", "incremental_value", "discrimination", "tertile_agreement", "accuracy_permutation", "bootstrap_lift", "sign_test", "retrieval_null", "label_permutation", "coverage_summary", "similarity_histogram", "failure_patterns", "temporal_integrity", "calibration_grid", "confidence_sweep", "stability", "correlations", "discretised_rules", "excursion_summary", "threshold_grid", "regime_frequency", "segment_states", "nearest_zones", "seen_states_semi", "confusion_matrix", "calibration_ece"}
+SLOW = {"retrieval_topk", "retrieval_shares", "retrieval_decision", "retrieval_boundary_audit", "rule_validation", "rule_predictions", "stable_rules", "rule_mining", "forecast_shapes", "incremental_value", "discrimination", "tertile_agreement", "accuracy_permutation", "bootstrap_lift", "sign_test", "retrieval_null", "label_permutation", "coverage_summary", "similarity_histogram", "failure_patterns", "temporal_integrity", "calibration_grid", "confidence_sweep", "stability", "correlations", "discretised_rules", "excursion_summary", "threshold_grid", "regime_frequency", "segment_states", "nearest_zones", "seen_states_semi", "confusion_matrix", "calibration_ece", "ensemble_probability", "temperature_scaling", "evidence_rules", "shrunk_retrieval", "component_ablation", "failure_penalties", "naive_baselines", "decision_stability", "unified_retrieval"}
 
 
 @pytest.fixture(scope="module")
@@ -204,3 +204,18 @@ def test_stream_goes_on_after_a_restart_and_repeated_events(spark, tmp_path):
     spark.createDataFrame([("x", "y", 1, {"bullish": 1})], kept.schema).write.mode("append").parquet(str(tmp_path / "memory" / "buckets"))
     with pytest.raises(ValueError):
         online.load_memory(spark, str(tmp_path / "memory"))
+
+
+def test_logistic_models_stand_at_the_optimum(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 6))
+    y = (x[:, 0] - 0.5 * x[:, 3] + rng.normal(size=300) > 0.7).astype(float)
+    rows = [("s", 0, 4, [float(v) for v in a], float(b)) for a, b in zip(x, y)] + [("t", 0, 4, [float(v) for v in x[0]], 1.0)] * 3
+    table = spark.createDataFrame(rows, "series_id string, window_no int, horizon int, z array<double>, y double")
+    found = {r.series_id: r for r in fusion.logistic_models(table).collect()}
+    w = np.array(found["s"].weights)
+    balance = np.where(y == 1, 300 / (2 * y.sum()), 300 / (2 * (300 - y.sum())))
+    error = (1 / (1 + np.exp(-(w[0] + x @ w[1:]))) - y) * balance
+    assert abs(error.mean()) < 1e-9 and np.abs(x.T @ error / 300 + 0.75 * w[1:]).max() < 1e-9
+    assert found["t"].positive == found["t"].n == 3
+    assert fusion.logistic_models(table.limit(0)).count() == 0

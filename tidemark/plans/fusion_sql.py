@@ -75,7 +75,7 @@ CTES = {
     "ablate": "SELECT horizon, dropped, count(*) AS n, avg(CASE WHEN actual = CASE WHEN p_up = greatest(p_up, p_down, p_neutral) THEN 'UP' WHEN p_down = greatest(p_up, p_down, p_neutral) THEN 'DOWN' ELSE 'NEUTRAL' END THEN 1.0 ELSE 0.0 END) AS accuracy, avg((" + " + ".join(f"power(p_{d.lower()} - CAST(actual = '{d}' AS INTEGER), 2)" for d in _UPS) + ") / 3) AS brier FROM ab3 GROUP BY 1, 2",
     "fl0": "SELECT s.series_id, s.window_no, s.horizon, s.idx, s.said, s.hit, s.p_up, s.p_down, s.p_neutral, e.trend, e.momentum, e.regime AS in_regime FROM sc s JOIN exper e ON e.series_id = s.series_id AND e.idx = s.idx AND e.horizon = s.horizon",
     "fl1": "SELECT a.series_id, a.window_no, a.horizon, a.idx, any_value(a.said) AS said, any_value(a.p_up) AS p_up, any_value(a.p_down) AS p_down, any_value(a.p_neutral) AS p_neutral, count(b.idx) AS samples, count(b.idx) FILTER (b.hit = 0) AS failures FROM fl0 a LEFT JOIN fl0 b ON b.horizon = a.horizon AND b.said = a.said AND b.trend = a.trend AND b.momentum = a.momentum AND b.in_regime = a.in_regime AND b.window_no < a.window_no GROUP BY 1, 2, 3, 4",
-    "fl2": "SELECT *, CASE WHEN failures <= 0 THEN 0.0 WHEN failures < 50 THEN 0.05 WHEN failures < 100 THEN 0.1 WHEN failures < 200 THEN 0.15 ELSE 0.2 END AS stepped, CASE WHEN samples > 0 THEN 0.25 * (failures / samples) * least(1.0, sqrt(samples / 100)) * 0.65 ELSE 0.0 END AS adaptive FROM fl1",
+    "fl2": "SELECT *, CASE WHEN failures <= 0 THEN CAST(0 AS DOUBLE) WHEN failures < 50 THEN 0.05 WHEN failures < 100 THEN 0.1 WHEN failures < 200 THEN 0.15 ELSE 0.2 END AS stepped, CASE WHEN samples > 0 THEN 0.25 * (failures / samples) * least(1.0, sqrt(samples / 100)) * 0.65 ELSE 0.0 END AS adaptive FROM fl1",
     "fpen": "SELECT *, " + ", ".join(f"p_up - CASE WHEN said = 'UP' THEN least(p_up, {x}) ELSE 0 END AS {x}_up, p_down - CASE WHEN said = 'DOWN' THEN least(p_down, {x}) ELSE 0 END AS {x}_down, p_neutral + CASE said WHEN 'UP' THEN least(p_up, {x}) WHEN 'DOWN' THEN least(p_down, {x}) ELSE 0 END AS {x}_neutral" for x in ("stepped", "adaptive")) + " FROM fl2",
     "nb0": "SELECT series_id, window_no, horizon, CASE WHEN u >= d AND u >= z THEN 'UP' WHEN d >= z THEN 'DOWN' ELSE 'NEUTRAL' END AS majority FROM (SELECT series_id, window_no, horizon, count(*) FILTER (direction = 'UP') AS u, count(*) FILTER (direction = 'DOWN') AS d, count(*) FILTER (direction = 'NEUTRAL') AS z FROM train GROUP BY 1, 2, 3)",
     "nb1": """SELECT horizon, direction, unnest(['majority', 'momentum', 'last_candle', 'random']) AS method, unnest([majority, CASE WHEN r3 > 0 THEN 'UP' WHEN r3 < 0 THEN 'DOWN' ELSE 'NEUTRAL' END, CASE candle_direction WHEN 'FLAT' THEN 'NEUTRAL' ELSE candle_direction END,
@@ -85,7 +85,7 @@ CTES = {
     "dstab": "SELECT horizon, said, count(*) FILTER (said = was) AS n_same, count(*) FILTER (said <> was) AS n_changed, avg(CASE WHEN said = was THEN 1.0 ELSE 0.0 END) AS stability FROM dst0 WHERE was IS NOT NULL GROUP BY 1, 2",
     "tt0": "SELECT series_id, horizon, state_key, count(direction) AS resolved FROM exper GROUP BY 1, 2, 3",
     "tiers": """SELECT horizon, CASE WHEN resolved = 0 THEN 'not_available' WHEN resolved < 5 THEN 'very_early' WHEN resolved < 15 THEN 'developing' WHEN resolved < 30 THEN 'moderate_sample' WHEN resolved < 60 THEN 'strong_sample' ELSE 'large_sample' END AS level,
-      CASE WHEN resolved = 0 THEN 0.0 WHEN resolved < 5 THEN 20.0 WHEN resolved < 15 THEN 40.0 WHEN resolved < 30 THEN 60.0 WHEN resolved < 60 THEN 75.0 ELSE 90.0 END AS score, count(*) AS n_keys, CAST(sum(resolved) AS BIGINT) AS n_outcomes FROM tt0 GROUP BY 1, 2, 3""",
+      CASE WHEN resolved = 0 THEN CAST(0 AS DOUBLE) WHEN resolved < 5 THEN 20.0 WHEN resolved < 15 THEN 40.0 WHEN resolved < 30 THEN 60.0 WHEN resolved < 60 THEN 75.0 ELSE 90.0 END AS score, count(*) AS n_keys, CAST(sum(resolved) AS BIGINT) AS n_outcomes FROM tt0 GROUP BY 1, 2, 3""",
     "six": f"SELECT series_id, idx, string_agg(left(direction, 1), '' ORDER BY idx) OVER ({PART} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS pattern FROM anatomy QUALIFY idx >= 5",
     "ps0": "SELECT pattern, horizon, count(*) AS o, count(price_direction) AS r, greatest(count(*) FILTER (price_direction = 'bullish'), count(*) FILTER (price_direction = 'bearish'), count(*) FILTER (price_direction = 'neutral')) AS m FROM six JOIN outcomes USING (series_id, idx) GROUP BY 1, 2",
     "ps1": "SELECT pattern, max(o) AS occurrences, CAST(sum(r) AS BIGINT) AS resolved, coalesce(avg(100.0 * m / r) FILTER (r > 0), 0.0) AS accuracy FROM ps0 GROUP BY 1",
