@@ -7,13 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tidemark.functions.columns import series
-from tidemark.operators import candles, evaluation, fusion, learning, outcomes, quality, structure
+from tidemark.operators import behaviour, candles, evaluation, fusion, learning, outcomes, quality, structure
 from tidemark.plans import catalog
 from tidemark.sources import bars as source
 from tidemark.streaming import online
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"retrieval_topk", "retrieval_shares", "retrieval_decision", "retrieval_boundary_audit", "rule_validation", "rule_predictions", "stable_rules", "rule_mining", "forecast_shapes", "incremental_value", "discrimination", "tertile_agreement", "accuracy_permutation", "bootstrap_lift", "sign_test", "retrieval_null", "label_permutation", "coverage_summary", "similarity_histogram", "failure_patterns", "temporal_integrity", "calibration_grid", "confidence_sweep", "stability", "correlations", "discretised_rules", "excursion_summary", "threshold_grid", "regime_frequency", "segment_states", "nearest_zones", "seen_states_semi", "confusion_matrix", "calibration_ece", "ensemble_probability", "temperature_scaling", "evidence_rules", "shrunk_retrieval", "component_ablation", "failure_penalties", "naive_baselines", "decision_stability", "unified_retrieval"}
+SLOW = {"retrieval_topk", "retrieval_shares", "retrieval_decision", "retrieval_boundary_audit", "rule_validation", "rule_predictions", "stable_rules", "rule_mining", "forecast_shapes", "incremental_value", "discrimination", "tertile_agreement", "accuracy_permutation", "bootstrap_lift", "sign_test", "retrieval_null", "label_permutation", "coverage_summary", "similarity_histogram", "failure_patterns", "temporal_integrity", "calibration_grid", "confidence_sweep", "stability", "correlations", "discretised_rules", "excursion_summary", "threshold_grid", "regime_frequency", "segment_states", "nearest_zones", "seen_states_semi", "confusion_matrix", "calibration_ece", "ensemble_probability", "temperature_scaling", "evidence_rules", "shrunk_retrieval", "component_ablation", "failure_penalties", "naive_baselines", "decision_stability", "unified_retrieval", "candidate_diagnostics"}
 
 
 @pytest.fixture(scope="module")
@@ -219,3 +219,28 @@ def test_logistic_models_stand_at_the_optimum(spark):
     assert abs(error.mean()) < 1e-9 and np.abs(x.T @ error / 300 + 0.75 * w[1:]).max() < 1e-9
     assert found["t"].positive == found["t"].n == 3
     assert fusion.logistic_models(table.limit(0)).count() == 0
+
+
+def test_window_counters_bar_by_bar(spark):
+    rows = walk(90, 5)
+    got = {r.idx: r for r in behaviour.window_counters(spark.createDataFrame(rows, BARS)).collect()}
+    for i in range(len(rows)):
+        seen = rows[max(0, i - 29) : i + 1]
+        sides = [(r[5] > r[2]) - (r[5] < r[2]) for r in seen]
+        tops = [b[3] for a, b, d in zip(seen, seen[1:], seen[2:]) if b[3] > a[3] and b[3] > d[3]]
+        lows = [b[4] for a, b, d in zip(seen, seen[1:], seen[2:]) if b[4] < a[4] and b[4] < d[4]]
+        pairs = list(zip(sides, sides[1:]))
+        want = (pairs.count((1, 1)), pairs.count((-1, -1)), pairs.count((1, -1)) + pairs.count((-1, 1)), *(sum((b - a) * way > 0 for a, b in zip(x, x[1:])) for x, way in ((tops, 1), (tops, -1), (lows, 1), (lows, -1))))
+        r = got[i]
+        assert (r.n_bullish, r.n_bearish, r.n_changes, r.n_hh, r.n_lh, r.n_hl, r.n_ll) == want
+
+
+def test_behaviour_of_empty_and_short_series(spark):
+    none = spark.createDataFrame([], BARS)
+    for f in (behaviour.symbols, behaviour.normalised_anatomy, behaviour.window_counters, behaviour.label_sequences, behaviour.split_schemes):
+        assert f(none).count() == 0
+    one = spark.createDataFrame([("s", 0, 5.0, 5.0, 5.0, 5.0, 1)], BARS)
+    assert behaviour.symbols(one).first().symbol == "N:weak:Ulow:Llow"
+    flat = behaviour.normalised_anatomy(one).first()
+    assert (flat.type, flat.efficiency, flat.expansion) == ("DOJI", None, 1.0 if flat.usual > 1e-9 else None)
+    assert behaviour.split_schemes(one).count() == 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import shared
 from tidemark.functions.columns import case, over, series, tidy
-from tidemark.operators import candles, contexts, evaluation, fusion, learning, levels, outcomes, quality, skill, structure
+from tidemark.operators import behaviour, candles, contexts, evaluation, fusion, learning, levels, outcomes, quality, skill, structure
 from tidemark.plans.oracle import state
 from tidemark.sources import bars as source
 from tidemark.streaming import online
@@ -222,3 +222,11 @@ _add("pattern_scores", fusion.pattern_scores, "pscore", "pattern occurrences res
 _add("similar_patterns", fusion.similar_patterns, "simpat", "series_id current pattern occurrences ~similarity rank")
 _add("level_clusters", fusion.level_clusters, "lclus", "series_id level_no ~price touches side")
 _add("unified_retrieval", fusion.unified_retrieval, "unified", f"{ID} n ~best ~p_bullish ~p_bearish ~p_neutral")
+_add("candle_symbols", behaviour.symbols, "symb", f"{ID} body_class upper_class lower_class close_class symbol")
+_add("normalised_anatomy", behaviour.normalised_anatomy, "norm", f"{ID} ~body_atr ~span_atr ~body_place ~efficiency ~expansion type rejection pressure")
+_add("window_counters", behaviour.window_counters, "wcount", f"{ID} n_bullish n_bearish n_changes n_hh n_lh n_hl n_ll context")
+_add("label_sequences", behaviour.label_sequences, "lseq", "horizon length labels n says ~confidence rank")
+_add("prior_states", behaviour.prior_states, "prior", f"{CASE_ID} direction state_key source samples ~p_up")
+_add("split_schemes", behaviour.split_schemes, "schemes", "series_id scheme window_no oos_start oos_end")
+_add("confidence_bins", lambda b: behaviour.confidence_bins(learning.conditional_baseline(b)), "confbins", "horizon bin n ~accuracy ~mean_confidence")
+_add("candidate_diagnostics", behaviour.candidate_diagnostics, "canddiag", "horizon k n_queries ~mean_same ~mean_gap ~mean_similarity ~mean_structure ~mean_regime ~mean_path")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from tidemark.plans import fusion_sql, more_sql
+from tidemark.plans import behaviour_sql, fusion_sql, more_sql
 
 PART = "PARTITION BY series_id ORDER BY idx"
 
@@ -294,7 +294,7 @@ CTES |= {
     "zone_inputs": "SELECT series_id, count(*) AS n_inputs, count(*) FILTER (h_idx > idx) AS n_violations FROM top GROUP BY 1",
 }
 
-CTES |= more_sql.CTES | fusion_sql.CTES
+CTES |= more_sql.CTES | fusion_sql.CTES | behaviour_sql.CTES
 
 
 def state(source: str, columns: str) -> str:
