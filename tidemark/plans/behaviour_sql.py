@@ -42,10 +42,10 @@ CTES = {
     "prior1": "SELECT series_id, window_no, horizon, sum(up) AS all_up, sum(n) AS all_n FROM prior0 GROUP BY 1, 2, 3",
     "prior": """SELECT t.series_id, t.window_no, t.horizon, t.idx, t.direction, t.state_key, CASE WHEN n IS NOT NULL THEN 'STATE' WHEN all_n IS NOT NULL THEN 'GLOBAL' ELSE 'NONE' END AS source, CAST(coalesce(n, all_n, 0) AS BIGINT) AS samples,
       coalesce((up + 2.0) / (n + 4.0), (all_up + 2.0) / (all_n + 4.0), 0.5) AS p_up FROM tests t LEFT JOIN prior0 USING (series_id, window_no, horizon, state_key) LEFT JOIN prior1 USING (series_id, window_no, horizon)""",
-    "sp0": _SPLITS,
-    "sp1": "SELECT *, cut + k * greatest(50, (n - cut) // 5) AS start, CASE WHEN k = 4 THEN n ELSE least(n, cut + (k + 1) * greatest(50, (n - cut) // 5)) END AS stop FROM (SELECT *, unnest(range(5)) AS k FROM sp0 WHERE n >= 200)",
-    "schemes": """SELECT series_id, 'ratio' AS scheme, CAST(row_number() OVER (PARTITION BY series_id ORDER BY k) AS INTEGER) AS window_no, start AS oos_start, stop AS oos_end FROM sp1 WHERE start >= 150 AND stop - start >= 50
-      UNION ALL SELECT series_id, 'folds', CAST(k AS INTEGER), k * (n // 5), (k + 1) * (n // 5) FROM (SELECT *, unnest(range(1, 5)) AS k FROM sp0) WHERE n >= 5 UNION ALL SELECT series_id, 'chronological', 1, cut, n FROM sp0 WHERE cut > 0""",
+    "schemes0": _SPLITS,
+    "schemes1": "SELECT *, cut + k * greatest(50, (n - cut) // 5) AS start, CASE WHEN k = 4 THEN n ELSE least(n, cut + (k + 1) * greatest(50, (n - cut) // 5)) END AS stop FROM (SELECT *, unnest(range(5)) AS k FROM schemes0 WHERE n >= 200)",
+    "schemes": """SELECT series_id, 'ratio' AS scheme, CAST(row_number() OVER (PARTITION BY series_id ORDER BY k) AS INTEGER) AS window_no, start AS oos_start, stop AS oos_end FROM schemes1 WHERE start >= 150 AND stop - start >= 50
+      UNION ALL SELECT series_id, 'folds', CAST(k AS INTEGER), k * (n // 5), (k + 1) * (n // 5) FROM (SELECT *, unnest(range(1, 5)) AS k FROM schemes0) WHERE n >= 5 UNION ALL SELECT series_id, 'chronological', 1, cut, n FROM schemes0 WHERE cut > 0""",
     "confbins": "SELECT horizon, CAST(least(floor(round(confidence, 9) * 5), 4) AS INTEGER) AS bin, count(*) AS n, avg(hit) AS accuracy, avg(round(confidence, 9)) AS mean_confidence FROM sc GROUP BY 1, 2",
     "cd0": f"SELECT *, row_number() OVER (PARTITION BY {Q} ORDER BY similarity DESC, h_idx DESC) AS rank, CAST(direction = actual AS INTEGER) AS same, idx - h_idx AS gap FROM matches WHERE actual IS NOT NULL",
     "cd1": f"SELECT {Q}, k, {', '.join(f'avg({x}) AS {x}' for x in _RANKED)} FROM (SELECT *, unnest([1, 5, 10, 25]) AS k FROM cd0) WHERE rank <= k GROUP BY ALL",
