@@ -23,7 +23,7 @@ rows.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,28 +54,32 @@ def term_pieces(text: bytes, piece: int = PIECE) -> Iterator[list[bytes]]:
         at = end
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts by (lang, source, term), given up whenever ENTRIES of them are held; a null term stands for the group itself."""
-    groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+def _counted(entries: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts by (lang, source, term), given up whenever ``entries`` of them are held; a null term stands for the group itself."""
 
-    def given_up() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs) in groups.items():
-            terms, counts = [None, *n], [0, *n.values()]
-            rows = {"lang": [lang] * len(terms), "source": [source] * len(terms), "term": pa.array(terms, pa.binary())}
-            yield pa.RecordBatch.from_pydict(rows | {"n": pa.array(counts, pa.int64()), "docs": pa.array([0, *map(docs.__getitem__, n)], pa.int64())})
-        groups.clear()
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        for batch in common.slices(batches, rows=500, n_bytes=8 << 20):
+            for lang, source, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                n, docs = groups.setdefault((lang, source), (Counter(), Counter()))
+                seen: set[bytes] = set()
+                for terms in term_pieces(text):
+                    n.update(terms)
+                    seen.update(terms)
+                docs.update(seen)
+            if sum(len(n) for n, _ in groups.values()) >= entries:
+                yield from _given_up(groups)
+        yield from _given_up(groups)
 
-    for batch in common.slices(batches, rows=500, n_bytes=8 << 20):
-        for lang, source, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            n, docs = groups.setdefault((lang, source), (Counter(), Counter()))
-            seen: set[bytes] = set()
-            for terms in term_pieces(text):
-                n.update(terms)
-                seen.update(terms)
-            docs.update(seen)
-        if sum(len(n) for n, _ in groups.values()) >= ENTRIES:
-            yield from given_up()
-    yield from given_up()
+    return counted
+
+
+def _given_up(groups: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+    for (lang, source), (n, docs) in groups.items():
+        terms, counts = [None, *n], [0, *n.values()]
+        rows = {"lang": [lang] * len(terms), "source": [source] * len(terms), "term": pa.array(terms, pa.binary())}
+        yield pa.RecordBatch.from_pydict(rows | {"n": pa.array(counts, pa.int64()), "docs": pa.array([0, *map(docs.__getitem__, n)], pa.int64())})
+    groups.clear()
 
 
 def kept_cells(docs: DataFrame, least: int = LEAST, light: int = LIGHT) -> DataFrame:
@@ -85,7 +89,7 @@ def kept_cells(docs: DataFrame, least: int = LEAST, light: int = LIGHT) -> DataF
     """
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     names = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
-    parts = docs.select(*names, text.alias("text")).mapInArrow(_count, "lang string, source string, term binary, n long, docs long")
+    parts = docs.select(*names, text.alias("text")).mapInArrow(_counted(ENTRIES), "lang string, source string, term binary, n long, docs long")
     cells = parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     term = Window.partitionBy("lang", "term")
     whole = cells.select(
@@ -117,26 +121,30 @@ def groups_of(cells: DataFrame, prior: int = PRIOR) -> DataFrame:
     return ranked.withColumn("z", share(F.lit(0), "total", "kept", prior))
 
 
-def _tile(table: pa.Table) -> pa.Table:
+def _tiled(sources: int) -> Callable[[pa.Table], pa.Table]:
     """Sums of |p - p'| over a tile's terms, for each pair of groups; rows of null term bring every group and its z."""
-    g, p = table["g"].to_numpy(), table["p"].to_numpy()
-    code = table["term"].combine_chunks().dictionary_encode()
-    is_group = np.asarray(code.is_null())
-    at = np.flatnonzero(is_group)
-    ids, first = np.unique(g[at], return_index=True)
-    dense = np.repeat(p[at][first][:, None], max(len(code.dictionary), 1), axis=1)
-    cells = np.flatnonzero(~is_group)
-    dense[np.searchsorted(ids, g[cells]), np.asarray(code.indices.fill_null(0))[cells]] = p[cells]
-    a, b = table["a"][0].as_py(), table["b"][0].as_py()
-    rows = np.flatnonzero(ids // SOURCES == a)
-    columns = rows if a == b else np.flatnonzero(ids // SOURCES == b)
-    i, j, f = [], [], []
-    for r in rows.tolist():
-        others = columns[columns > r]
-        i.append(np.full(len(others), ids[r]))
-        j.append(ids[others])
-        f.append(np.abs(dense[others] - dense[r]).sum(1))
-    return _pairs(table, i, j, f)
+
+    def tiled(table: pa.Table) -> pa.Table:
+        g, p = table["g"].to_numpy(), table["p"].to_numpy()
+        code = table["term"].combine_chunks().dictionary_encode()
+        is_group = np.asarray(code.is_null())
+        at = np.flatnonzero(is_group)
+        ids, first = np.unique(g[at], return_index=True)
+        dense = np.repeat(p[at][first][:, None], max(len(code.dictionary), 1), axis=1)
+        cells = np.flatnonzero(~is_group)
+        dense[np.searchsorted(ids, g[cells]), np.asarray(code.indices.fill_null(0))[cells]] = p[cells]
+        a, b = table["a"][0].as_py(), table["b"][0].as_py()
+        rows = np.flatnonzero(ids // sources == a)
+        columns = rows if a == b else np.flatnonzero(ids // sources == b)
+        i, j, f = [], [], []
+        for r in rows.tolist():
+            others = columns[columns > r]
+            i.append(np.full(len(others), ids[r]))
+            j.append(ids[others])
+            f.append(np.abs(dense[others] - dense[r]).sum(1))
+        return _pairs(table, i, j, f)
+
+    return tiled
 
 
 def _pairs(table: pa.Table, i: list[np.ndarray], j: list[np.ndarray], f: list[np.ndarray]) -> pa.Table:
@@ -183,7 +191,7 @@ def pair_sums(cells: DataFrame, groups: DataFrame) -> DataFrame:
     present = groups.filter("heavy_terms > 0").select("lang", "g", F.col("z").alias("p"), F.lit(None).cast("string").alias("term"), block("g").alias("x"), "sources", "heavy_terms", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("tile"))
     present = present.select("lang", "g", "p", "term", "tile", "x", every.alias("y"))
     dealt = heavy.unionByName(present).select("lang", "g", "p", "term", "tile", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    dense = dealt.groupBy("lang", "tile", "a", "b").applyInArrow(_tile, PAIRS)
+    dense = dealt.groupBy("lang", "tile", "a", "b").applyInArrow(_tiled(SOURCES), PAIRS)
 
     light = cells.filter("not heavy")
     postings = light.groupBy("lang", "g", "p", "sources").agg(F.count("*").alias("m"))
