@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,20 +89,6 @@ def indicators(bars: DataFrame) -> DataFrame:
     })
 
 
-def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """MACD of exponential means seeded with the first value: a true recursion, so an Arrow-batched pass over each series."""
-
-    def run(series: pd.DataFrame) -> pd.DataFrame:
-        series = series.sort_values("idx")
-        mean = lambda x, n: x.ewm(alpha=2 / (n + 1), adjust=False).mean()
-        line = mean(series["close"], fast) - mean(series["close"], slow)
-        smooth = mean(line, signal)
-        return pd.DataFrame({"series_id": series["series_id"], "idx": series["idx"], "macd": line, "signal": smooth, "histogram": line - smooth})
-
-    out = bars.select("series_id", "idx", "close").groupBy("series_id").applyInPandas(run, "series_id string, idx long, macd double, signal double, histogram double")
-    return out.withColumn("state", case((c("histogram") > 1e-9, "BULLISH"), (c("histogram") < -1e-9, "BEARISH"), otherwise="NEUTRAL"))
-
-
 def streaks(bars: DataFrame) -> DataFrame:
     """Length of the run of equal directions that ends at each bar, signed; runs are islands between changes."""
     d = anatomy(bars).withColumn("new", F.coalesce((c("direction") != F.lag("direction").over(series())).cast("long"), F.lit(1)))

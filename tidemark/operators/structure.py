@@ -111,27 +111,3 @@ def zones(bars: DataFrame, width: float = 0.6) -> DataFrame:
     touch = (c("low") <= c("zone_high")) & (c("high") >= c("zone_low"))
     closes_out = (c("close") > c("zone_high")) | (c("close") < c("zone_low"))
     return bars.join(found, "series_id").filter(touch).groupBy("series_id", "zone", "zone_low", "zone_high", "n_pivots").agg(F.count("*").alias("n_touches"), F.count_if(closes_out).alias("n_rejections"), F.max("idx").alias("last_touch"))
-
-
-def sequence_machine(bars: DataFrame) -> DataFrame:
-    """IMPULSE, PULLBACK, CONTINUATION or FAILURE after each break, IDLE else.
-
-    Every break starts anew, so the states of a stretch follow from the places of three bars in it: the first against the
-    break's side, the first after that which moves at all, and the first after that which goes against the side again.
-    """
-    s = structure(bars).withColumn("segment", F.sum((c("event") != "NONE").cast("int")).over(over(None)))
-    inside = Window.partitionBy("series_id", "segment").orderBy("idx")
-    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("side", F.first(case((c("event").endswith("BULLISH"), F.lit(1.0)), (c("event").endswith("BEARISH"), F.lit(-1.0)), otherwise=F.lit(0.0))).over(so_far))
-    s = s.withColumn("move", F.signum(c("close") - F.lag("close").over(series())) * c("side"))
-    first = lambda hit: F.min(F.when(hit, c("idx"))).over(so_far)
-    s = s.withColumn("back", first((c("event") == "NONE") & (c("move") < 0)))
-    s = s.withColumn("next", first((c("idx") > c("back")) & (c("move") != 0)))
-    s = s.withColumn("failed", F.max(F.when((c("idx") == c("next")) & (c("move") < 0), 1).otherwise(0)).over(so_far) == 1)
-    s = s.withColumn("over", first((c("idx") > c("next")) & (c("move") < 0)))
-    state = case(
-        (c("segment") == 0, "IDLE"), (c("back").isNull(), "IMPULSE"), (c("next").isNull(), "PULLBACK"), (c("failed") & (c("idx") == c("next")), "FAILURE"), (c("failed"), "IDLE"),
-        (c("over").isNull(), "CONTINUATION"), otherwise="IDLE",
-    )
-    s = s.withColumn("sequence", state)
-    return s.withColumn("transition", F.concat_ws("->", F.lag("sequence").over(series()), "sequence"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import shared
 from tidemark.functions.columns import case, over, series, tidy
-from tidemark.operators import behaviour, candles, contexts, evaluation, fusion, learning, levels, outcomes, quality, skill, structure
+from tidemark.operators import acceptance, behaviour, candles, contexts, discovery, evaluation, fusion, learning, levels, outcomes, quality, scans, skill, structure
 from tidemark.plans.oracle import state
 from tidemark.sources import bars as source
 from tidemark.streaming import online
@@ -122,7 +122,8 @@ _add("candle_classes", candles.classes, "classes", f"{ID} label size_class body_
 _add("candle_language", candles.language, "language", f"{ID} body_size range_size wick_profile behaviours sentence")
 _add("relative_size_volume", _relative, "relative", f"{ID} ~med size_state ~vmed volume_state")
 _add("indicators_rsi_sma_atr", candles.indicators, "indicators", f"{ID} ~rsi ~momentum atr_regime ma_bias ~sma50")
-_add("macd", candles.macd, "macd", f"{ID} ~macd ~signal ~histogram state")
+_add("exponential_means", lambda b: scans.exponential_means(b.select("series_id", "idx", "close"), "close", (12, 26)), "ema_lines", f"{ID} ~ema_12 ~ema_26")
+_add("macd", scans.macd, "macd", f"{ID} ~macd ~signal ~histogram state")
 _add("direction_streaks", candles.streaks, "streaks", f"{ID} streak signed_streak exhausted")
 _add("window_context", candles.window_context, "context", f"{ID} ~imbalance ~change60 body_momentum rejection pressure break_state")
 _add("level_events", candles.level_events, "levels", f"{ID} break_event sweep displacement alignment ~high_distance ~low_distance")
@@ -139,7 +140,8 @@ _add("regime_runs", lambda b: structure.regime_runs(structure.market_states(b)),
 _add("regime_transitions", _transitions, "transitions", "prev regime n")
 _add("state_frequency", lambda b: learning.state_frequency(structure.market_states(b)), "frequency", "bucket n_states n_rows")
 _add("zone_touches", structure.zones, "zones", "series_id zone ~zone_low ~zone_high n_pivots n_touches n_rejections last_touch")
-_add("sequence_machine", structure.sequence_machine, "machine", f"{ID} sequence transition")
+_add("structure_acceptance", acceptance.structure_acceptance, "acc", f"{ID} event trend event_direction ~event_level event_age ~break_distance ~break_strength acceptance retest phase")
+_add("sequence_machine", acceptance.sequence_machine, "machine", f"{ID} sequence transition impulses pullbacks compressions")
 _add("outcomes", outcomes.outcomes, "outcomes", f"{ID} horizon quality direction price_direction ~raw_return ~atr_return ~mfe_atr ~mae_atr time_to_high time_to_low")
 _add("outcome_distribution", lambda b: outcomes.distribution(outcomes.outcomes(b)), "distribution", "series_id horizon n ~up ~down ~neutral ~mean_return ~median_return ~mean_mfe ~mean_mae")
 _add("threshold_grid", _thresholds, "thresholds", "horizon window_no ~threshold n_up n_down n ~score")
@@ -230,3 +232,8 @@ _add("prior_states", behaviour.prior_states, "prior", f"{CASE_ID} direction stat
 _add("split_schemes", behaviour.split_schemes, "schemes", "series_id scheme window_no oos_start oos_end")
 _add("confidence_bins", lambda b: behaviour.confidence_bins(learning.conditional_baseline(b)), "confbins", "horizon bin n ~accuracy ~mean_confidence")
 _add("candidate_diagnostics", behaviour.candidate_diagnostics, "canddiag", "horizon k n_queries ~mean_same ~mean_gap ~mean_similarity ~mean_structure ~mean_regime ~mean_path")
+_add("research_features", discovery.features, "feat26", f"{ID} " + " ".join([*(f"~{n}" for n in discovery.NUMBERS), *discovery.CATEGORIES]))
+_add("condition_rules", discovery.mined_rules, "crules", "series_id horizon fold rule n says ~confidence")
+_add("condition_walk_forward", discovery.walk_forward, "cwalk", "series_id horizon fold n predictions correct ~accuracy ~coverage")
+_add("rule_label_null", discovery.label_null, None, "series_id horizon n predictions correct ~observed ~mean_null ~max_null n_reaching ~p_value")
+_add("rule_discovery_null", discovery.discovery_null, None, "series_id horizon fold ~baseline rules ~best_accuracy above ~mean_best ~max_best ~mean_rules ~mean_above")

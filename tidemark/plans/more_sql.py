@@ -84,12 +84,6 @@ CTES = {
       FROM pz3 z LEFT JOIN bars b ON b.series_id = z.series_id AND b.idx >= z.last_idx - 240 AND b.high >= z.zone_low AND b.low <= z.zone_high GROUP BY ALL""",
     "nzones": "SELECT *, CASE WHEN center < last_close THEN 'BELOW' ELSE 'ABOVE' END AS side, abs(center - last_close) AS distance FROM pzones WHERE center <> last_close QUALIFY row_number() OVER (PARTITION BY series_id, kind, center < last_close ORDER BY abs(center - last_close), zone) = 1",
     "memo": "SELECT series_id, state_key, count(*) AS count, count(*) FILTER (price_direction = 'bullish') AS n_bullish, count(*) FILTER (price_direction = 'bearish') AS n_bearish, count(*) FILTER (price_direction = 'neutral') AS n_neutral FROM so WHERE price_direction IS NOT NULL GROUP BY 1, 2",
-    "mach0": f"SELECT series_id, idx, event, sign(close - lag(close) {LAG}) AS move FROM structure",
-    "mach": """SELECT series_id, idx, CASE WHEN event = 'NONE' THEN 'IDLE' ELSE 'IMPULSE' END AS sequence, CASE WHEN event LIKE '%BULLISH' THEN 1.0 WHEN event LIKE '%BEARISH' THEN -1.0 ELSE 0.0 END AS side, CAST(NULL AS VARCHAR) AS was FROM mach0 WHERE idx = 0 UNION ALL
-      SELECT b.series_id, b.idx, CASE WHEN b.event <> 'NONE' THEN 'IMPULSE' WHEN m.sequence = 'IMPULSE' AND b.move * m.side < 0 THEN 'PULLBACK' WHEN m.sequence = 'PULLBACK' AND b.move * m.side < 0 THEN 'FAILURE' WHEN m.sequence = 'PULLBACK' AND b.move * m.side > 0 THEN 'CONTINUATION'
-          WHEN m.sequence = 'FAILURE' OR (m.sequence = 'CONTINUATION' AND b.move * m.side < 0) THEN 'IDLE' ELSE m.sequence END, CASE WHEN b.event LIKE '%BULLISH' THEN 1.0 WHEN b.event LIKE '%BEARISH' THEN -1.0 ELSE m.side END, m.sequence
-      FROM mach m JOIN mach0 b ON b.series_id = m.series_id AND b.idx = m.idx + 1""",
-    "machine": "SELECT series_id, idx, sequence, concat_ws('->', was, sequence) AS transition FROM mach",
     "labels0": "SELECT *, CASE WHEN change = 0 THEN NULL WHEN change > 0 THEN mfe_atr ELSE -mae_atr END AS al, CASE WHEN change = 0 THEN NULL WHEN change > 0 THEN -mae_atr ELSE mfe_atr END AS ag FROM outcomes WHERE complete",
     "labels": """SELECT *, greatest(mfe_atr, 0.0) AS mfe_clipped, greatest(-mae_atr, 0.0) AS mae_clipped, CASE WHEN al IS NULL THEN 0.0 ELSE greatest(al, 0.0) END AS along, CASE WHEN ag IS NULL THEN 0.0 ELSE greatest(ag, 0.0) END AS against,
       CASE WHEN change <> 0 THEN CASE WHEN atr_return >= 1 THEN 'STRONG_UP' WHEN atr_return <= -1 THEN 'STRONG_DOWN' WHEN change > 0 THEN 'UP' ELSE 'DOWN' END END AS strength, CASE WHEN change > 0 THEN 1 WHEN change < 0 THEN 0 END AS two_way,
