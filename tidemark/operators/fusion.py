@@ -318,26 +318,48 @@ PARTS = ("direction", "body_size", "wick_profile", "trend", "volatility_state",
 RETURNS = ("r1", "r3", "r8", "r16")
 
 
+def states(bars: DataFrame) -> DataFrame:
+    """(series_id, idx, parts, returns, path, bucket): bars whose parts, returns (to 10 places) and path (to 6) are equal share a bucket, named by its first bar."""
+    at = ["series_id", "idx"]
+    state = structure.market_states(bars).select(*at, *RETURNS, *(p for p in PARTS if p not in ("body_size", "wick_profile", "volatility_state")))
+    state = state.join(candles.language(bars).select(*at, "body_size", "wick_profile"), at).join(candles.classes(bars).select(*at, "volatility_state"), at).join(candles.path_vectors(bars).select(*at, "path"), at)
+    near = F.transform("path", lambda x: F.array(*(F.round(x[n], 6) for n in ("change", "range", "direction", "body"))))
+    rows = state.select(*at, F.array(*PARTS).alias("parts"), F.array(*RETURNS).alias("returns"), "path", F.array(*(F.round(r, 10) for r in RETURNS)).alias("kept_returns"), near.alias("kept_path"))
+    return rows.withColumn("bucket", F.min("idx").over(Window.partitionBy("series_id", "parts", "kept_returns", "kept_path")))
+
+
 def unified_retrieval(bars: DataFrame, horizon: int = 4, k: int = 25) -> DataFrame:
-    """Test bars against bars of their series whose outcome is known by then: 0.55 equal parts of the state, 0.20 returns, 0.25 path; from 0.34 on the best k vote with their scores.
+    """Forecasts of test bars from buckets of equal states of their series, filled with the outcomes known by then.
 
-    An earlier bar of the same state, returns and path is left out, as the counts of equal states hold it.
+    A bar's own bucket counts in full. Of the others those of likeness 0.34 or more (0.55 equal parts of the state, 0.20 returns,
+    0.25 path) count, the best k by likeness, then size, then age, each with its likeness times its size over 20, at most 1. Counts are
+    smoothed by one a class; the level of evidence follows from the number of outcomes in all buckets used.
     """
     at = ["series_id", "idx"]
-    state = structure.market_states(bars).select(*at, *RETURNS, *(p for p in PARTS if p not in ("body_size", "wick_profile", "volatility_state")))
-    state = state.join(candles.language(bars).select(*at, "body_size", "wick_profile"), at).join(candles.classes(bars).select(*at, "volatility_state"), at).join(candles.path_vectors(bars).select(*at, "path"), at)
-    rows = shared.cut(state.select(*at, F.array(*PARTS).alias("parts"), F.array(*RETURNS).alias("returns"), "path"), "states")
+    rows = shared.cut(states(bars), "states")
     known = outcomes.outcomes(bars, (horizon,)).select(*at, "price_direction")
-    q = learning.tests_of(bars, rows).select(*at, c("parts").alias("q_parts"), c("returns").alias("q_returns"), c("path").alias("q_path"))
-    h = rows.join(known.filter("price_direction is not null"), at).withColumnRenamed("idx", "h_idx")
-    pairs = q.join(h, "series_id").filter((c("h_idx") + horizon <= c("idx")) & ~((c("parts") == c("q_parts")) & (c("returns") == c("q_returns")) & (c("path") == c("q_path"))))
+    q = learning.tests_of(bars, rows).select(*at, c("parts").alias("q_parts"), c("returns").alias("q_returns"), c("path").alias("q_path"), c("bucket").alias("q_bucket"))
+    h = rows.join(known.filter("price_direction is not null"), at).select("series_id", c("idx").alias("h_idx"), "parts", c("kept_returns").alias("returns"), c("kept_path").alias("path"), "bucket", "price_direction")
+    pairs = q.join(h, "series_id").filter(c("h_idx") + horizon <= c("idx"))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     equal = total(F.zip_with("parts", "q_parts", lambda a, b: (a == b).cast("double"))) / len(PARTS)
     near = total(F.zip_with("returns", "q_returns", lambda a, b: 1 / (1 + 25 * F.abs(a - b)))) / len(RETURNS)
-    apart = lambda a, b: (F.abs(a["change"] - b["change"]) + F.abs(a["range"] - b["range"]) + F.abs(a["direction"] - b["direction"]) + F.abs(a["body"] - b["body"])) / 4
+    apart = lambda a, b: (F.abs(a[0] - b["change"]) + F.abs(a[1] - b["range"]) + F.abs(a[2] - b["direction"]) + F.abs(a[3] - b["body"])) / 4
     path = total(F.zip_with("path", "q_path", lambda a, b: 1 / (1 + apart(a, b)))) / 12
-    pairs = pairs.withColumn("score", F.round(0.55 * equal + 0.20 * near + 0.25 * path, 9)).filter("score >= 0.34")
-    top = pairs.select(*at, "h_idx", "price_direction", "score").withColumn("rank", F.row_number().over(Window.partitionBy(*at).orderBy(F.desc("score"), F.desc("h_idx")))).filter(c("rank") <= k)
-    votes = top.groupBy(*at).agg(F.count("*").alias("n"), F.max("score").alias("best"), *(F.sum(F.when(c("price_direction") == d, c("score")).otherwise(0.0)).alias(d) for d in ("bullish", "bearish", "neutral")))
-    whole = c("bullish") + c("bearish") + c("neutral") + 3
-    return votes.select(*at, "n", "best", *(((c(d) + 1) / whole).alias(f"p_{d}") for d in ("bullish", "bearish", "neutral")))
+    own = c("bucket") == c("q_bucket")
+    pairs = pairs.withColumn("score", F.when(own, 1.0).otherwise(F.round(0.55 * equal + 0.20 * near + 0.25 * path, 9))).filter("score >= 0.34")
+    kinds = ("bullish", "bearish", "neutral")
+    buckets = pairs.groupBy(*at, "bucket", own.alias("own"), "score").agg(F.count("*").alias("count"), *(F.count_if(c("price_direction") == d).alias(d) for d in kinds))
+    order = Window.partitionBy(*at, "own").orderBy(F.desc("score"), F.desc("count"), "bucket")
+    used = buckets.withColumn("rank", F.row_number().over(order)).filter(c("own") | (c("rank") <= k))
+    weight = F.when(c("own"), 1.0).otherwise(c("score") * F.least(F.lit(1.0), c("count") / 20))
+    votes = used.groupBy(*at).agg(F.count_if(~c("own")).alias("n"), F.sum("count").alias("evidence"), F.max(F.when(~c("own"), c("score"))).alias("best"), *(F.sum(c(d) * weight).alias(d) for d in kinds))
+    votes = q.select(*at).join(votes, at, "left").na.fill(0, ["n", "evidence"]).na.fill(0.0, list(kinds))
+    whole = c("bullish") + c("bearish") + c("neutral")
+    p = {d: (c(d) + 1) / (whole + 3) for d in kinds}
+    votes = votes.withColumns({f"p_{d}": x for d, x in p.items()})
+    most = F.greatest(*(c(f"p_{d}") for d in kinds))
+    return votes.withColumns({
+        "level": case((whole <= 0, "NONE"), (c("evidence") < 20, "WEAK"), (c("evidence") < 100, "MODERATE"), otherwise="STRONG"),
+        "favored": case((c("p_bullish") == most, "bullish"), (c("p_bearish") == most, "bearish"), otherwise="neutral"),
+    })

@@ -5,10 +5,14 @@ Random choices are ranks by MD5 of the replicate's number and the row's key, so
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import shared
+from tidemark.functions import draws, shared
 from tidemark.functions.columns import EPS, case
 from tidemark.operators import evaluation, learning
 
@@ -119,24 +123,48 @@ def sign_test(bars: DataFrame, flips: int = 500) -> DataFrame:
     return out.withColumns({"mean_lift": c("real") / c("n"), "p_value": (c("n_reaching") + 1) / (flips + 1.0)})
 
 
-def retrieval_null(bars: DataFrame, permutations: int = 25) -> DataFrame:
-    """Is the greatest class share of the matches more than chance: outcomes of the query's matches are dealt anew among all its eligible matches.
+def _sources(permutations: int):
+    """Of each query the records whose outcomes its matches get in each shuffle of all its eligible records, a row for each match and shuffle."""
+
+    def trace(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for row in part.itertuples(index=False):
+                seeds = 1009 * np.arange(1, permutations + 1) + row.idx
+                source = draws.shuffle_sources(row.m, seeds, np.asarray(row.places))
+                k = len(row.places)
+                key = {n: np.repeat(getattr(row, n), permutations * k) for n in learning.QUERY}
+                yield pd.DataFrame({**key, "perm": np.repeat(np.arange(permutations), k), "place": source.ravel(), "similarity": np.tile(row.similarities, permutations)})
+
+    return trace
+
 
-    Similarity does not see outcomes, so nothing is retrieved again: ranks of a permuted draw take the place of outcomes.
+def retrieval_null(bars: DataFrame, permutations: int = 25, least: int = 6) -> DataFrame:
+    """Is the greatest class share of the chosen matches more than chance: outcomes are shuffled among all earlier records the query may use.
+
+    Similarity does not see outcomes, so the chosen matches (one an episode, then by likeness less redundancy) stay, and only the
+    record that brings each of them its outcome is traced, shuffle by shuffle. A query without matches has shares of 0.
     """
-    rows = learning.matches(bars)
-    query = Window.partitionBy(*learning.QUERY)
-    rows = shared.cut(rows.select(*learning.QUERY, "h_idx", "direction", "similarity", F.row_number().over(query.orderBy(F.desc("similarity"), F.desc("h_idx"))).alias("place"), F.count("*").over(query).alias("n")).filter(c("n") >= learning.LEAST_MATCHES), "null-matches")
-    top = rows.filter(c("place") <= learning.TOP_K)
-    many = rows.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    dealt = many.select(*learning.QUERY, "perm", "direction", F.row_number().over(Window.partitionBy(*learning.QUERY, "perm").orderBy(_draw("perm", "idx", "h_idx"))).alias("place"))
-    shares = lambda d: [F.sum(F.when(c("direction") == k.upper(), c("similarity")).otherwise(0.0)) / F.sum("similarity") for k in CLASSES]
-    real = top.groupBy(*learning.QUERY).agg(F.greatest(*shares(top)).alias("real"))
-    null = dealt.filter(c("place") <= learning.TOP_K).join(top.drop("direction", "h_idx", "n"), [*learning.QUERY, "place"]).groupBy(*learning.QUERY, "perm").agg(F.greatest(*shares(dealt)).alias("share"))
+    rows = learning.experience(bars)
+    by = ["series_id", "horizon"]
+    order = Window.partitionBy(*by).orderBy("idx")
+    known = rows.filter("direction is not null").select(*by, c("idx").alias("h_idx"), "direction", (F.row_number().over(order) - 1).alias("place"))
+    so_far = rows.select(*by, c("idx").alias("limit"), F.count("direction").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("m"))
+    queries = learning.tests_of(bars, rows).withColumn("limit", F.least(c("idx") - learning.KEEP_GAP, c("oos_start") - c("horizon") - 1)).select(*learning.QUERY, "limit")
+    queries = queries.join(so_far, [*by, "limit"]).filter(c("m") >= least).drop("limit")
+    chosen = learning.top_matches(bars).select(*learning.QUERY, "h_idx", "similarity").join(known, [*by, "h_idx"])
+    total = F.sum("similarity")
+    share = F.greatest(*(F.sum(F.when(c("direction") == k.upper(), c("similarity")).otherwise(0.0)) / total for k in CLASSES))
+    held = chosen.groupBy(*learning.QUERY).agg(share.alias("real"), F.sort_array(F.collect_list(F.struct("place", "similarity"))).alias("held"))
+    rows = shared.cut(queries.join(held, learning.QUERY, "left"), "null-queries")
+    asked = rows.filter("held is not null").select(*learning.QUERY, "m", c("held.place").alias("places"), c("held.similarity").alias("similarities"))
+    schema = "series_id string, window_no int, horizon int, idx long, perm int, place int, similarity double"
+    dealt = asked.repartition(*learning.QUERY).mapInPandas(_sources(permutations), schema).join(known.select(*by, "place", "direction"), [*by, "place"])
+    null = dealt.groupBy(*learning.QUERY, "perm").agg(share.alias("share"))
     ranked = null.withColumn("rank", F.row_number().over(Window.partitionBy(*learning.QUERY).orderBy("share", "perm")))
     at = int(0.95 * (permutations - 1)) + 1
-    each = ranked.groupBy(*learning.QUERY).agg(F.avg("share").alias("null_mean"), F.max(F.when(c("rank") == at, c("share"))).alias("null_p95")).join(real, learning.QUERY)
-    return each.groupBy("horizon").agg(F.count("*").alias("n_queries"), F.avg("real").alias("real_share"), F.avg("null_mean").alias("null_share"), F.avg(c("real") - c("null_mean")).alias("lift"), F.avg((F.round("real", 9) > F.round("null_p95", 9)).cast("double")).alias("share_beyond"))
+    each = ranked.groupBy(*learning.QUERY).agg(F.avg("share").alias("null_mean"), F.max(F.when(c("rank") == at, c("share"))).alias("null_p95"))
+    each = rows.select(*learning.QUERY, "real").join(each, learning.QUERY, "left").na.fill(0.0, ["real", "null_mean", "null_p95"])
+    return each.groupBy("horizon").agg(F.count("*").alias("n_queries"), F.avg("real").alias("real_share"), F.avg("null_mean").alias("null_share"), F.avg("null_p95").alias("null_p95"), F.avg(c("real") - c("null_mean")).alias("lift"), F.avg((F.round("real", 9) > F.round("null_p95", 9)).cast("double")).alias("share_beyond"))
 
 
 def label_permutation(bars: DataFrame, permutations: int = 100) -> DataFrame:

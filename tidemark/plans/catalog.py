@@ -12,7 +12,7 @@ from tidemark.functions.columns import case, over, series, tidy
 from tidemark.operators import acceptance, behaviour, candles, contexts, discovery, evaluation, fusion, learning, levels, outcomes, quality, scans, skill, structure
 from tidemark.plans.oracle import state
 from tidemark.sources import bars as source
-from tidemark.streaming import online
+from tidemark.streaming import memory, online
 
 c = F.col
 Query = Callable[[SparkSession, str], DataFrame]
@@ -198,7 +198,7 @@ _add("tertile_agreement", skill.tertile_agreement, "thirds", "horizon third n ~m
 _add("accuracy_permutation", skill.accuracy_permutation, "accperm", "horizon n ~difference ~null_mean ~null_std ~p_value")
 _add("bootstrap_lift", skill.bootstrap_lift, "boot", "horizon ~mean_lift ~low ~high")
 _add("sign_test", skill.sign_test, "signs", "horizon n n_better n_worse ~mean_lift ~p_value")
-_add("retrieval_null", skill.retrieval_null, "rnull", "horizon n_queries ~real_share ~null_share ~lift ~share_beyond")
+_add("retrieval_null", skill.retrieval_null, None, "horizon n_queries ~real_share ~null_share ~null_p95 ~lift ~share_beyond")
 _add("label_permutation", skill.label_permutation, "labperm", "horizon n ~accuracy ~null_accuracy ~p_value")
 _add("correlations", skill.correlations, "corrs", "horizon feature n ~pearson ~lift")
 _add("stability", skill.stability, "stable", "horizon n_windows ~mean_accuracy ~median_accuracy ~deviation ~worst ~best n_above ~coverage ~lift ~composite")
@@ -223,7 +223,7 @@ _add("trust_tiers", fusion.trust_tiers, "tiers", "horizon level ~score n_keys n_
 _add("pattern_scores", fusion.pattern_scores, "pscore", "pattern occurrences resolved ~accuracy ~score")
 _add("similar_patterns", fusion.similar_patterns, "simpat", "series_id current pattern occurrences ~similarity rank")
 _add("level_clusters", fusion.level_clusters, "lclus", "series_id level_no ~price touches side")
-_add("unified_retrieval", fusion.unified_retrieval, "unified", f"{ID} n ~best ~p_bullish ~p_bearish ~p_neutral")
+_add("unified_retrieval", fusion.unified_retrieval, "unified", f"{ID} n evidence level best ~p_bullish ~p_bearish ~p_neutral favored")
 _add("candle_symbols", behaviour.symbols, "symb", f"{ID} body_class upper_class lower_class close_class symbol")
 _add("normalised_anatomy", behaviour.normalised_anatomy, "norm", f"{ID} ~body_atr ~span_atr ~body_place ~efficiency ~expansion type rejection pressure")
 _add("window_counters", behaviour.window_counters, "wcount", f"{ID} n_bullish n_bearish n_changes n_hh n_lh n_hl n_ll context")
@@ -237,3 +237,4 @@ _add("condition_rules", discovery.mined_rules, "crules", "series_id horizon fold
 _add("condition_walk_forward", discovery.walk_forward, "cwalk", "series_id horizon fold n predictions correct ~accuracy ~coverage")
 _add("rule_label_null", discovery.label_null, None, "series_id horizon n predictions correct ~observed ~mean_null ~max_null n_reaching ~p_value")
 _add("rule_discovery_null", discovery.discovery_null, None, "series_id horizon fold ~baseline rules ~best_accuracy above ~mean_best ~max_best ~mean_rules ~mean_above")
+_add("online_memory", memory.replay, "omem", f"{ID} horizon n evidence level best ~p_bullish ~p_bearish ~p_neutral favored outcome result")

@@ -100,12 +100,57 @@ CTES = {
       FROM lc1 z JOIN lc0 p ON p.series_id = z.series_id AND p.k = z.k + 1""",
     "lc2": "SELECT series_id, level_no, last(total ORDER BY k) / last(n ORDER BY k) AS price, count(*) AS touches FROM lc1 GROUP BY 1, 2",
     "lclus": "SELECT l.*, CASE WHEN round(price, 7) < round(last_close, 7) THEN 'SUPPORT' WHEN round(price, 7) > round(last_close, 7) THEN 'RESISTANCE' ELSE 'AT' END AS side FROM lc2 l JOIN pz0 USING (series_id)",
-    "ur0": "SELECT series_id, idx, " + ", ".join(f"list({p} ORDER BY k) AS {p}" for p in _paths) + " FROM path_rows GROUP BY 1, 2",
-    "ur1": f"SELECT s.series_id, s.idx, [{', '.join(f's.{p}' if p not in ('body_size', 'wick_profile', 'volatility_state') else p for p in _parts)}] AS parts, [{', '.join(f's.{r}' for r in _rets)}] AS rets, {', '.join(f'u.{p}' for p in _paths)} FROM states s JOIN (SELECT series_id, idx, body_size, wick_profile FROM language) USING (series_id, idx) JOIN (SELECT series_id, idx, volatility_state FROM classes) USING (series_id, idx) JOIN ur0 u USING (series_id, idx)",
-    "ur2": f"""SELECT q.series_id, q.idx, h.idx AS h_idx, price_direction, round(0.55 * ({' + '.join(f'CAST(q.parts[{k}] = h.parts[{k}] AS INTEGER)' for k in range(1, 13))}) / 12 + 0.2 * ({' + '.join(f'1 / (1 + 25 * abs(q.rets[{k}] - h.rets[{k}]))' for k in range(1, 5))}) / 4
-      + 0.25 * ({' + '.join('1 / (1 + (' + ' + '.join(f'abs(q.{p}[{k}] - h.{p}[{k}])' for p in _paths) + ') / 4)' for k in range(1, 13))}) / 12, 9) AS score
-      FROM ur1 q JOIN wins w ON w.series_id = q.series_id AND q.idx >= oos_start AND q.idx < oos_end JOIN ur1 h ON h.series_id = q.series_id AND h.idx + 4 <= q.idx JOIN so o ON o.series_id = h.series_id AND o.idx = h.idx
-      WHERE price_direction IS NOT NULL AND NOT (q.parts = h.parts AND q.rets = h.rets AND {' AND '.join(f'q.{p} = h.{p}' for p in _paths)})""",
-    "ur3": "SELECT * FROM ur2 WHERE score >= 0.34 QUALIFY row_number() OVER (PARTITION BY series_id, idx ORDER BY score DESC, h_idx DESC) <= 25",
-    "unified": "SELECT series_id, idx, count(*) AS n, max(score) AS best, " + ", ".join(f"(sum(CASE WHEN price_direction = '{d}' THEN score ELSE 0 END) + 1) / (sum(score) + 3) AS p_{d}" for d in ("bullish", "bearish", "neutral")) + " FROM ur3 GROUP BY 1, 2",
+    "ur0": f"""SELECT series_id, idx, {", ".join(f"list({p} ORDER BY k) AS {p}, list(round({p}, 6) ORDER BY k) AS kept_{p}" for p in _paths)}
+      FROM path_rows GROUP BY 1, 2""",
+    "ur1": f"""SELECT s.series_id, s.idx,
+        [{", ".join(f"s.{p}" if p not in ("body_size", "wick_profile", "volatility_state") else p for p in _parts)}] AS parts,
+        [{", ".join(f"s.{r}" for r in _rets)}] AS rets, [{", ".join(f"round(s.{r}, 10)" for r in _rets)}] AS kept_rets,
+        {", ".join(f"u.{p}, u.kept_{p}" for p in _paths)}
+      FROM states s JOIN (SELECT series_id, idx, body_size, wick_profile FROM language) USING (series_id, idx)
+        JOIN (SELECT series_id, idx, volatility_state FROM classes) USING (series_id, idx) JOIN ur0 u USING (series_id, idx)""",
+    "urb": f"""SELECT *, min(idx) OVER (PARTITION BY series_id, parts, kept_rets, {", ".join(f"kept_{p}" for p in _paths)}) AS bucket FROM ur1""",
+    "ur2": f"""SELECT q.series_id, q.idx, h.bucket, q.bucket = h.bucket AS own, price_direction, CASE WHEN q.bucket = h.bucket THEN 1.0 ELSE
+        round(0.55 * ({" + ".join(f"CAST(q.parts[{k}] = h.parts[{k}] AS INTEGER)" for k in range(1, 13))}) / 12
+        + 0.2 * ({" + ".join(f"1 / (1 + 25 * abs(q.rets[{k}] - h.kept_rets[{k}]))" for k in range(1, 5))}) / 4
+        + 0.25 * ({" + ".join("1 / (1 + (" + " + ".join(f"abs(q.{p}[{k}] - h.kept_{p}[{k}])" for p in _paths) + ") / 4)" for k in range(1, 13))}) / 12, 9) END
+        AS score
+      FROM urb q JOIN wins w ON w.series_id = q.series_id AND q.idx >= oos_start AND q.idx < oos_end
+        JOIN urb h ON h.series_id = q.series_id AND h.idx + 4 <= q.idx JOIN so o ON o.series_id = h.series_id AND o.idx = h.idx
+      WHERE price_direction IS NOT NULL""",
+    "ur3": """SELECT series_id, idx, bucket, own, score, count(*) AS n, count(*) FILTER (price_direction = 'bullish') AS bullish,
+        count(*) FILTER (price_direction = 'bearish') AS bearish, count(*) FILTER (price_direction = 'neutral') AS neutral
+      FROM ur2 WHERE score >= 0.34 GROUP BY ALL""",
+    "ur4": """SELECT *, CASE WHEN own THEN 1.0 ELSE score * least(1.0, n / 20) END AS weight FROM (
+        SELECT *, row_number() OVER (PARTITION BY series_id, idx, own ORDER BY score DESC, n DESC, bucket) AS k FROM ur3) WHERE own OR k <= 25""",
+    "ur5": """SELECT series_id, idx, count(*) FILTER (NOT own) AS n, sum(n) AS evidence, max(score) FILTER (NOT own) AS best,
+        sum(bullish * weight) AS b, sum(bearish * weight) AS s, sum(neutral * weight) AS z FROM ur4 GROUP BY 1, 2""",
+    "ur6": """SELECT q.series_id, q.idx, coalesce(n, 0) AS n, CAST(coalesce(evidence, 0) AS BIGINT) AS evidence, best, coalesce(b, 0.0) AS b,
+        coalesce(s, 0.0) AS s, coalesce(z, 0.0) AS z
+      FROM bars q JOIN wins w ON w.series_id = q.series_id AND q.idx >= oos_start AND q.idx < oos_end
+        LEFT JOIN ur5 u ON u.series_id = q.series_id AND u.idx = q.idx""",
+    "unified": """SELECT *, (b + 1) / (b + s + z + 3) AS p_bullish, (s + 1) / (b + s + z + 3) AS p_bearish, (z + 1) / (b + s + z + 3) AS p_neutral,
+        CASE WHEN b + s + z <= 0 THEN 'NONE' WHEN evidence < 20 THEN 'WEAK' WHEN evidence < 100 THEN 'MODERATE' ELSE 'STRONG' END AS level,
+        CASE WHEN b >= s AND b >= z THEN 'bullish' WHEN s >= z THEN 'bearish' ELSE 'neutral' END AS favored FROM ur6""",
+    # The same for every bar and three horizons, each bar against all earlier ones.
+    "om0": f"""SELECT q.series_id, q.idx, h.idx AS h_idx, h.bucket, q.bucket = h.bucket AS own, CASE WHEN q.bucket = h.bucket THEN 1.0 ELSE
+        round(0.55 * ({" + ".join(f"CAST(q.parts[{k}] = h.parts[{k}] AS INTEGER)" for k in range(1, 13))}) / 12
+        + 0.2 * ({" + ".join(f"1 / (1 + 25 * abs(q.rets[{k}] - h.kept_rets[{k}]))" for k in range(1, 5))}) / 4
+        + 0.25 * ({" + ".join("1 / (1 + (" + " + ".join(f"abs(q.{p}[{k}] - h.kept_{p}[{k}])" for p in _paths) + ") / 4)" for k in range(1, 13))}) / 12, 9) END
+        AS score FROM urb q JOIN urb h ON h.series_id = q.series_id AND h.idx + 4 <= q.idx""",
+    "om1": """SELECT a.series_id, a.idx, horizon, bucket, own, score, count(*) AS n, count(*) FILTER (price_direction = 'bullish') AS bullish,
+        count(*) FILTER (price_direction = 'bearish') AS bearish, count(*) FILTER (price_direction = 'neutral') AS neutral
+      FROM om0 a JOIN outcomes o ON o.series_id = a.series_id AND o.idx = a.h_idx AND a.h_idx + o.horizon <= a.idx
+      WHERE score >= 0.34 AND price_direction IS NOT NULL GROUP BY ALL""",
+    "om2": """SELECT *, CASE WHEN own THEN 1.0 ELSE score * least(1.0, n / 20) END AS weight FROM (
+        SELECT *, row_number() OVER (PARTITION BY series_id, idx, horizon, own ORDER BY score DESC, n DESC, bucket) AS k FROM om1) WHERE own OR k <= 25""",
+    "om3": """SELECT series_id, idx, horizon, count(*) FILTER (NOT own) AS n, sum(n) AS evidence, max(score) FILTER (NOT own) AS best,
+        sum(bullish * weight) AS b, sum(bearish * weight) AS s, sum(neutral * weight) AS z FROM om2 GROUP BY 1, 2, 3""",
+    "om4": """SELECT o.series_id, o.idx, o.horizon, o.price_direction AS outcome, coalesce(n, 0) AS n, CAST(coalesce(evidence, 0) AS BIGINT) AS evidence, best,
+        coalesce(b, 0.0) AS b, coalesce(s, 0.0) AS s, coalesce(z, 0.0) AS z
+      FROM outcomes o LEFT JOIN om3 u ON u.series_id = o.series_id AND u.idx = o.idx AND u.horizon = o.horizon""",
+    "om5": """SELECT *, (b + 1) / (b + s + z + 3) AS p_bullish, (s + 1) / (b + s + z + 3) AS p_bearish, (z + 1) / (b + s + z + 3) AS p_neutral,
+        CASE WHEN b + s + z <= 0 THEN 'NONE' WHEN evidence < 20 THEN 'WEAK' WHEN evidence < 100 THEN 'MODERATE' ELSE 'STRONG' END AS level,
+        CASE WHEN b >= s AND b >= z THEN 'bullish' WHEN s >= z THEN 'bearish' ELSE 'neutral' END AS favored FROM om4""",
+    "omem": """SELECT *, CASE WHEN outcome IS NULL THEN NULL WHEN outcome = 'neutral' OR favored = 'neutral' THEN 'neutral'
+        WHEN outcome = favored THEN 'confirmed' ELSE 'not_confirmed' END AS result FROM om5""",
 }

@@ -123,12 +123,6 @@ CTES = {
     "si1": "SELECT horizon, flip, sum(CASE WHEN CAST('0x' || substr(md5(concat_ws('|', flip, series_id, window_no, idx, horizon)), 1, 1) AS INTEGER) < 8 THEN lift ELSE -lift END) AS total FROM si0 GROUP BY 1, 2",
     "si2": "SELECT horizon, sum(lift) AS real, count(*) AS n, count(*) FILTER (lift > 0) AS n_better, count(*) FILTER (lift < 0) AS n_worse FROM bo0 GROUP BY 1",
     "signs": "SELECT horizon, n, n_better, n_worse, real / n AS mean_lift, (count(*) FILTER (abs(total) >= abs(real) - 1e-7) + 1) / 501.0 AS p_value FROM si1 JOIN si2 USING (horizon) GROUP BY horizon, n, n_better, n_worse, real",
-    "rn0": f"SELECT {Q}, h_idx, direction, similarity, place, n FROM mr WHERE n >= 12",
-    "rn1": f"SELECT {Q}, perm, direction, row_number() OVER (PARTITION BY {Q}, perm ORDER BY md5(concat_ws('|', perm, idx, h_idx))) AS place FROM (SELECT *, unnest(range(1, 26)) AS perm FROM rn0)",
-    "rn2": f"SELECT {Q}, greatest(sum(CASE WHEN direction = 'UP' THEN similarity ELSE 0 END), sum(CASE WHEN direction = 'DOWN' THEN similarity ELSE 0 END), sum(CASE WHEN direction = 'NEUTRAL' THEN similarity ELSE 0 END)) / sum(similarity) AS real FROM rn0 WHERE place <= 16 GROUP BY ALL",
-    "rn3": f"SELECT {Q}, perm, greatest(sum(CASE WHEN d.direction = 'UP' THEN similarity ELSE 0 END), sum(CASE WHEN d.direction = 'DOWN' THEN similarity ELSE 0 END), sum(CASE WHEN d.direction = 'NEUTRAL' THEN similarity ELSE 0 END)) / sum(similarity) AS share FROM rn1 d JOIN (SELECT {Q}, place, similarity FROM rn0 WHERE place <= 16) t USING ({Q}, place) GROUP BY ALL",
-    "rn4": f"SELECT {Q}, avg(share) AS nm, max(share) FILTER (k = 23) AS p95 FROM (SELECT *, row_number() OVER (PARTITION BY {Q} ORDER BY share, perm) AS k FROM rn3) GROUP BY ALL",
-    "rnull": f"SELECT horizon, count(*) AS n_queries, avg(real) AS real_share, avg(nm) AS null_share, avg(real - nm) AS lift, avg(CASE WHEN round(real, 9) > round(p95, 9) THEN 1.0 ELSE 0.0 END) AS share_beyond FROM rn4 JOIN rn2 USING ({Q}) GROUP BY 1",
     "lp0": "SELECT horizon, series_id, window_no, idx, direction, says, row_number() OVER (PARTITION BY horizon ORDER BY series_id, window_no, idx) AS place FROM rule_best WHERE direction IS NOT NULL",
     "lp1": "SELECT *, unnest(range(1, 101)) AS perm FROM lp0",
     "lp2": "SELECT horizon, perm, direction, row_number() OVER (PARTITION BY horizon, perm ORDER BY md5(concat_ws('|', perm, series_id, window_no, idx))) AS place FROM lp1",
