@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import ranks, shared
 from tidemark.functions.columns import case
 
 c = F.col
@@ -50,26 +51,24 @@ def calibration(rows: DataFrame, bins: int = 10, actual: str = "actual") -> Data
     return b.groupBy("horizon").agg((F.sum(c("n") * c("gap")) / F.sum("n")).alias("ece"), F.max("gap").alias("mce"), F.count("*").alias("n_bins"))
 
 
-def equal_count_buckets(rows: DataFrame, key: str, by: list[Column], value: Column, k: int = 10) -> DataFrame:
-    """Buckets d of ranks [d*n//k, (d+1)*n//k): size and mean of value in each."""
-    ranked = rows.withColumns({"rn": F.row_number().over(Window.partitionBy(key).orderBy(*by)), "total": F.count("*").over(Window.partitionBy(key))})
+def equal_count_buckets(rows: DataFrame, key: str, by: list[str], value: Column, k: int = 10) -> DataFrame:
+    """Buckets d of ranks [d*n//k, (d+1)*n//k) in the total order ``by``: size and mean of value in each."""
+    at = ranks.ranked(rows, [key], by, "rn")
     bucket = F.floor((k * c("rn") - 1) / c("total")).cast("int")
-    return ranked.withColumn("bucket", bucket).groupBy(key, "bucket").agg(F.count("*").alias("n"), F.avg(value).alias("mean_value"))
+    return at.withColumn("bucket", bucket).groupBy(key, "bucket").agg(F.count("*").alias("n"), F.avg(value).alias("mean_value"))
 
 
-def spearman(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """Rank correlation with average ranks for ties."""
-    w = lambda x: Window.partitionBy(key).orderBy(x)
-    ties = lambda x: F.count("*").over(Window.partitionBy(key, x))
-    ranks = rows.filter(c(a).isNotNull() & c(b).isNotNull()).select(key, (F.rank().over(w(a)) + (ties(a) - 1) / 2).alias("ra"), (F.rank().over(w(b)) + (ties(b) - 1) / 2).alias("rb"))
-    return ranks.groupBy(key).agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"))
+def spearman(rows: DataFrame, key: str, a: str, b: str, ties: list[str]) -> DataFrame:
+    """Rank correlation with average ranks for ties; ``ties`` names each row."""
+    known = rows.filter(c(a).isNotNull() & c(b).isNotNull()).select(key, *ties, a, b)
+    both = ranks.average_ranks(ranks.average_ranks(known, [key], a, ties, "ra"), [key], b, ties, "rb")
+    return both.groupBy(key).agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"))
 
 
 def shifted_accuracy(rows: DataFrame, shifts: tuple[int, ...] = (0, 7, 13, 29, 53), actual: str = "actual") -> DataFrame:
     """Block permutation: predictions against outcomes shifted in a circle by each of ``shifts`` within the horizon; shift 0 is the real pairing."""
-    order = Window.partitionBy("horizon").orderBy("series_id", "idx")
     s = scored(rows, actual).select("horizon", "series_id", "idx", "said", c(actual).alias("is"))
-    s = s.withColumns({"rn": F.row_number().over(order) - 1, "total": F.count("*").over(Window.partitionBy("horizon"))})
+    s = shared.cut(ranks.ranked(s, ["horizon"], ["series_id", "idx"], "rn"), "places").withColumn("rn", c("rn") - 1)
     moved = s.select("horizon", "rn", "said", "total", F.explode(F.array(*(F.lit(x) for x in shifts))).alias("shift"))
     moved = moved.withColumn("to", (c("rn") + c("shift")) % c("total"))
     target = s.select("horizon", c("rn").alias("to"), "is")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import draws, shared
+from tidemark.functions import draws, ranks, shared
 from tidemark.functions.columns import EPS, case
 from tidemark.operators import evaluation, learning
 
@@ -89,9 +89,9 @@ def _draw(*parts: Column | str) -> Column:
 def accuracy_permutation(bars: DataFrame, permutations: int = 250) -> DataFrame:
     """Does retrieval hit more often than the baseline by chance: outcomes are dealt anew ``permutations`` times within the horizon; add-one p."""
     rows = pairs_of_forecasts(bars).select("horizon", "series_id", "window_no", "idx", "actual", "r_said", "b_said")
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("horizon").orderBy("series_id", "window_no", "idx")))
+    rows = shared.cut(ranks.ranked(rows, ["horizon"], ["series_id", "window_no", "idx"], "place"), "places")
     many = rows.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    dealt = many.select("horizon", "perm", "actual", F.row_number().over(Window.partitionBy("horizon", "perm").orderBy(_draw("perm", "series_id", "window_no", "idx"))).alias("place"))
+    dealt = ranks.dealt_anew(many, ["horizon", "perm"], "place", "actual", _draw("perm", "series_id", "window_no", "idx"))
     diff = (c("actual") == c("r_said")).cast("int") - (c("actual") == c("b_said")).cast("int")
     null = many.select("horizon", "perm", "place", "r_said", "b_said").join(dealt, ["horizon", "perm", "place"]).groupBy("horizon", "perm").agg(F.sum(diff).alias("gain"))
     real = rows.groupBy("horizon").agg(F.sum(diff).alias("real"), F.count("*").alias("n"))
@@ -101,7 +101,8 @@ def accuracy_permutation(bars: DataFrame, permutations: int = 250) -> DataFrame:
 
 def bootstrap_lift(bars: DataFrame, replicates: int = 500) -> DataFrame:
     """Mean Brier lift of retrieval over the baseline with a 95 % interval: each replicate draws as many rows as there are, with repeats."""
-    rows = pairs_of_forecasts(bars).select("horizon", F.round(c("b_brier") - c("r_brier"), 9).alias("lift"), F.row_number().over(Window.partitionBy("horizon").orderBy("series_id", "window_no", "idx")).alias("place"))
+    rows = pairs_of_forecasts(bars).select("horizon", "series_id", "window_no", "idx", F.round(c("b_brier") - c("r_brier"), 9).alias("lift"))
+    rows = shared.cut(ranks.ranked(rows, ["horizon"], ["series_id", "window_no", "idx"], "place").select("horizon", "lift", c("place").cast("int").alias("place")), "places")
     sizes = rows.groupBy("horizon").agg(F.count("*").alias("n"))
     draws = sizes.select("horizon", "n", F.explode(F.sequence(F.lit(1), c("n"))).alias("k")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     number = F.conv(F.substring(_draw("rep", "k", "horizon"), 1, 12), 16, 10).cast("long")
@@ -168,11 +169,11 @@ def retrieval_null(bars: DataFrame, permutations: int = 25, least: int = 6) -> D
 
 
 def label_permutation(bars: DataFrame, permutations: int = 100) -> DataFrame:
-    """Do the mined rules hit test rows more often than by chance: outcomes of the test rows that rules decide are dealt anew within the horizon; add-one p."""
+    """Do given rules hit test rows more often than by chance: outcomes of the test rows that they decide are dealt anew within the horizon, the rules stay (discovery.label_null mines anew); add-one p."""
     rows = shared.cut(learning.rule_predictions(bars).filter("direction is not null").select("horizon", "series_id", "window_no", "idx", "direction", "says"), "rule-tests")
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("horizon").orderBy("series_id", "window_no", "idx")))
+    rows = shared.cut(ranks.ranked(rows, ["horizon"], ["series_id", "window_no", "idx"], "place"), "places")
     many = rows.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    dealt = many.select("horizon", "perm", "direction", F.row_number().over(Window.partitionBy("horizon", "perm").orderBy(_draw("perm", "series_id", "window_no", "idx"))).alias("place"))
+    dealt = ranks.dealt_anew(many, ["horizon", "perm"], "place", "direction", _draw("perm", "series_id", "window_no", "idx"))
     null = many.select("horizon", "perm", "place", "says").join(dealt, ["horizon", "perm", "place"]).groupBy("horizon", "perm").agg(F.count_if(c("says") == c("direction")).alias("hits"))
     real = rows.groupBy("horizon").agg(F.count_if(c("says") == c("direction")).alias("real"), F.count("*").alias("n"))
     out = null.join(F.broadcast(real), "horizon").groupBy("horizon", "n", "real").agg(F.avg("hits").alias("null_hits"), F.count_if(c("hits") >= c("real")).alias("n_reaching"))
@@ -184,8 +185,7 @@ def correlations(bars: DataFrame) -> DataFrame:
     rows = learning.experience(bars).filter("direction is not null")
     names = ("r1", "r3", "r8", "volatility_ratio")
     long = rows.select("horizon", "series_id", "idx", F.round("atr_return", 9).alias("y"), F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.round(n, 9).alias("x")) for n in names))).alias("f")).select("horizon", "series_id", "idx", "y", "f.*")
-    w = Window.partitionBy("horizon", "feature")
-    long = long.withColumns({"rank": F.row_number().over(w.orderBy("x", "series_id", "idx")), "n": F.count("*").over(w)})
+    long = ranks.ranked(long, ["horizon", "feature"], ["x", "series_id", "idx"], "rank", "n")
     quarter = F.floor(c("n") / 4)
     return long.groupBy("horizon", "feature").agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson"), (F.avg(F.when(c("rank") > c("n") - quarter, c("y"))) - F.avg(F.when(c("rank") <= quarter, c("y")))).alias("lift"))
 

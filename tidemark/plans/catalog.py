@@ -64,12 +64,12 @@ def _report(bars: DataFrame) -> DataFrame:
 
 def _deciles(bars: DataFrame) -> DataFrame:
     rows = evaluation.scored(learning.conditional_baseline(bars), "direction").withColumn("confidence", F.round("confidence", 9))
-    return evaluation.equal_count_buckets(rows, "horizon", [c("confidence"), c("series_id"), c("idx")], c("hit"))
+    return evaluation.equal_count_buckets(rows, "horizon", ["confidence", "series_id", "idx"], c("hit"))
 
 
 def _spearman(bars: DataFrame) -> DataFrame:
-    rows = learning.experience(bars).select("horizon", F.round("volatility_ratio", 9).alias("v"), F.round("atr_return", 9).alias("r"))
-    return evaluation.spearman(rows, "horizon", "v", "r")
+    rows = learning.experience(bars).select("horizon", "series_id", "idx", F.round("volatility_ratio", 9).alias("v"), F.round("atr_return", 9).alias("r"))
+    return evaluation.spearman(rows, "horizon", "v", "r", ["series_id", "idx"])
 
 
 def _thresholds(bars: DataFrame) -> DataFrame:
