@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import shared
 from tidemark.functions.columns import EPS, case, over, series
-from tidemark.operators import candles, evaluation, learning, levels, outcomes, structure
+from tidemark.operators import candles, evaluation, learning, levels, nearest, outcomes, structure
 
 c = F.col
 BASE = ["series_id", "window_no", "horizon"]
@@ -89,7 +89,7 @@ def logistic(bars: DataFrame) -> DataFrame:
 def ensemble(bars: DataFrame) -> DataFrame:
     """Logistic, neighbours' and state's probability of a rise, mixed by fixed weights, with agreement, confidence and abstention."""
     two = lambda df: F.when(df.p_up + df.p_down > EPS, df.p_up / (df.p_up + df.p_down)).otherwise(0.5)
-    knn, state = learning.nearest_neighbours(bars), learning.hierarchical(bars)
+    knn, state = nearest.probability(bars), learning.hierarchical(bars)
     out = logistic(bars).withColumnRenamed("p_up", "p_logistic")
     out = out.join(knn.select(*QUERY, two(knn).alias("p_neighbours")), QUERY).join(state.select(*QUERY, "support", two(state).alias("p_state")), QUERY)
     a, b, s = c("p_logistic"), c("p_neighbours"), c("p_state")

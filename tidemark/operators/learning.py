@@ -296,19 +296,6 @@ def _distance(a: str, b: str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def nearest_neighbours(bars: DataFrame, k: int = 25) -> DataFrame:
-    """Class shares of the k nearest training rows of each test row, weighted by exp(-distance / 1.25)."""
-    z = standardised(bars)
-    base = ["series_id", "window_no", "horizon"]
-    h = z.filter("train").select(*base, c("idx").alias("h_idx"), c("direction").alias("label"), c("z").alias("h_z"))
-    pairs = z.filter("not train").join(h, base).withColumn("distance", _distance("z", "h_z"))
-    near = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*base, "idx").orderBy("distance", F.desc("h_idx")))).filter(c("rank") <= k)
-    # Shares don't depend on a common factor; without it all weights of a far query would be 0.
-    near = near.withColumn("least", F.min("distance").over(Window.partitionBy(*base, "idx")))
-    w = F.exp(-(c("distance") - c("least")) / 1.25)
-    return near.groupBy(*base, "idx", "direction").agg(F.count("*").alias("n"), *((F.sum(F.when(c("label") == d, w).otherwise(0.0)) / F.sum(w)).alias(f"p_{d.lower()}") for d in DIRECTIONS))
-
-
 def nearest_centroid(bars: DataFrame) -> DataFrame:
     """The class whose training mean is nearest (ties by name)."""
     z = standardised(bars)

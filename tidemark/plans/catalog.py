@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import shared
 from tidemark.functions.columns import case, over, series, tidy
-from tidemark.operators import acceptance, behaviour, candles, contexts, discovery, evaluation, fusion, learning, levels, outcomes, quality, scans, skill, structure
+from tidemark.operators import acceptance, behaviour, candles, contexts, discovery, evaluation, fusion, learning, levels, nearest, outcomes, quality, scans, skill, structure
 from tidemark.plans.oracle import state
 from tidemark.sources import bars as source
 from tidemark.streaming import memory, online
@@ -178,7 +178,7 @@ _add("retrieval_topk", learning.top_matches, "top", f"{CASE_ID} rank h_idx episo
 _add("retrieval_shares", learning.retrieval_shares, "shares", f"{CASE_ID} n ~best ~share_up ~share_down ~share_neutral ~mean_return ~mean_mfe ~mean_mae")
 _add("retrieval_decision", learning.decisions, "decisions", f"{CASE_ID} {P} ~margin prediction reason")
 _add("retrieval_boundary_audit", _leak_audit, "zone_inputs", "series_id n_inputs n_violations")
-_add("knn_probability", learning.nearest_neighbours, "knn", f"{CASE_ID} n {P}")
+_add("knn_probability", nearest.probability, "knn", f"{CASE_ID} n {P}")
 _add("centroid_classifier", learning.nearest_centroid, "centroid", f"{CASE_ID} direction prediction")
 _add("online_walk_forward", learning.online_walk_forward, "online", f"{ID} state_key support ~p_bullish ~p_bearish ~p_neutral prediction actual")
 _add("online_stream", lambda b: online.replay(b, shared.folder(b.sparkSession, "online")), "online", f"{ID} state_key support ~p_bullish ~p_bearish ~p_neutral prediction")
@@ -238,3 +238,5 @@ _add("condition_walk_forward", discovery.walk_forward, "cwalk", "series_id horiz
 _add("rule_label_null", discovery.label_null, None, "series_id horizon n predictions correct ~observed ~mean_null ~max_null n_reaching ~p_value")
 _add("rule_discovery_null", discovery.discovery_null, None, "series_id horizon fold ~baseline rules ~best_accuracy above ~mean_best ~max_best ~mean_rules ~mean_above")
 _add("online_memory", memory.replay, "omem", f"{ID} horizon n evidence level best ~p_bullish ~p_bearish ~p_neutral favored outcome result")
+_add("regime_neighbours", nearest.regime_neighbours, "rnear", f"{CASE_ID} k n n_rising n_flat n_falling says ~confidence")
+_add("mixed_neighbours", nearest.mixed_neighbours, "mnear", f"{CASE_ID} k n n_rising n_flat n_falling says ~confidence")

@@ -30,6 +30,15 @@ _BINS = ", ".join(f"CASE WHEN {n} <= lo_{n} THEN 'q1' WHEN {n} >= hi_{n} THEN 'q
 _CUTS = ", ".join(f"quantile_cont({n}, 0.25) AS lo_{n}, quantile_cont({n}, 0.75) AS hi_{n}" for n in _NUMBERS)
 _FACTS = ", ".join(f"'{n}=' || {n}" for n in (*_NUMBERS, *_KINDS))
 
+LAST60 = f"OVER ({PART} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
+_STRUCTURE = "return_15 return_30 return_60 bullish_ratio bearish_ratio directional_imbalance volatility volatility_ratio location_in_range normalized_slope".split()
+_MIXED = "directional_regime trend_consistency volatility_regime location_state momentum_state pressure range_event".split()
+
+
+def _counts(*labels: str) -> str:
+    return ", ".join(f"count(*) FILTER (label = '{x}') AS {y}" for x, y in zip(labels, ("n_rising", "n_flat", "n_falling"), strict=True))
+
+
 CTES = {
     "f26a": f"""SELECT *, {", ".join(_back(n) for n in (5, 10, 20, 30, 60))},
         CASE WHEN idx >= 1 AND abs(lag(close) {LAG}) >= 1e-12 THEN (close - lag(close) {LAG}) / lag(close) {LAG} END AS move,
@@ -85,4 +94,55 @@ CTES = {
     "ctest": f"SELECT {KEYS}, count(*) AS n FROM recf WHERE NOT calibrates GROUP BY ALL",
     "cwalk": f"""SELECT *, {_div("correct", "predictions")} AS accuracy, {_div("predictions", "n")} AS coverage
       FROM (SELECT {KEYS}, n, coalesce(predictions, 0) AS predictions, coalesce(correct, 0) AS correct FROM ctest LEFT JOIN csaid USING ({KEYS}))""",
+    # Neighbours: every pair of a test row and a training row, ranked.
+    "sf0": f"""SELECT *, CASE WHEN idx >= 1 AND lag(close) {LAG} <> 0 THEN (close - lag(close) {LAG}) / lag(close) {LAG} END AS move,
+        {", ".join(f"{_div(f'close - lag(close, {k}) {LAG}', f'lag(close, {k}) {LAG}')} AS return_{n}" for n, k in ((15, 15), (30, 30), (60, 59)))},
+        count(*) FILTER (close > open) {LAST60} / CAST(60 AS DOUBLE) AS bullish_ratio, count(*) FILTER (close < open) {LAST60} / CAST(60 AS DOUBLE) AS bearish_ratio,
+        max(high) {LAST60} AS high60, min(low) {LAST60} AS low60 FROM bars""",
+    "sf1": f"""SELECT *, stddev_pop(move) OVER ({PART} ROWS BETWEEN 58 PRECEDING AND CURRENT ROW) AS volatility, stddev_pop(move) {LAST20} AS recent,
+        bullish_ratio - bearish_ratio AS directional_imbalance, {_div("close - low60", "high60 - low60")} AS location_in_range, return_60 AS normalized_slope FROM sf0""",
+    "sf2": f"""SELECT *, {_div("recent", "volatility")} AS volatility_ratio,
+        CAST(return_15 > CAST(0.001 AS DOUBLE) AS INTEGER) - CAST(return_15 < CAST(-0.001 AS DOUBLE) AS INTEGER)
+        + CAST(return_30 > CAST(0.002 AS DOUBLE) AS INTEGER) - CAST(return_30 < CAST(-0.002 AS DOUBLE) AS INTEGER)
+        + CAST(return_60 > CAST(0.003 AS DOUBLE) AS INTEGER) - CAST(return_60 < CAST(-0.003 AS DOUBLE) AS INTEGER)
+        + CAST(directional_imbalance > CAST(0.05 AS DOUBLE) AS INTEGER) - CAST(directional_imbalance < CAST(-0.05 AS DOUBLE) AS INTEGER) AS score
+      FROM sf1 WHERE idx >= 59 AND close > 0""",
+    "sf3": f"""SELECT series_id, idx, close, {", ".join(_STRUCTURE)},
+        CASE WHEN score >= 3 THEN 'bullish' WHEN score >= 1 THEN 'bullish_bias' WHEN score <= -3 THEN 'bearish' WHEN score <= -1 THEN 'bearish_bias' ELSE 'neutral' END
+          AS regime,
+        CASE WHEN volatility_ratio >= CAST(1.15 AS DOUBLE) THEN 'expanding' WHEN volatility_ratio <= CAST(0.85 AS DOUBLE) THEN 'contracting' ELSE 'stable' END
+          AS volatility_regime FROM sf2""",
+    "sf4": """SELECT f.*, h.horizon, CASE WHEN b.close IS NULL THEN NULL WHEN (b.close - f.close) / f.close >= CAST(0.0015 AS DOUBLE) THEN 'bullish'
+        WHEN (b.close - f.close) / f.close <= CAST(-0.0015 AS DOUBLE) THEN 'bearish' ELSE 'neutral' END AS direction
+      FROM sf3 f CROSS JOIN (VALUES (4), (8), (16)) h(horizon) LEFT JOIN bars b ON b.series_id = f.series_id AND b.idx = f.idx + h.horizon""",
+    "sfq": "SELECT f.*, window_no FROM sf4 f JOIN wins w ON w.series_id = f.series_id AND f.idx >= oos_start AND f.idx < oos_end",
+    "sft": """SELECT f.*, window_no FROM sf4 f JOIN wins w ON w.series_id = f.series_id AND f.idx + f.horizon < oos_start WHERE direction IS NOT NULL""",
+    "sfs": f"""SELECT series_id, window_no, horizon, {", ".join(f"avg({v}) AS m_{v}, CASE WHEN stddev_pop({v}) > 1e-12 THEN stddev_pop({v}) ELSE 1.0 END AS s_{v}" for v in _STRUCTURE)}
+      FROM sft GROUP BY 1, 2, 3""",
+    "sfn": f"""SELECT q.series_id, q.window_no, q.horizon, q.idx, t.direction AS label, row_number() OVER (PARTITION BY q.series_id, q.window_no, q.horizon, q.idx
+          ORDER BY round(sqrt({" + ".join(f"power((q.{v} - m_{v}) / s_{v} - (t.{v} - m_{v}) / s_{v}, 2)" for v in _STRUCTURE)}), 9), t.idx) AS k
+      FROM sfq q JOIN sfs s ON s.series_id = q.series_id AND s.window_no = q.window_no AND s.horizon = q.horizon
+        JOIN sft t ON t.series_id = q.series_id AND t.window_no = q.window_no AND t.horizon = q.horizon AND t.regime = q.regime AND t.volatility_regime = q.volatility_regime""",
+    "sfv": f"""SELECT q.series_id, q.window_no, q.horizon, q.idx, q.direction, m.k, count(label) AS n, {_counts("bullish", "neutral", "bearish")}
+      FROM sfq q CROSS JOIN (VALUES (10), (20), (40)) m(k) LEFT JOIN sfn n ON n.series_id = q.series_id AND n.window_no = q.window_no AND n.horizon = q.horizon
+        AND n.idx = q.idx AND n.k <= m.k GROUP BY ALL""",
+    "rnear": """SELECT *, CASE WHEN n = 0 THEN 'NO TRADE' WHEN n_rising = greatest(n_rising, n_flat, n_falling) THEN 'BUY'
+          WHEN n_flat = greatest(n_rising, n_flat, n_falling) THEN 'NO TRADE' ELSE 'SELL' END AS says,
+        CASE WHEN n > 0 THEN greatest(n_rising, n_flat, n_falling) / n ELSE 0.0 END AS confidence FROM sfv""",
+    "mx0": """SELECT f.*, h.horizon, CASE WHEN return_5 > 0 AND return_10 > 0 THEN 'bullish' WHEN return_5 < 0 AND return_10 < 0 THEN 'bearish' ELSE 'mixed' END AS momentum_state,
+        CASE WHEN b.close IS NULL THEN NULL WHEN (b.close - f.close) / f.close > CAST(0.0005 AS DOUBLE) THEN 'BUY'
+          WHEN (b.close - f.close) / f.close < CAST(-0.0005 AS DOUBLE) THEN 'SELL' ELSE 'NEUTRAL' END AS direction
+      FROM feat26 f CROSS JOIN (VALUES (4), (8), (16)) h(horizon) LEFT JOIN bars b ON b.series_id = f.series_id AND b.idx = f.idx + h.horizon
+      WHERE f.idx >= 60 AND f.close > 0""",
+    "mxq": "SELECT f.*, window_no FROM mx0 f JOIN wins w ON w.series_id = f.series_id AND f.idx >= oos_start AND f.idx < oos_end",
+    "mxn": f"""SELECT q.series_id, q.window_no, q.horizon, q.idx, t.direction AS label, row_number() OVER (PARTITION BY q.series_id, q.window_no, q.horizon, q.idx
+          ORDER BY round(sqrt({" + ".join(f"power((q.{v} - t.{v}) / greatest(abs(q.{v}), abs(t.{v}), 0.0001), 2)" for v in _NUMBERS if v != "volatility")}
+            + {" + ".join(f"CAST(q.{v} <> t.{v} AS INTEGER)" for v in _MIXED)}), 9), t.idx) AS k
+      FROM mxq q JOIN wins w ON w.series_id = q.series_id AND w.window_no = q.window_no
+        JOIN mx0 t ON t.series_id = q.series_id AND t.horizon = q.horizon AND t.idx + t.horizon < w.oos_start AND t.direction IS NOT NULL""",
+    "mxv": f"""SELECT q.series_id, q.window_no, q.horizon, q.idx, q.direction, m.k, count(label) AS n, {_counts("BUY", "NEUTRAL", "SELL")}
+      FROM mxq q CROSS JOIN (VALUES (10), (20), (40)) m(k) LEFT JOIN mxn n ON n.series_id = q.series_id AND n.window_no = q.window_no AND n.horizon = q.horizon
+        AND n.idx = q.idx AND n.k <= m.k GROUP BY ALL""",
+    "mnear": """SELECT *, CASE WHEN n_rising + n_falling = 0 THEN 'NO TRADE' WHEN n_rising > n_falling THEN 'BUY' ELSE 'SELL' END AS says,
+        CASE WHEN n_rising + n_falling > 0 THEN greatest(n_rising, n_falling) / (n_rising + n_falling) ELSE 0.0 END AS confidence FROM mxv""",
 }
