@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import shared
 from tidemark.functions.columns import case, over, series, tidy
-from tidemark.operators import acceptance, behaviour, candles, contexts, discovery, evaluation, fusion, learning, levels, nearest, outcomes, quality, scans, skill, structure
+from tidemark.operators import acceptance, behaviour, candles, contexts, discovery, evaluation, fusion, learning, levels, nearest, outcomes, quality, rulebook, scans, skill, structure
 from tidemark.plans.oracle import state
 from tidemark.sources import bars as source
+from tidemark.sources import ingest
 from tidemark.streaming import memory, online
 
 c = F.col
@@ -240,3 +241,10 @@ _add("rule_discovery_null", discovery.discovery_null, None, "series_id horizon f
 _add("online_memory", memory.replay, "omem", f"{ID} horizon n evidence level best ~p_bullish ~p_bearish ~p_neutral favored outcome result")
 _add("regime_neighbours", nearest.regime_neighbours, "rnear", f"{CASE_ID} k n n_rising n_flat n_falling says ~confidence")
 _add("mixed_neighbours", nearest.mixed_neighbours, "mnear", f"{CASE_ID} k n n_rising n_flat n_falling says ~confidence")
+# Few states of seven keys come 40 times in a series of some hundred bars: rules from 20 on.
+_add("structure_rules", lambda b: rulebook.structure_rules(b, 20, 0.50), "srules", "series_id horizon fold " + " ".join(rulebook.STRUCTURE) + " n n_buy n_sell says ~confidence")
+_add("rule_signatures", rulebook.signatures, "rsigs", "series_id horizon rule says n_folds samples n_directions")
+_add("feature_usage", rulebook.feature_usage, "rusage", "series_id horizon fold feature n_rules")
+_add("redundant_rules", rulebook.redundant, "rredun", "series_id horizon fold rule condition n says")
+_add("ingestion_issues", ingest.issue_counts, "iissues", "series_id kind issue n", lambda spark, sf_dir: ingest.layers(ingest.lines(spark, sf_dir), 86_400))
+_add("ingested_bars", ingest.normalised, "ibars", f"{ID} source_row ts ~open ~high ~low ~close volume", lambda spark, sf_dir: ingest.layers(ingest.lines(spark, sf_dir), 86_400))

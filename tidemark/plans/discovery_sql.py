@@ -145,4 +145,39 @@ CTES = {
         AND n.idx = q.idx AND n.k <= m.k GROUP BY ALL""",
     "mnear": """SELECT *, CASE WHEN n_rising + n_falling = 0 THEN 'NO TRADE' WHEN n_rising > n_falling THEN 'BUY' ELSE 'SELL' END AS says,
         CASE WHEN n_rising + n_falling > 0 THEN greatest(n_rising, n_falling) / (n_rising + n_falling) ELSE 0.0 END AS confidence FROM mxv""",
+    "srec": """SELECT *, CASE WHEN return_5 > 0 AND return_10 > 0 THEN 'bullish' WHEN return_5 < 0 AND return_10 < 0 THEN 'bearish' ELSE 'mixed' END AS momentum_state
+      FROM recf WHERE calibrates""",
+    "srule0": f"""SELECT {KEYS}, {", ".join(_MIXED)}, count(*) AS n, count(*) FILTER (outcome = 'BUY') AS n_buy, count(*) FILTER (outcome = 'SELL') AS n_sell
+      FROM srec GROUP BY ALL""",
+    "srules": """SELECT *, CASE WHEN n_buy >= n_sell THEN 'BUY' ELSE 'SELL' END AS says, greatest(n_buy, n_sell) / (n_buy + n_sell) AS confidence FROM srule0
+      WHERE n >= 20 AND n_buy + n_sell > 0 AND greatest(n_buy, n_sell) / (n_buy + n_sell) >= 0.5""",
+    "rsig0": f"SELECT {KEYS}, rule, n, says, list_sort(string_split(rule, ' & ')) AS conditions FROM crules",
+    "rsig1": """SELECT series_id, horizon, array_to_string(conditions, ' & ') AS rule, says, count(*) AS n_folds, CAST(sum(n) AS BIGINT) AS samples
+      FROM rsig0 GROUP BY ALL""",
+    "rsigs": "SELECT *, count(*) OVER (PARTITION BY series_id, horizon, rule) AS n_directions FROM rsig1",
+    "rusage": f"""SELECT {KEYS}, split_part(condition, '=', 1) AS feature, count(*) AS n_rules FROM (SELECT {KEYS}, unnest(conditions) AS condition FROM rsig0)
+      GROUP BY ALL""",
+    "rredun": f"""SELECT p.series_id, p.horizon, p.fold, p.rule, s.rule AS condition, p.n, p.says
+      FROM rsig0 p JOIN rsig0 s ON s.series_id = p.series_id AND s.horizon = p.horizon AND s.fold = p.fold AND s.n = p.n AND s.says = p.says
+        AND list_contains(p.conditions, s.rule) WHERE len(p.conditions) = 2 AND len(s.conditions) = 1""",
+    # Ingestion: each rule of the contract on the rows as entered.
+    "in0": """SELECT l_returnflag AS series_id, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber,
+          l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_tax, l_discount) AS source_row, l_shipdate AS ts,
+        l_extendedprice / l_quantity AS price, l_tax, l_discount, l_quantity FROM lineitem""",
+    "in1": """SELECT series_id, source_row, ts, floor(price * 100) AS open, floor(price * (1 + l_tax) * 100) AS high,
+        floor(price * (1 - l_discount) * 100) AS low, floor(price * (CAST(0.99 AS DOUBLE) + l_discount / 4) * 100) AS close,
+        CASE WHEN l_quantity > 3 THEN l_quantity - 10 END AS volume FROM in0""",
+    "in2": """SELECT *, low <= least(open, close) AND high >= greatest(open, close) AS fits,
+        max(ts) OVER (PARTITION BY series_id ORDER BY source_row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM in1""",
+    "in3": """SELECT *, CASE WHEN fits THEN row_number() OVER (PARTITION BY series_id, ts, fits ORDER BY source_row) END AS nth FROM in2""",
+    "in4": """SELECT *, fits AND nth = 1 AS accepted FROM in3""",
+    "in5": """SELECT *, CASE WHEN accepted THEN lag(ts) OVER (PARTITION BY series_id, accepted ORDER BY ts) END AS before FROM in4""",
+    "iissues": """SELECT series_id, kind, issue, count(*) AS n FROM (
+        SELECT series_id, 'error' AS kind, CASE WHEN NOT fits THEN 'INVALID_OHLC' WHEN nth > 1 THEN 'DUPLICATE_TIMESTAMP' END AS issue FROM in5
+        UNION ALL SELECT series_id, 'warning', CASE WHEN ts < latest THEN 'OUT_OF_ORDER' END FROM in5
+        UNION ALL SELECT series_id, 'warning', CASE WHEN volume < 0 THEN 'INVALID_VOLUME' END FROM in5
+        UNION ALL SELECT series_id, 'warning', CASE WHEN epoch(ts) - epoch(before) > 86400 THEN 'TIME_GAP' END FROM in5)
+      WHERE issue IS NOT NULL GROUP BY ALL""",
+    "ibars": """SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS idx, source_row, ts, open, high, low, close,
+        CASE WHEN volume >= 0 THEN volume END AS volume FROM in5 WHERE accepted""",
 }
