@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import shared
 from tidemark.functions.columns import case, over, series, tidy
-from tidemark.operators import acceptance, behaviour, candles, contexts, discovery, evaluation, fusion, learning, levels, nearest, outcomes, quality, rulebook, scans, skill, structure
+from tidemark.operators import acceptance, behaviour, candles, contexts, discovery, evaluation, fusion, learning, levels, nearest, outcomes, quality, rulebook, scans, scenarios, skill, structure
 from tidemark.plans.oracle import state
 from tidemark.sources import bars as source
 from tidemark.sources import ingest
@@ -248,3 +248,7 @@ _add("feature_usage", rulebook.feature_usage, "rusage", "series_id horizon fold
 _add("redundant_rules", rulebook.redundant, "rredun", "series_id horizon fold rule condition n says")
 _add("ingestion_issues", ingest.issue_counts, "iissues", "series_id kind issue n", lambda spark, sf_dir: ingest.layers(ingest.lines(spark, sf_dir), 86_400))
 _add("ingested_bars", ingest.normalised, "ibars", f"{ID} source_row ts ~open ~high ~low ~close volume", lambda spark, sf_dir: ingest.layers(ingest.lines(spark, sf_dir), 86_400))
+_add("scenario_scores", scenarios.scenario_scores, "scen", f"{ID} horizon ~score_bullish ~score_bearish ~score_neutral ~percent_bullish ~percent_bearish ~percent_neutral")
+_add("layer_fusion", scenarios.fused, "fuse", f"{ID} ~fused_bullish ~fused_bearish ~fused_neutral ~trust")
+_add("group_votes", scenarios.group_votes, "gvote", "series_id window_no horizon group n n_decided n_hits ~accuracy")
+_add("event_independence", scenarios.event_independence, "eindep", "series_id scheme event n_inside n_outside ~rate_inside ~rate_outside only_inside")

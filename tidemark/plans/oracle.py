@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from tidemark.plans import behaviour_sql, discovery_sql, fusion_sql, more_sql, sequence_sql
+from tidemark.plans import behaviour_sql, discovery_sql, fusion_sql, more_sql, scenario_sql, sequence_sql
 
 PART = "PARTITION BY series_id ORDER BY idx"
 
@@ -294,7 +294,7 @@ CTES |= {
     "zone_inputs": "SELECT series_id, count(*) AS n_inputs, count(*) FILTER (h_idx > idx) AS n_violations FROM top GROUP BY 1",
 }
 
-CTES |= more_sql.CTES | fusion_sql.CTES | behaviour_sql.CTES | sequence_sql.CTES | discovery_sql.CTES
+CTES |= more_sql.CTES | fusion_sql.CTES | behaviour_sql.CTES | sequence_sql.CTES | scenario_sql.CTES | discovery_sql.CTES
 
 
 def state(source: str, columns: str) -> str:
@@ -308,5 +308,5 @@ def state(source: str, columns: str) -> str:
         need.setdefault(name)
 
     visit(source)
-    picked = ", ".join(f"round({c[1:]}, 7) + 0.0 AS {c[1:]}" if c[0] == "~" else c for c in columns.split())
+    picked = ", ".join(f"round({c[1:]}, 7) + 0.0 AS {c[1:]}" if c[0] == "~" else f'"{c}"' for c in columns.split())
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n]})" for n in need) + f"\nSELECT {picked} FROM {source}"
