@@ -19,7 +19,7 @@ SLOW = {"retrieval_topk", "retrieval_shares", "retrieval_decision", "retrieval_b
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("events", "orders"):
+    for t in ("events", "orders", "lineitem"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 

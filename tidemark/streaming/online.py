@@ -47,7 +47,9 @@ def _advance(key: tuple[str, str], parts: Iterator[pd.DataFrame], state: GroupSt
             asked = idx
             waiting.add(idx)
     state.update((*n.values(), asked, sorted(waiting)))
-    yield pd.DataFrame(out, columns=["series_id", "idx", "state_key", "support", "p_bullish", "p_bearish", "p_neutral", "prediction"])
+    found = pd.DataFrame(out, columns=["series_id", "idx", "state_key", "support", "p_bullish", "p_bearish", "p_neutral", "prediction"])
+    # An empty frame has no types of its own.
+    yield found.astype({"idx": "int64", "support": "int64", **{f"p_{k}": "float64" for k in KINDS}})
 
 
 def predictions(stream: DataFrame) -> DataFrame:
