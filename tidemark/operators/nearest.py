@@ -45,12 +45,17 @@ def mixed(numbers: int) -> Measure:
     return measure
 
 
-def _blocked(rows: DataFrame, keys: list[str], ties: list[str], block: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with their block, and of each block the range of distances to the pivot."""
+def _blocked(rows: DataFrame, keys: list[str], ties: list[str], block: int, name: str) -> tuple[DataFrame, DataFrame, bool]:
+    """Rows with their block, of each block the range of distances to the pivot, and whether one block holds every key's rows."""
     norm = F.sqrt(F.aggregate("z", F.lit(0.0), lambda s, x: s + x * x))
-    at = ranks.ranked(rows.withColumn("norm", norm), keys, ["norm", *ties], "_rank", "_total")
-    at = shared.cut(at.withColumn(name, F.floor((c("_rank") - 1) / block)).drop("_rank", "_total"), name)
-    return at, at.groupBy(*keys, name).agg(F.min("norm").alias(f"{name}_low"), F.max("norm").alias(f"{name}_high"))
+    at = shared.cut(rows.withColumn("norm", norm), name)
+    one = (at.groupBy(*keys).count().agg(F.max("count")).head()[0] or 0) <= block
+    if one:
+        at = at.withColumn(name, F.lit(0).cast("long"))
+    else:
+        at = ranks.ranked(at, keys, ["norm", *ties], "_rank", "_total")
+        at = shared.cut(at.withColumn(name, F.floor((c("_rank") - 1) / block)).drop("_rank", "_total"), name)
+    return at, at.groupBy(*keys, name).agg(F.min("norm").alias(f"{name}_low"), F.max("norm").alias(f"{name}_high")), one
 
 
 def _met(keys: list[str], ids: list[str], k: int, measure: Measure, places: int | None, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -76,8 +81,8 @@ def top_k(queries: DataFrame, points: DataFrame, keys: list[str], ids: list[str]
     ``queries``: keys, ids, z; ``points``: keys, h_idx, label, z; z is an array of finite numbers. Distances are rounded to ``places``, if given.
     Without ``metric`` the triangle inequality may not hold for ``measure``, and no block is ruled out.
     """
-    q, q_blocks = _blocked(queries.select(*keys, *ids, "z"), keys, ids, block, "q_block")
-    h, h_blocks = _blocked(points.select(*keys, "h_idx", "label", "z"), keys, ["h_idx"], block, "h_block")
+    q, q_blocks, q_one = _blocked(queries.select(*keys, *ids, "z"), keys, ids, block, "q_block")
+    h, h_blocks, h_one = _blocked(points.select(*keys, "h_idx", "label", "z"), keys, ["h_idx"], block, "h_block")
     names = dict(q.dtypes)
     ddl = ", ".join(f"{n} {names[n]}" for n in (*keys, *ids)) + ", h_idx long, label string, distance double"
     kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
@@ -88,6 +93,9 @@ def top_k(queries: DataFrame, points: DataFrame, keys: list[str], ids: list[str]
         own = q.join(units.select(*both), [*keys, "q_block"]).groupBy(*both)
         return own.cogroup(h.join(units.select(*both), [*keys, "h_block"]).groupBy(*both)).applyInArrow(_met(keys, ids, k, measure, places, schema), ddl)
 
+    if q_one and h_one:
+        found = q.groupBy(*keys).cogroup(h.groupBy(*keys)).applyInArrow(_met(keys, ids, k, measure, places, schema), ddl)
+        return found.withColumn("rank", F.row_number().over(by.orderBy("distance", "h_idx")))
     gap = F.greatest(c("h_block_low") - c("q_block_high"), c("q_block_low") - c("h_block_high"), F.lit(0.0))
     units = q_blocks.join(h_blocks, keys).withColumn("gap", gap)
     off = F.abs(c("q_block_low") + c("q_block_high") - c("h_block_low") - c("h_block_high"))
@@ -188,8 +196,8 @@ def mixed_neighbours(bars: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
 
 def probability(bars: DataFrame, k: int = 25) -> DataFrame:
     """Class shares of the k nearest training rows of each test row, weighted by exp(-distance / 1.25); ties to the later row."""
-    z = learning.standardised(bars)
-    queries = shared.cut(z.filter("not train").select(*BASE, "idx", "direction", "z"), "queries")
+    z = shared.cut(learning.standardised(bars), "vectors")
+    queries = z.filter("not train").select(*BASE, "idx", "direction", "z")
     points = z.filter("train").select(*BASE, (-c("idx")).alias("h_idx"), c("direction").alias("label"), "z")
     near = top_k(queries, points, BASE, ["idx"], k, places=None)
     # Shares don't depend on a common factor; without it all weights of a far query would be 0.
