@@ -7,8 +7,8 @@ the last words of the chunk before it, what stands between, and the first words
 encoded as one text, and again with twice as many words on both sides, until the new ids agree with those of the
 chunks on a whole word at either end. A chunk that is used up without agreement is given up and encoded in place.
 
-Only chunk digests are counted over all documents; texts move once, to their documents' plans, and only
-documents that take ids from others move again.
+Only chunk digests are counted over all documents; texts move once, zstd-compressed one by one, to their documents'
+plans, and only documents that take ids from others move again.
 
 A null text counts as empty (no ids, empty decoded text). Repeated rows and equal or null ids each give their
 own row. Extra columns are ignored. An empty table gives no rows.
@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from tidemark.llm.encoder import Encoder, encoder, vocabulary_path
 
 WINDOW, MASK_BITS, LEAST, MOST = 48, 10, 512, 8192  # bytes
 CONTEXT, LEAST_WORDS = 2, 8  # words on each side of a join to begin with; words of a chunk that can be shared
-_SCHEMA = "kind string, doc_id long, text_key long, text string, digest binary, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string, plan array<struct<start:int,stop:int,digest:binary>>"
+_SCHEMA = "kind string, doc_id long, text_key long, packed binary, whole string, digest binary, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string, plan array<struct<start:int,stop:int,digest:binary>>"
 
 
 def chunk_ends(raw: bytes) -> list[int]:
@@ -67,6 +68,22 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def unpack(packed: bytes) -> bytes:
+    return zstandard.decompress(packed)
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, packed): each text compressed by itself, for the shuffles' own compression sees only short blocks."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=5)
+        for batch in batches:
+            packed = pa.array((press.compress(_raw(t.as_py())) for t in batch.column(2)), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["doc_id", "text_key", "packed"])
+
+    return docs.select("doc_id", "text_key", "text").mapInArrow(pack, "doc_id long, text_key long, packed binary")
+
+
 def chunk_refs(docs: DataFrame) -> DataFrame:
     """(digest, doc_id, text_key, seq, start, stop) of every chunk of every document."""
 
@@ -182,7 +199,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
     used = refs.join(shared, "digest").withColumn("own", F.struct("doc_id", "text_key", "seq").eqNullSafe(F.col("owner")))
     # The key of the text spreads rows with a null id.
     plans = used.groupBy("text_key", "doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "digest", "own"))).alias("plan"))
-    known = docs.alias("d").join(plans.alias("p"), (F.col("d.text_key") == F.col("p.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")), "left")
+    known = packed_texts(docs).alias("d").join(plans.alias("p"), (F.col("d.text_key") == F.col("p.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")), "left")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
@@ -191,26 +208,27 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
                 yield from encode_part(e, batch.slice(a, 256).to_pylist())
 
     def encode_part(e: Encoder, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        own = [(_raw(r["text"]), [p for p in r["plan"] or [] if p["own"]]) for r in rows]
+        raws = [unpack(r["packed"]) for r in rows]
+        own = [(raw, [p for p in r["plan"] or [] if p["own"]]) for raw, r in zip(raws, rows, strict=True)]
         bodies = [(p["digest"], raw[p["start"] : p["stop"]]) for raw, plan in own for p in plan]
-        whole = [r for r in rows if all(p["own"] for p in r["plan"] or [])]
-        flat, at = e.encode([b.decode("utf-8", "surrogatepass") for _, b in bodies] + [r["text"] for r in whole])
+        whole = [(r, raw) for raw, r in zip(raws, rows, strict=True) if all(p["own"] for p in r["plan"] or [])]
+        flat, at = e.encode([b.decode("utf-8", "surrogatepass") for b in [b for _, b in bodies] + [raw for _, raw in whole]])
         out = [{"kind": "chunk", "digest": d, "ids": flat[at[k] : at[k + 1]].astype("<u2").tobytes()} for k, (d, _) in enumerate(bodies)]
-        for k, r in enumerate(whole, len(bodies)):
+        for k, (r, _) in enumerate(whole, len(bodies)):
             n, ids, decoded = _digests(e, flat[at[k] : at[k + 1]].tolist())
             out.append({"kind": "done", "doc_id": r["doc_id"], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded})
-        for r in rows:
+        for raw, r in zip(raws, rows, strict=True):
             if plan := [{x: p[x] for x in ("start", "stop", "digest")} for p in r["plan"] or [] if not p["own"]]:
-                out.append({"kind": "open", "doc_id": r["doc_id"], "text_key": r["text_key"], "text": r["text"], "plan": plan})
+                out.append({"kind": "open", "doc_id": r["doc_id"], "text_key": r["text_key"], "packed": r["packed"], "whole": hashlib.sha256(raw).hexdigest(), "plan": plan})
         yield pa.RecordBatch.from_pylist(out, schema)
 
-    schema = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("text", pa.string()), ("digest", pa.binary()), ("ids", pa.binary()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("plan", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("digest", pa.binary())])))])
-    parts = common.written(known.select("d.doc_id", "d.text_key", "d.text", "p.plan").mapInArrow(first, _SCHEMA), "encoded-once")
+    schema = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("packed", pa.binary()), ("whole", pa.string()), ("digest", pa.binary()), ("ids", pa.binary()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("plan", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("digest", pa.binary())])))])
+    parts = common.written(known.select("d.doc_id", "d.text_key", "d.packed", "p.plan").mapInArrow(first, _SCHEMA), "encoded-once")
     done = parts.filter("kind = 'done'").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     # Equal open rows share one assembly, so that copies of a text carry its chunks' ids once.
     waiting = parts.filter("kind = 'open'")
-    keys = waiting.withColumn("whole", F.sha2("text", 256)).select("doc_id", "whole")
-    texts = waiting.select(F.sha2("text", 256).alias("whole"), "text", "plan").dropDuplicates(["whole"])
+    keys = waiting.select("doc_id", "whole")
+    texts = waiting.select("whole", "packed", "plan").dropDuplicates(["whole"])
     wanted = texts.select("whole", F.explode("plan").alias("p")).select("whole", "p.digest").distinct()
     ids = wanted.join(parts.filter("kind = 'chunk'").select("digest", "ids").dropDuplicates(["digest"]), "digest")
     given = ids.groupBy("whole").agg(F.collect_list(F.struct("digest", "ids")).alias("given"))
@@ -221,7 +239,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
             rows, texts = batch.to_pylist(), []
             for r in rows:
                 ids_of = {g["digest"]: np.frombuffer(g["ids"], "<u2") for g in r["given"] or []}
-                texts.append((_raw(r["text"]), [(p["start"], p["stop"], ids_of[p["digest"]]) for p in r["plan"] if p["digest"] in ids_of]))
+                texts.append((unpack(r["packed"]), [(p["start"], p["stop"], ids_of[p["digest"]]) for p in r["plan"] if p["digest"] in ids_of]))
             out = []
             for r, ids in zip(rows, assemble(e.encode, texts), strict=True):
                 n, ids_hash, decoded = _digests(e, ids.tolist())
@@ -229,5 +247,5 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
             if out:
                 yield pa.RecordBatch.from_pylist(out, pa.schema([("whole", pa.string()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
 
-    assembled = texts.join(given, "whole", "left").select("whole", "text", "plan", "given").mapInArrow(last, "whole string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    assembled = texts.join(given, "whole", "left").select("whole", "packed", "plan", "given").mapInArrow(last, "whole string, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return done.unionByName(keys.join(assembled, "whole").drop("whole"))
