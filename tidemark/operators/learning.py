@@ -168,6 +168,44 @@ def closeness(a: Column, b: Column, scale: float) -> Column:
     return F.exp(-F.abs(a - b) / scale)
 
 
+COMPONENTS = ("structure", "sequence", "regime", "location", "momentum", "volatility", "candle", "path")
+COMPARED = (*FEATURES, "candle_direction", "volatility_ratio", "body_ratio", "range_ratio")
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """Likeness of columns q_* and h_* in all components but the path, in place of those columns."""
+    same = lambda n: (c(f"q_{n}") == c(f"h_{n}")).cast("int")
+    return pairs.withColumns({
+        "n_same": sum((same(n) for n in FEATURES[1:]), same(FEATURES[0])), "structure": (same("trend") + same("event") + same("high_label") + same("low_label")) / 4,
+        **{n: same(n).cast("double") for n in ("sequence", "regime", "location", "momentum")}, "same_event": same("event"), "volatility": closeness(c("q_volatility_ratio"), c("h_volatility_ratio"), 0.35),
+        "candle": 0.8 * (0.45 * closeness(c("q_body_ratio"), c("h_body_ratio"), 0.75) + 0.35 * closeness(c("q_range_ratio"), c("h_range_ratio"), 0.90)) + 0.2 * same("candle_direction"),
+    }).drop(*(f"{side}_{n}" for side in "qh" for n in COMPARED))
+
+
+def quality() -> Column:
+    """How far the active components and the best of three of them support a match; its path counts as active."""
+    active = sum(((c(n) > 0).cast("int") for n in COMPONENTS[:-1]), F.lit(1))
+    return 0.75 + 0.25 * (0.55 * active / len(COMPONENTS) + 0.45 * F.greatest("structure", "sequence", "regime"))
+
+
+def clash() -> Column:
+    return (c("regime") == 0) | ((c("same_event") == 0) & (c("structure") < 0.25)) | (c("sequence") == 0) | (c("momentum") == 0)
+
+
+def with_paths(bars: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs of idx and h_idx with the likeness of their last twelve bars as ``path``."""
+    paths = candles.path_vectors(bars).select("series_id", "idx", F.transform("path", lambda x, k: x.withField("total", F.aggregate(F.slice("path", 1, k + 1), F.lit(0.0), lambda t, y: t + y["change"]))).alias("path"))
+    pairs = pairs.join(paths.withColumnRenamed("path", "q_path"), ["series_id", "idx"]).join(paths.select("series_id", c("idx").alias("h_idx"), c("path").alias("h_path")), ["series_id", "h_idx"])
+    # Weights and scales of the path's rows (fixed values): the later a row, the more it counts.
+    row = lambda x, y: (
+        0.40 * closeness(x["change"], y["change"], 0.65) + 0.25 * closeness(x["total"], y["total"], 1.25)
+        + 0.20 * (0.65 * closeness(x["range"], y["range"], 0.80) + 0.35 * closeness(x["body"], y["body"], 0.70)) + F.when(x["direction"] == y["direction"], 0.15).otherwise(0.0)
+    )
+    decay = [DECAY ** (11 - k) for k in range(12)]
+    weighed = F.zip_with(F.zip_with("q_path", "h_path", row), F.array(*(F.lit(d) for d in decay)), lambda v, d: v * d)
+    return pairs.withColumn("path", F.aggregate(weighed, F.lit(0.0), lambda t, v: t + v) / sum(decay)).drop("q_path", "h_path")
+
+
 def matches(bars: DataFrame) -> DataFrame:
     """Test rows against earlier rows of their series whose outcome is known: components, total similarity, contradiction gate, coarse filter.
 
@@ -175,47 +213,27 @@ def matches(bars: DataFrame) -> DataFrame:
     even with equal paths are left out before the paths are joined.
     """
     rows = experience(bars).withColumn("body_ratio", c("body") / c("unit")).withColumn("range_ratio", c("range") / c("unit"))
-    names = (*FEATURES, "candle_direction", "volatility_ratio", "body_ratio", "range_ratio")
+    names = COMPARED
     q = tests_of(bars, rows).select("series_id", "window_no", "horizon", "idx", "oos_start", c("direction").alias("actual"), *(c(n).alias(f"q_{n}") for n in names))
     h = rows.filter("direction is not null").select("series_id", "horizon", c("idx").alias("h_idx"), "episode", "direction", "atr_return", "mfe_atr", "mae_atr", *(c(n).alias(f"h_{n}") for n in names))
     pairs = q.join(h, ["series_id", "horizon"]).filter((c("h_idx") + c("horizon") < c("oos_start")) & (c("h_idx") <= c("idx") - KEEP_GAP))
-    same = lambda n: (c(f"q_{n}") == c(f"h_{n}")).cast("int")
-    pairs = pairs.withColumns({
-        "n_same": sum((same(n) for n in FEATURES[1:]), same(FEATURES[0])), "structure": (same("trend") + same("event") + same("high_label") + same("low_label")) / 4,
-        **{n: same(n).cast("double") for n in ("sequence", "regime", "location", "momentum")}, "same_event": same("event"), "volatility": closeness(c("q_volatility_ratio"), c("h_volatility_ratio"), 0.35),
-        "candle": 0.8 * (0.45 * closeness(c("q_body_ratio"), c("h_body_ratio"), 0.75) + 0.35 * closeness(c("q_range_ratio"), c("h_range_ratio"), 0.90)) + 0.2 * same("candle_direction"),
-    }).drop(*(f"{side}_{n}" for side in "qh" for n in names))
+    pairs = components(pairs)
     query = Window.partitionBy("series_id", "window_no", "horizon", "idx")
     pairs = pairs.withColumns({"n_strict": F.sum((c("n_same") >= 2).cast("int")).over(query), "n_relaxed": F.sum((c("n_same") >= 1).cast("int")).over(query)})
     need = case((c("n_strict") >= LEAST_CANDIDATES, F.lit(2)), (c("n_relaxed") >= LEAST_CANDIDATES, F.lit(1)), otherwise=F.lit(0))
     weight = lambda n: case(*((c("horizon") == h, F.lit(w[n])) for h, w in WEIGHTS.items()), otherwise=F.lit(WEIGHTS[8][n]))
-    parts = ("structure", "sequence", "regime", "location", "momentum", "volatility", "candle")
-    active = sum(((c(n) > 0).cast("int") for n in parts), F.lit(1))
-    quality = 0.75 + 0.25 * (0.55 * active / (len(parts) + 1) + 0.45 * F.greatest("structure", "sequence", "regime"))
+    parts = COMPONENTS[:-1]
     score = sum((weight(n) * c(n) for n in parts[1:]), weight(parts[0]) * c(parts[0]))
-    clash = (c("regime") == 0) | ((c("same_event") == 0) & (c("structure") < 0.25)) | (c("sequence") == 0) | (c("momentum") == 0)
-    pairs = pairs.filter(c("n_same") >= need).withColumns({"quality": quality, "partial": score, "floor": F.when(clash, 0.60).otherwise(0.42)})
+    pairs = pairs.filter(c("n_same") >= need).withColumns({"quality": quality(), "partial": score, "floor": F.when(clash(), 0.60).otherwise(0.42)})
     total = lambda path: (c("partial") + weight("path") * path) * c("quality")
     pairs = pairs.filter(total(F.lit(1.0)) >= c("floor") - 1e-9)
-    paths = candles.path_vectors(bars).select("series_id", "idx", F.transform("path", lambda x, k: x.withField("total", F.aggregate(F.slice("path", 1, k + 1), F.lit(0.0), lambda t, y: t + y["change"]))).alias("path"))
-    pairs = pairs.join(paths.withColumnRenamed("path", "q_path"), ["series_id", "idx"]).join(paths.select("series_id", c("idx").alias("h_idx"), c("path").alias("h_path")), ["series_id", "h_idx"])
-    # Weights and scales of the path's rows (fixed values): the later a row, the more it counts.
-    row = lambda x, y: (
-        0.40 * closeness(x["change"], y["change"], 0.65) + 0.25 * closeness(x["total"], y["total"], 1.25)
-        + 0.20 * (0.65 * closeness(x["range"], y["range"], 0.80) + 0.35 * closeness(x["body"], y["body"], 0.70)) + F.when(x["direction"] == y["direction"], 0.15).otherwise(0.0)
-    )
-    decay = [DECAY ** (11 - k) for k in range(12)]
-    weighed = F.zip_with(F.zip_with("q_path", "h_path", row), F.array(*(F.lit(d) for d in decay)), lambda v, d: v * d)
-    pairs = pairs.withColumn("path", F.aggregate(weighed, F.lit(0.0), lambda t, v: t + v) / sum(decay)).drop("q_path", "h_path").withColumn("similarity", total(c("path")))
+    pairs = with_paths(bars, pairs).withColumn("similarity", total(c("path")))
     return pairs.filter(c("similarity") >= c("floor"))
 
 
 QUERY = ["series_id", "window_no", "horizon", "idx"]
 
 
-COMPONENTS = ("structure", "sequence", "regime", "location", "momentum", "volatility", "candle", "path")
-
-
 def _filled(k: int):
     """The matches of one query: the best of each episode, then by greedy choice those that add most likeness and least of what is there."""
 

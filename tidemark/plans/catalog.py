@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import shared
 from tidemark.functions.columns import case, over, series, tidy
-from tidemark.operators import acceptance, behaviour, candles, contexts, discovery, evaluation, fusion, learning, levels, nearest, outcomes, quality, rulebook, scans, scenarios, skill, structure
+from tidemark.operators import acceptance, behaviour, candles, contexts, discovery, evaluation, fusion, grids, learning, levels, nearest, outcomes, quality, regimes, rulebook, scans, scenarios, skill, structure
 from tidemark.plans.oracle import state
 from tidemark.sources import bars as source
 from tidemark.sources import ingest
@@ -252,3 +252,6 @@ _add("scenario_scores", scenarios.scenario_scores, "scen", f"{ID} horizon ~score
 _add("layer_fusion", scenarios.fused, "fuse", f"{ID} ~fused_bullish ~fused_bearish ~fused_neutral ~trust")
 _add("group_votes", scenarios.group_votes, "gvote", "series_id window_no horizon group n n_decided n_hits ~accuracy")
 _add("event_independence", scenarios.event_independence, "eindep", "series_id scheme event n_inside n_outside ~rate_inside ~rate_outside only_inside")
+_add("config_grid", grids.config_grid, "cgrid", "series_id window_no horizon config k ~halflife regimes policy n_fit n ~accuracy_lift ~brier_lift ~log_loss_lift ~score chosen")
+_add("tuned_retrieval", grids.tuned_retrieval, "tuned", f"{CASE_ID} direction selected config ~shrink ~temperature {P}")
+_add("regime_scores", regimes.regime_scores, "regimes7", f"{ID} " + " ".join(f"~{r}" for r in regimes.REGIMES) + " ~confidence leader regime")

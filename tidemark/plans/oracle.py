@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from tidemark.plans import behaviour_sql, discovery_sql, fusion_sql, more_sql, scenario_sql, sequence_sql
+from tidemark.plans import behaviour_sql, discovery_sql, fusion_sql, grid_sql, more_sql, regime_sql, scenario_sql, sequence_sql
 
 PART = "PARTITION BY series_id ORDER BY idx"
 
@@ -294,7 +294,7 @@ CTES |= {
     "zone_inputs": "SELECT series_id, count(*) AS n_inputs, count(*) FILTER (h_idx > idx) AS n_violations FROM top GROUP BY 1",
 }
 
-CTES |= more_sql.CTES | fusion_sql.CTES | behaviour_sql.CTES | sequence_sql.CTES | scenario_sql.CTES | discovery_sql.CTES
+CTES |= more_sql.CTES | fusion_sql.CTES | behaviour_sql.CTES | sequence_sql.CTES | scenario_sql.CTES | discovery_sql.CTES | grid_sql.CTES | regime_sql.CTES
 
 
 def state(source: str, columns: str) -> str:
