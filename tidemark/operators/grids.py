@@ -18,6 +18,7 @@ ASKED = ["series_id", "horizon", "idx"]
 RANGE = ["series_id", "window_no", "horizon"]
 FIT, SELECT = 0.55, 0.80
 LEAST_FIT, LEAST_SELECT, LEAST_CALIBRATION, LEAST_MATCHES, FLOOR, CLASH_FLOOR = 50, 30, 30, 5, 0.42, 0.60
+BLOCK = 64  # bars whose queries meet the history in one task
 #: The grid and the weights of its policies (fixed values); None stands for no decay, and for the weights of the horizon.
 KS, HALFLIVES, REGIMES = (8, 16, 24), (None, 100.0), {"none": 1.0, "soft": 0.35}
 POLICIES = {
@@ -76,14 +77,22 @@ def ranked_matches(bars: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFr
 
     Components of a pair are worked out once, whatever the settings and windows that use it. Pairs that no policy
     could let in even with equal paths are left out before paths are joined; each episode's best match is found by
-    partial aggregation, twelve maxima at once, so that pairs are neither sorted nor multiplied by settings.
+    partial aggregation, twelve maxima at once, so that pairs are not multiplied by settings. Queries are dealt in blocks of
+    neighbouring bars and history is copied to the blocks after it, so that a long series is many tasks; pairs are not shuffled.
     """
-    rows = rows.withColumn("body_ratio", c("body") / c("unit")).withColumn("range_ratio", c("range") / c("unit"))
-    q = rows.join(asked, ASKED, "left_semi").select(*ASKED, *(c(n).alias(f"q_{n}") for n in learning.COMPARED))
-    h = rows.filter("direction is not null").select("series_id", "horizon", c("idx").alias("h_idx"), "episode", "direction", *(c(n).alias(f"h_{n}") for n in learning.COMPARED))
-    pairs = learning.components(q.join(h, ["series_id", "horizon"]).filter(c("h_idx") <= c("idx") - learning.KEEP_GAP)).withColumn("quality", learning.quality())
+    rows = rows.withColumn("body_ratio", c("body") / c("unit")).withColumn("range_ratio", c("range") / c("unit")).join(learning.paths_of(bars), ["series_id", "idx"])
+    compared = (*learning.COMPARED, "path")
+    q = rows.join(asked, ASKED, "left_semi").select(*ASKED, F.floor(c("idx") / BLOCK).alias("block"), *(c(n).alias(f"q_{n}") for n in compared))
+    last = asked.groupBy("series_id", "horizon").agg(F.floor(F.max("idx") / BLOCK).alias("last"))
+    h = rows.filter("direction is not null").select("series_id", "horizon", c("idx").alias("h_idx"), "episode", "direction", *(c(n).alias(f"h_{n}") for n in compared)).join(last, ["series_id", "horizon"])
+    first = F.floor((c("h_idx") + learning.KEEP_GAP) / BLOCK)
+    h = h.withColumn("block", F.explode(F.when(first <= c("last"), F.sequence(first, c("last"))))).drop("last")
+    session = bars.sparkSession
+    keys, tasks = ["series_id", "horizon", "block"], max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    pairs = q.repartition(tasks, *keys).join(h.repartition(tasks, *keys), keys).filter(c("h_idx") <= c("idx") - learning.KEEP_GAP)
+    pairs = learning.components(pairs).withColumn("quality", learning.quality())
     pairs = pairs.filter(F.greatest(*(_weighed(p, F.lit(1.0)) for p in POLICIES)) >= FLOOR - 1e-9)
-    pairs = learning.with_paths(bars, pairs).withColumns({f"like_{p}": F.round(_weighed(p, c("path")), 9) for p in POLICIES})
+    pairs = learning.path_likeness(pairs).withColumns({f"like_{p}": F.round(_weighed(p, c("path")), 9) for p in POLICIES})
     best = []
     for number, (halflife, regime, policy) in enumerate(SETTINGS):
         age = F.lit(1.0) if halflife is None else F.exp(-np.log(2.0) * (c("idx") - c("h_idx")) / halflife)

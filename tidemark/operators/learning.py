@@ -192,10 +192,19 @@ def clash() -> Column:
     return (c("regime") == 0) | ((c("same_event") == 0) & (c("structure") < 0.25)) | (c("sequence") == 0) | (c("momentum") == 0)
 
 
+def paths_of(bars: DataFrame) -> DataFrame:
+    """(series_id, idx, path): the last twelve bars with the running total of their changes."""
+    return candles.path_vectors(bars).select("series_id", "idx", F.transform("path", lambda x, k: x.withField("total", F.aggregate(F.slice("path", 1, k + 1), F.lit(0.0), lambda t, y: t + y["change"]))).alias("path"))
+
+
 def with_paths(bars: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs of idx and h_idx with the likeness of their last twelve bars as ``path``."""
-    paths = candles.path_vectors(bars).select("series_id", "idx", F.transform("path", lambda x, k: x.withField("total", F.aggregate(F.slice("path", 1, k + 1), F.lit(0.0), lambda t, y: t + y["change"]))).alias("path"))
-    pairs = pairs.join(paths.withColumnRenamed("path", "q_path"), ["series_id", "idx"]).join(paths.select("series_id", c("idx").alias("h_idx"), c("path").alias("h_path")), ["series_id", "h_idx"])
+    paths = paths_of(bars)
+    return path_likeness(pairs.join(paths.withColumnRenamed("path", "q_path"), ["series_id", "idx"]).join(paths.select("series_id", c("idx").alias("h_idx"), c("path").alias("h_path")), ["series_id", "h_idx"]))
+
+
+def path_likeness(pairs: DataFrame) -> DataFrame:
+    """The likeness of q_path and h_path as ``path``, in place of those columns."""
     # Weights and scales of the path's rows (fixed values): the later a row, the more it counts.
     row = lambda x, y: (
         0.40 * closeness(x["change"], y["change"], 0.65) + 0.25 * closeness(x["total"], y["total"], 1.25)
