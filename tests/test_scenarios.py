@@ -2,7 +2,7 @@
 
 import pytest
 from tests.test_sequences import BARS, walk
-from tidemark.operators import scenarios
+from tidemark.operators import fusion, scenarios
 
 
 def stated_cap(shares):
@@ -39,6 +39,13 @@ def test_shares_are_whole_and_bounded(spark):
     assert {sum(r.n_inside + r.n_outside for r in inside if (r.series_id, r.scheme) == k) for k in {(r.series_id, r.scheme) for r in inside}} <= {130, 40}
 
 
+def test_levels_at_zero_reach_nothing(spark):
+    lows = {5: 0.0, 12: 0.0, 19: 2.0, 26: 2.002}
+    rows = [("a", k, 5.0, 9.0, lows.get(k, 4.0), 5.0, 1) for k in range(34)]
+    got = [(r.level_no, round(r.price, 6), r.touches, r.side) for r in fusion.level_clusters(spark.createDataFrame(rows, BARS)).orderBy("level_no").collect()]
+    assert got == [(0, 0.0, 1, "SUPPORT"), (1, 0.0, 1, "SUPPORT"), (2, 2.001, 2, "SUPPORT")]
+
+
 def test_no_bars(spark):
     none = spark.createDataFrame([], BARS)
     assert [f(none).collect() for f in (scenarios.scenario_scores, scenarios.fused, scenarios.group_votes, scenarios.event_independence)] == [[]] * 4

@@ -297,6 +297,7 @@ def level_clusters(bars: DataFrame, lookback: int = levels.LOOKBACK, width: floa
     """Levels of recent swings: prices in order join the level whose running mean is within 0.15 %; touches, and the side of the last close.
 
     A price beyond a level's reach leaves it for good, as prices rise, so only the last level has to be looked at. At most lookback prices a series.
+    A level at 0 reaches nothing, as 0.15 % of it has no meaning.
     """
     last = bars.groupBy("series_id").agg(F.max("idx").alias("last_idx"), F.max_by("close", "idx").alias("last_close"))
     recent = levels.pivots(bars).join(last, "series_id").filter(c("pivot_idx") >= c("last_idx") - lookback)
@@ -305,7 +306,7 @@ def level_clusters(bars: DataFrame, lookback: int = levels.LOOKBACK, width: floa
 
     def join(found: Column, x: Column) -> Column:
         top = F.try_element_at(found, F.lit(-1))
-        near = F.coalesce(F.abs(x - top["total"] / top["n"]) / F.abs(top["total"] / top["n"]) <= width, F.lit(False))
+        near = F.coalesce(F.try_divide(F.abs(x - top["total"] / top["n"]), F.abs(top["total"] / top["n"])) <= width, F.lit(False))
         grown = F.array_append(F.slice(found, 1, F.size(found) - 1), F.struct((top["total"] + x).alias("total"), (top["n"] + 1).alias("n")))
         return F.when(near, grown).otherwise(F.array_append(found, F.struct(x.alias("total"), F.lit(1).alias("n"))))
 
