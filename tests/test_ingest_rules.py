@@ -1,8 +1,11 @@
 """Ingestion by the contract, the guard of files, and rules as a book, on small hand-made tables."""
 
 import collections
+import datetime
+import random
 
 import pytest
+from pyspark.sql import functions as F
 from tests.test_sequences import BARS, walk
 from tidemark.operators import discovery, rulebook
 from tidemark.sources import ingest
@@ -57,6 +60,68 @@ def test_ingestion_of_no_rows(spark):
     assert none.collect() == [] and ingest.normalised(none).collect() == [] and ingest.issue_counts(none).collect() == []
 
 
+@pytest.fixture
+def ranges_kept(spark):
+    """Small ranges stay apart, as large ones do."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def entered(n, times, seed):
+    draw, start = random.Random(seed), datetime.datetime(2024, 1, 1)
+    rows = [(s, k + 1, None if draw.random() < 0.05 else str(start + datetime.timedelta(hours=draw.randrange(times))), "2", "3" if draw.random() < 0.7 else "1", "1", "2", "1", "x") for s in ("a", "b", None) for k in range(n)]
+    draw.shuffle(rows)
+    return rows
+
+
+def stated(rows):
+    """Row by row in the order they came, then the gaps of what was accepted."""
+    out, taken = {}, collections.defaultdict(dict)
+    latest = {}
+    for s, k, ts, _, high, *_ in sorted(rows, key=lambda r: r[1]):
+        errors = ([] if ts else ["INVALID_TIMESTAMP"]) + ([] if high == "3" else ["INVALID_OHLC"])
+        if not errors and taken[s].setdefault(ts, k) != k:
+            errors = ["DUPLICATE_TIMESTAMP"]
+        out[s, k] = (errors, ["OUT_OF_ORDER"] if ts and s in latest and ts < latest[s] else [])
+        latest[s] = max(latest.get(s, ""), ts or "")
+    for s, times in taken.items():
+        for a, b in zip(sorted(times), sorted(times)[1:]):
+            if datetime.datetime.fromisoformat(b) - datetime.datetime.fromisoformat(a) > datetime.timedelta(hours=1):
+                out[s, times[b]][1].append("TIME_GAP")
+    return out, {s: [times[t] for t in sorted(times)] for s, times in taken.items()}
+
+
+@pytest.mark.parametrize(("n", "times", "few"), [(300, 2000, 0), (300, 2000, 10_000), (400, 60, 0), (3, 2, 10_000)])
+def test_times_in_several_ranges_row_by_row(spark, monkeypatch, ranges_kept, n, times, few):
+    monkeypatch.setattr(ingest, "FEW_TIMES", few)
+    rows = entered(n, times, n + times)
+    want, order = stated(rows)
+    layers = ingest.layers(spark.createDataFrame(rows, RAW), 3600)
+    assert {(r.series_id, r.source_row): (r.errors, r.warnings) for r in layers.collect()} == want
+    got = collections.defaultdict(list)
+    for r in sorted(ingest.normalised(layers).collect(), key=lambda r: r.idx):
+        assert r.idx == len(got[r.series_id])
+        got[r.series_id].append(r.source_row)
+    assert got == order
+
+
+def largest_share(df):
+    sizes = collections.Counter(r.p for r in df.withColumn("p", F.spark_partition_id()).collect())
+    return max(sizes.values()) / sizes.total()
+
+
+def test_no_task_holds_a_whole_series(spark, tmp_path, ranges_kept):
+    row = "named_struct('l_returnflag', if(id < 100, null, 'N'), 'l_orderkey', 7919 * id % 4000, 'l_linenumber', 1, 'l_shipdate', timestamp_seconds(3600 * id), 'l_partkey', 1L, 'l_suppkey', 1L, 'l_extendedprice', 100.0d, 'l_quantity', 5.0d, 'l_tax', 0.05d, 'l_discount', 0.04d)"
+    spark.range(4000).selectExpr(f"inline(array({row}))").write.parquet(str(tmp_path / "lineitem.parquet"))
+    lines = ingest.lines(spark, str(tmp_path))
+    assert largest_share(lines.select("source_row", "open")) < 0.5
+    flags = {k: sorted(r.source_row for r in lines.collect() if r.series_id == k) for k in ("N", None)}
+    assert flags == {"N": list(range(1, 3901)), None: list(range(1, 101))}
+    layers = ingest.layers(lines, 3600)
+    assert largest_share(layers.select("series_id", "status", "errors", "warnings")) < 0.5
+
+
 def test_guard_of_files(spark, tmp_path):
     data = tmp_path / "data"
     (data / "sub").mkdir(parents=True)

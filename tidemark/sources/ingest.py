@@ -10,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import ranks, shared
 from tidemark.sources.bars import indexed
 
 c = F.col
 PRICES = ("open", "high", "low", "close")
+FEW_TIMES = 100_000  # so many times, of five numbers each, are sent to the rows; more are joined by a shuffle
+RANGE_ROWS = 250_000
 
 
 def layers(raw: DataFrame, timeframe: int) -> DataFrame:
@@ -32,19 +35,37 @@ def layers(raw: DataFrame, timeframe: int) -> DataFrame:
         *(issue(blank(p), f"MISSING_{p.upper()}") for p in PRICES), *(issue(~blank(p) & ~ok, f"INVALID_{p.upper()}") for p, ok in zip(PRICES, numbers, strict=True)),
         issue(c("n_ts").isNull(), "INVALID_TIMESTAMP"), issue(numbers[0] & numbers[1] & numbers[2] & numbers[3] & ~fits, "INVALID_OHLC"),
     )))
-    good = F.size("own_errors") == 0
-    same = Window.partitionBy("series_id", "n_ts").orderBy(F.desc(good), "source_row")
-    rows = rows.withColumn("nth", F.row_number().over(same))
-    repeated = good & (c("nth") > 1)
-    rows = rows.withColumn("errors", F.when(repeated, F.array(F.lit("DUPLICATE_TIMESTAMP"))).otherwise(c("own_errors"))).withColumn("status", F.when(F.size("errors") == 0, "ACCEPTED").otherwise("REJECTED"))
-    came = Window.partitionBy("series_id").orderBy("source_row").rowsBetween(Window.unboundedPreceding, -1)
-    kept = Window.partitionBy("series_id", "status").orderBy("n_ts")
-    accepted = c("status") == "ACCEPTED"
-    late = c("n_ts") < F.max("n_ts").over(came)
-    wide = accepted & (c("n_ts").cast("long") - F.lag("n_ts").over(kept).cast("long") > timeframe)
+    good = c("n_ts").isNotNull() & numbers[0] & numbers[1] & numbers[2] & numbers[3] & fits
+    times = _times(rows.withColumn("good", good))
+    rows = rows.join(times, c("series_id").eqNullSafe(c("_series")) & (c("n_ts") == c("_ts")), "left")
+    first = c("source_row") == c("_good_row")
+    accepted, repeated = good & first, good & ~first
+    rows = rows.withColumn("errors", F.when(repeated, F.array(F.lit("DUPLICATE_TIMESTAMP"))).otherwise(c("own_errors"))).withColumn("status", F.when(accepted, "ACCEPTED").otherwise("REJECTED"))
+    late = c("_later_from") < c("source_row")
+    wide = accepted & (c("n_ts").cast("long") - c("_before").cast("long") > timeframe)
     bad_volume = ~blank("volume") & ~(finite(c("n_volume")) & (c("n_volume") >= 0))
     rows = rows.withColumn("warnings", F.array_compact(F.array(issue(late, "OUT_OF_ORDER"), issue(bad_volume, "INVALID_VOLUME"), issue(wide, "TIME_GAP"))))
-    return rows.withColumn("n_volume", F.when(~bad_volume, c("n_volume"))).drop("own_errors", "nth")
+    return rows.withColumn("n_volume", F.when(~bad_volume, c("n_volume"))).drop("own_errors", *times.columns)
+
+
+def _times(rows: DataFrame) -> DataFrame:
+    """What rows must know of others, by time: the first good row of that time, the time of a good row before it, the first row of any time after it.
+
+    A row comes late where a row before it has a later time, so the first row of all later times tells. Times are dealt by
+    ranges; a window reaches over one range, and what lies before or after it comes from one row for each range.
+    """
+    times = rows.filter("n_ts is not null").groupBy(c("series_id").alias("_series"), c("n_ts").alias("_ts")).agg(F.min("source_row").alias("_row"), F.min(F.when(c("good"), c("source_row"))).alias("_good_row"))
+    times = ranks.dealt(times, ["_series"], ["_ts"])
+    good_ts = F.when(c("_good_row").isNotNull(), c("_ts"))
+    parts = times.groupBy("_series", "_part").agg(F.max(good_ts).alias("_last"), F.min("_row").alias("_least"))
+    past = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_series", "_part", F.max("_last").over(past(["_series"], "_part")).alias("_last"), F.min("_least").over(past(["_series"], F.desc("_part"))).alias("_least"))
+    here = ["_series", "_part"]
+    times = ranks.with_ranges(times, parts, ["_series"]).select(
+        "_series", "_ts", "_good_row", F.coalesce(F.max(good_ts).over(past(here, "_ts")), "_last").alias("_before"), F.least(F.min("_row").over(past(here, F.desc("_ts"))), "_least").alias("_later_from"),
+    )
+    times = shared.cut(times, "times")
+    return F.broadcast(times) if times.count() <= FEW_TIMES else times
 
 
 def normalised(rows: DataFrame) -> DataFrame:
@@ -61,12 +82,14 @@ def issue_counts(rows: DataFrame) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as price rows in the order they were entered, in hundredths: the price of a piece with tax, without, and with the discount."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    order = ["l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_tax", "l_discount"]
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", *order)
+    ranges = max(spark.sparkContext.defaultParallelism, rows.count() // RANGE_ROWS + 1)  # no range grows with the table
+    rows = ranks.ranked(rows, ["l_returnflag"], order, "source_row", keep=["l_returnflag", "l_shipdate", *order[5:]], ranges=ranges)
     price = c("l_extendedprice") / c("l_quantity")
     text = lambda x: F.floor(x * 100).cast("string")
-    nth = F.row_number().over(Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_tax", "l_discount")).cast("long")
     high, low, close = price * (1 + c("l_tax")), price * (1 - c("l_discount")), price * (0.99 + c("l_discount") / 4)
-    return rows.select(c("l_returnflag").alias("series_id"), nth.alias("source_row"), F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("ts"), text(price).alias("open"), text(high).alias("high"),
+    return rows.select(c("l_returnflag").alias("series_id"), "source_row", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("ts"), text(price).alias("open"), text(high).alias("high"),
                        text(low).alias("low"), text(close).alias("close"), F.when(c("l_quantity") > 3, F.format_string("%.0f", c("l_quantity") - 10)).alias("volume"))
 
 
