@@ -120,6 +120,7 @@ def test_no_task_holds_a_whole_series(spark, tmp_path, ranges_kept):
     assert flags == {"N": list(range(1, 3901)), None: list(range(1, 101))}
     layers = ingest.layers(lines, 3600)
     assert largest_share(layers.select("series_id", "status", "errors", "warnings")) < 0.5
+    assert largest_share(ingest.normalised(layers).select("idx", "close")) < 0.5
 
 
 def test_guard_of_files(spark, tmp_path):

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import ranks, shared
-from tidemark.sources.bars import indexed
 
 c = F.col
 PRICES = ("open", "high", "low", "close")
@@ -71,7 +70,7 @@ def _times(rows: DataFrame) -> DataFrame:
 def normalised(rows: DataFrame) -> DataFrame:
     """The normalised layer: accepted bars in order of time, each with the number of the row it came from."""
     kept = rows.filter("status = 'ACCEPTED'").select("series_id", "source_row", c("n_ts").alias("ts"), *(c(f"n_{p}").alias(p) for p in (*PRICES, "volume")))
-    return indexed(kept)
+    return ranks.ranked(shared.cut(kept, "accepted"), ["series_id"], ["ts"], "idx").withColumn("idx", c("idx") - 1).drop("total")
 
 
 def issue_counts(rows: DataFrame) -> DataFrame:
